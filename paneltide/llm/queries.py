@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup_exact, language, sharding, warc
+from . import bpe, dedup_exact, language, quality, sharding, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_exact_dedup": dedup_exact.op2_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op7_warc": warc.op7_warc,
+    "op8_quality": quality.op8_quality,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op2_exact_dedup": dedup_exact.ORACLE, "op7_warc": warc.ORACLE}
