@@ -42,14 +42,18 @@ def located(docs: DataFrame) -> DataFrame:
 def run_stream(source: DataFrame, checkpoint: str, digest_bits: int = 256) -> None:
     """Take what the source has not shown yet into the state under `checkpoint`; calling it again goes on from there."""
     spark = source.sparkSession
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # each store is closed once its part is committed: an executor does not hold the local files of all partitions at once
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         state = keyed(source, digest_bits).groupBy("digest").agg(F.max(F.struct("rank", "doc_id", "locator")).alias("best"), F.count(F.lit(1)).alias("group_size"))
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -88,7 +92,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
     # as a pattern, since the table may be one file or a folder of them
     run_stream(located(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")), checkpoint)
-    return exact_dedup(located(spark.read.schema(schema).parquet(path)), read_state(spark, checkpoint))
+    return exact_dedup(located(spark.read.schema(schema).parquet(path)), save(read_state(spark, checkpoint), "state"))
 
 
 ORACLE = r"""
