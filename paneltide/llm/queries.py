@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup_exact, language, quality, sharding, warc
+from . import bpe, dedup_exact, language, neardup, quality, sharding, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_exact_dedup": dedup_exact.op2_exact_dedup,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op5_bpe": bpe.op5_bpe,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
