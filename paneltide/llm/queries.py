@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup_exact, language, neardup, quality, sharding, warc
+from . import bpe, dedup_exact, language, neardup, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_exact_dedup": dedup_exact.op2_exact_dedup,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_substrings": substrings.op4_substrings,
     "op5_bpe": bpe.op5_bpe,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
