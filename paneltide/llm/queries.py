@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup_exact, language, neardup, quality, sharding, substrings, warc
+from . import bpe, dedup_exact, language, lines, neardup, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_substrings": substrings.op4_substrings,
     "op5_bpe": bpe.op5_bpe,
+    "op6_lines": lines.op6_lines,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
     "op10_sharding": sharding.op10_sharding,

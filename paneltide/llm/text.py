@@ -81,9 +81,9 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word, a longest run of bytes that are not SPACE; rows end words."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word, a longest run of bytes for which `inside` (of 256) holds; rows end words."""
+    solid = inside[data]
     first = off[:-1][np.diff(off) > 0]
     before = np.empty_like(solid)
     before[:1], before[1:] = False, solid[:-1]
