@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package's code, once for a session."""
+    if getattr(spark.sparkContext, "_paneltide_shipped", False):
+        return
+    spark.sparkContext._paneltide_shipped = True
+    root = Path(__file__).resolve().parents[1]
+    if not root.is_dir():  # it runs from an archive that the session has already
+        return
+    name = Path(tempfile.mkdtemp(prefix="spark-")) / "paneltide.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset (single machine, tests) a fresh temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    ship(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +56,7 @@ def forget(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
