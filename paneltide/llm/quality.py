@@ -176,6 +176,19 @@ def score(docs: DataFrame, model: dict | None, with_passages: bool = True) -> Da
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a score of THRESHOLD or more; all rows without a model."""
+    if model is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.float32) for k, v in model.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            yield batch.filter(pa.array(forward(*features(batch.column("text")), model.value)["score"] >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out())

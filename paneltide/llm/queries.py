@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup_exact, language, lines, neardup, quality, sharding, substrings, warc
+from . import bpe, decontaminate, dedup_exact, language, lines, neardup, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_lines": lines.op6_lines,
     "op7_warc": warc.op7_warc,
     "op8_quality": quality.op8_quality,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op2_exact_dedup": dedup_exact.ORACLE, "op7_warc": warc.ORACLE}
