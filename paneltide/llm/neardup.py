@@ -25,11 +25,13 @@ from .graph import components
 from .shared import documents, forget, save
 from .text import LOWER, Rolling, mix, per_row, pieces, utf8, words
 
-#: Buckets of minimum hashes of step 2 and hashes of each; orders of tokens of step 3.
-BANDS, ROWS, ORDERS = 6, 3, 3
+#: Buckets of minimum hashes of step 2 and hashes of each, equal hashes that are worth a look; orders of tokens of step 3.
+BANDS, ROWS, ORDERS = 6, 4, 3
+ALIKE = 16
 #: A shingle in more than this share of the texts (and FEW texts) is ordered by its frequency. As a text has a number of
-#: shingles that does not depend on the corpus, there are (mean size / FREQUENT) such shingles at most.
-FREQUENT, FEW = 1 / 4000, 8
+#: shingles that does not depend on the corpus, there are (mean size / FREQUENT) such shingles at most, and where these
+#: are more than TABLE (32 MB), the share is doubled until they fit. Any order is right; this one is fast.
+FREQUENT, FEW, TABLE = 1 / 20_000, 8, 1 << 21
 #: Bits of the map that tells which classes' sets are needed, for each class at least and in all at most (32 MB).
 MAP_BITS, MAP_MOST = 16, 1 << 28
 
@@ -116,8 +118,8 @@ class Frequent:
 def scan(docs: DataFrame, n: int) -> DataFrame:
     """Rows of texts (n_shingles, digest of the set, bands) and rows of shingles that are frequent in a task (token, texts)."""
     seeds = _seeds(BANDS * ROWS)
-    names = ["doc_id", "n_shingles", "digest", "bands", "token", "texts"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["doc_id", "n_shingles", "digest", "bands", "hashes", "token", "texts"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = Frequent()
@@ -135,16 +137,17 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
                     keys[:, b] = mix(keys[:, b] * np.uint64(31) + least[:, b * ROWS + k] + np.uint64(b))
             digests = [_digest(s[a:z]) if z > a else None for a, z in zip(off, off[1:])]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+            hashes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS * ROWS, pa.int32()), pa.array((least >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()))
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), bands, none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), bands, hashes, none, none], names)
             frequent.add(s, batch.num_rows)
         frequent.settle()
         frequent.trim()
         for a in range(0, len(frequent.keys), 10_000):
             part = frequent.keys[a : a + 10_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), k) for k in kinds[:4]] + [pa.array(part), pa.array(frequent.counts[a : a + 10_000])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), k) for k in kinds[:5]] + [pa.array(part), pa.array(frequent.counts[a : a + 10_000])], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, token long, texts long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, hashes array<int>, token long, texts long")
 
 
 def ranks(s: np.ndarray, tokens: np.ndarray, places: np.ndarray, order: int) -> np.ndarray:
@@ -181,8 +184,9 @@ def index(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, prefix array<long>")
 
 
-def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """node, n_shingles, shingles (bytes) and prefixes of the other orders, for the texts whose id is in nodes.
+def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequent=None) -> DataFrame:
+    """node and parts of its set, for the texts whose id is in nodes: the whole set, or with `frequent` 16 bits of each
+    shingle and of those in the prefixes of the other orders.
 
     A bitmap of fixed size keeps most other texts out before anything is shuffled; a join removes the rest.
     """
@@ -196,8 +200,6 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequen
     wanted = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, places = frequent.value if frequent is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-
         def kept() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = np.asarray(batch.column("at"))
@@ -205,42 +207,50 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequen
 
         for batch in pieces(kept(), "text"):
             s, off = shingles(batch.column("text"), n)
-            others = []
-            for order in range(1, ORDERS if frequent is not None else 1):
-                key = ranks(s, tokens, places, order)
-                others.append([np.sort(s[a:z][np.argsort(key[a:z], kind="stable")[: prefix_size(int(z - a), percent)]]).tobytes() for a, z in zip(off, off[1:])])
-            columns = [batch.column("node"), pa.array(np.diff(off), pa.int64()), pa.array([s[a:z].tobytes() for a, z in zip(off, off[1:])], pa.binary())]
-            columns.append(pa.array([list(x) for x in zip(*others)] if others else [[]] * batch.num_rows, pa.list_(pa.binary())))
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "set", "prefixes"])
+            if frequent is None:
+                parts = [[s[a:z].tobytes()] for a, z in zip(off, off[1:])]
+            else:
+                prints = (s & np.uint64(0xFFFF)).astype(np.uint16)
+                keys = [ranks(s, *frequent.value, order) for order in range(1, ORDERS)]
+                parts = [[np.sort(prints[a:z]).tobytes(), *(np.unique(prints[a:z][np.argsort(key[a:z], kind="stable")[: prefix_size(int(z - a), percent)]]).tobytes() for key in keys)] for a, z in zip(off, off[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(parts, pa.list_(pa.binary()))], ["node", "parts"])
 
     rows = docs.select(F.col("doc_id").alias("node"), "text").where("node IS NOT NULL").withColumn("at", at)
-    return rows.mapInArrow(run, "node long, n long, set binary, prefixes array<binary>").join(nodes, "node", "left_semi")
+    return rows.mapInArrow(run, "node long, parts array<binary>").join(nodes, "node", "left_semi")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Prefixes of the other orders are compared first; sets only where all of them meet."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
+    if len(x) == 0 or len(y) == 0:
+        return 0
+    keys, cx = np.unique(x, return_counts=True)
+    other, cy = np.unique(y, return_counts=True)
+    at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
+    return int(np.minimum(cx, cy[at])[other[at] == keys].sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def common(x: bytes, y: bytes) -> int:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
 
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, exact: bool = True) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; with 16 bits of each shingle, those that may be and whose other prefixes meet."""
+    kind = np.uint64 if exact else np.uint16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, px, py = (batch.column(k).to_pylist() for k in ("set_a", "set_b", "prefixes_a", "prefixes_b"))
             keep = []
-            for i in range(batch.num_rows):
-                ok = all(common(p, q) for p, q in zip(px[i], py[i]))
+            for x, y in zip(batch.column("parts_a").to_pylist(), batch.column("parts_b").to_pylist()):
+                x, y = ([np.frombuffer(v, kind) for v in z] for z in (x, y))
+                ok = all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x[1:], y[1:]))
                 if ok:
-                    both = common(x[i], y[i])
-                    ok = 100 * both >= percent * ((len(x[i]) + len(y[i])) // 8 - both)
+                    both = _common(x[0], y[0])
+                    ok = 100 * both >= percent * (len(x[0]) + len(y[0]) - both)
                 keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"), F.col("prefixes").alias(f"prefixes_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b", "prefixes_a", "prefixes_b").mapInArrow(run, "a long, b long")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("parts").alias(f"parts_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "parts_a", "parts_b").mapInArrow(run, "a long, b long")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -252,8 +262,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = save(scan(docs, n), "scan")
-    rows = scanned.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest", "bands")
-    classes = save(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    rows = scanned.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "digest", "bands", "hashes")
+    classes = save(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("hashes").alias("hashes")), "classes")
     # step 2: in each bucket, the class that shares most buckets is the centre
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -261,13 +271,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
     bands = buckets.join(degree, "node")
     centres = bands.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("a"))
-    stars = save(bands.join(centres, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
-    nodes = save(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "nodes")
-    first = components(verify(stars, needed_sets(docs, nodes, n, percent, None), percent))
+    stars = bands.join(centres, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    hashes = lambda k: classes.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
+    alike = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x)) >= ALIKE
+    stars = save(stars.join(hashes("a"), "a").join(hashes("b"), "b").where(alike).select("a", "b"), "stars")
+    first = components(verify(stars, needed_sets(docs, save(ends(stars), "nodes"), n, percent), percent))
     known = save(classes.join(first, "node", "left").select("digest", "node", "n", F.coalesce("component", "node").alias("component")), "known")
     # step 3
     total = rows.count()
-    counts = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(FEW, total * FREQUENT)).toArrow()
+    counts = save(scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(FEW, total * FREQUENT)), "counts")
+    least = max(FEW, total * FREQUENT)
+    while counts.where(F.col("texts") >= least).count() > TABLE:
+        least *= 2
+    counts = counts.where(F.col("texts") >= least).toArrow()
     tokens = np.asarray(counts.column("token").combine_chunks()).view(np.uint64) if counts.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(tokens)
     rank = np.zeros(len(tokens), np.uint64)
@@ -282,13 +298,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     near = (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty"))
     near &= (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")) & (F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= need)
     pairs = save(x.join(y, near).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct(), "pairs")
-    nodes = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    links = verify(pairs, needed_sets(docs, nodes, n, percent, frequent), percent)
+    light = save(needed_sets(docs, save(ends(pairs), "nodes"), n, percent, frequent), "light")
+    maybe = save(verify(pairs, light, percent, exact=False), "maybe")
+    links = verify(maybe, needed_sets(docs, save(ends(maybe), "nodes"), n, percent), percent)
     place = known.select("node", "component")
     links = links.join(place.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(place.withColumnsRenamed({"node": "b", "component": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(links)
     final = known.join(joined.select(F.col("component").alias("to"), F.col("node").alias("component")), "component", "left").select("digest", F.coalesce("to", "component").alias("component_id"))
-    for t in (stars, buckets, pairs, postings):
+    for t in (buckets, pairs, postings, light):
         forget(t)
     out = rows.join(final, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out
