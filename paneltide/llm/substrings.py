@@ -262,11 +262,15 @@ def suffixes(docs: DataFrame, wanted, hot) -> DataFrame:
 
 
 def scan_levels(rows: DataFrame) -> DataFrame:
-    """Spans of windows that occur at an earlier place, from suffixes dealt out by gram and sorted by place."""
+    """Spans of windows that occur at an earlier place, from suffixes dealt out by gram and sorted by place; rows that are spans already pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for batch in batches:
+            known = np.asarray(batch.column("gram").is_null())
+            if known.any():
+                yield batch.filter(pa.array(known))
+                batch = batch.filter(pa.array(~known))
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
                 raw = utf8(part.column("bytes"))[0].reshape(-1, LENGTH + BEFORE)
@@ -303,9 +307,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # 4 * parts of them at most
     hot = np.array([r["gram"] for r in counts.where(F.col("n") > max(HOT, total["n"] / (4 * parts))).select("gram").toLocalIterator()], np.int64).view(np.uint64)
-    found = save(suffixes(docs, spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot)), "suffixes")
-    dealt = found.where("gram IS NOT NULL").repartition("gram").sortWithinPartitions("doc_id", "code", "at")
-    spans = scan_levels(dealt).unionByName(found.where("gram IS NULL")).groupBy("doc_id", "code").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
+    found = suffixes(docs, spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot))
+    dealt = found.repartition(F.coalesce("gram", F.xxhash64("doc_id", "first"))).sortWithinPartitions("doc_id", "code", "at")
+    spans = scan_levels(dealt).groupBy("doc_id", "code").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
     joined = docs.withColumnRenamed("code", "c").join(spans.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("c") == F.col("code")), "left").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.transform("spans", lambda x: x["first"]).alias("first"), F.transform("spans", lambda x: x["end"]).alias("end"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"][: 7 if with_text else 5]
 
