@@ -1,9 +1,20 @@
 """All queries by name."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from . import extras, features, learning, market, streams  # noqa: F401  they register their queries
+from .oracle import ORACLES, QUERIES
 
-def oracles() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def flagship(spark, sf_dir):
+    return market.walkforward_weekly(spark, sf_dir)
