@@ -36,23 +36,23 @@ def bollinger_positions(spark, sf_dir):
     return rows.withColumn("signal", rules.signal(F.col("position"))).select("symbol", day(), F.col("position").cast("long").alias("position"), F.col("signal").cast("long").alias("signal"))
 
 
-_PERF = {"total": 4, "cagr": 5, "vol": 5, "sharpe": 5, "sortino": 5, "max_dd": 5, "calmar": 5}
+_PERF = {"log_total": 5, "cagr": 5, "vol": 5, "sharpe": 5, "sortino": 5, "max_dd": 5, "calmar": 5}
 _PERF_SQL = """c AS (SELECT run, ts, r, product(1 + r) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS curve FROM {0} WHERE r IS NOT NULL),
 dd AS (SELECT run, ts, r, curve / max(curve) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM c),
 p AS (SELECT run, count(r) AS n, product(1 + r) AS growth, avg(r) AS m, stddev_samp(r) AS sd, stddev_samp(CASE WHEN r < 0 THEN r END) AS down, min(dd) AS max_dd FROM dd GROUP BY run),
-perf AS (SELECT run, n, growth - 1 AS total, CASE WHEN growth > 0 THEN pow(growth, {1} / n) END - 1 AS cagr, sd * sqrt({1}) AS vol, CASE WHEN sd <> 0 THEN m / sd END * sqrt({1}) AS sharpe, CASE WHEN down > 0 THEN m / down * sqrt({1}) END AS sortino, max_dd FROM p),
+perf AS (SELECT run, n, ln(growth) AS log_total, CASE WHEN growth > 0 THEN pow(growth, {1} / n) END - 1 AS cagr, sd * sqrt({1}) AS vol, CASE WHEN sd <> 0 THEN m / sd END * sqrt({1}) AS sharpe, CASE WHEN down > 0 THEN m / down * sqrt({1}) END AS sortino, max_dd FROM p),
 pf AS (SELECT *, CASE WHEN max_dd < 0 THEN cagr / abs(max_dd) END AS calmar FROM perf)"""
 
 
 @query(f"WITH {WEEKLY}, {_BOLL.format('weekly')}, {_pnl('pos')}, q AS (SELECT symbol AS run, ts, r FROM pnl), {_PERF_SQL.format('q', '52.0')} SELECT run, n, {sfixed(_PERF)} FROM pf")
 def boll_backtest_metrics(spark, sf_dir):
     rows = backtest.profit(rules.bollinger_reversion(panels.bars_weekly(spark, sf_dir), k=1.0))
-    return metrics.performance(rows.select(F.col("symbol").alias("run"), "ts", "r"), 52).select("run", "n", *fixed(_PERF))
+    return metrics.performance(rows.select(F.col("symbol").alias("run"), "ts", "r"), 52).withColumn("log_total", F.log1p("total")).select("run", "n", *fixed(_PERF))
 
 
 @query(f"WITH {RETURNS}, {_PERF_SQL.format('returns', '52.0')} SELECT run, n, {sfixed(_PERF)} FROM pf")
 def performance_weekly(spark, sf_dir):
-    return metrics.performance(returns(spark, sf_dir), 52).select("run", "n", *fixed(_PERF))
+    return metrics.performance(returns(spark, sf_dir), 52).withColumn("log_total", F.log1p("total")).select("run", "n", *fixed(_PERF))
 
 
 @query(f"WITH {WEEKLY}, e AS (SELECT symbol AS run, ts, close / lag(close) OVER ({S}) - 1 AS r FROM weekly), {_PERF_SQL.format('e', '52.0')} SELECT run, {sfixed({'cagr': 5, 'sharpe': 5, 'max_dd': 5})} FROM pf")
@@ -83,9 +83,9 @@ def ma_positions(spark, sf_dir):
     return bars.withColumn("position", position).select("symbol", day(), F.col("position").cast("long").alias("position"))
 
 
-@query(f"WITH {WEEKLY}, n AS (SELECT *, row_number() OVER ({S}) AS rn, count(*) OVER (PARTITION BY symbol) AS c FROM weekly), pos AS (SELECT symbol, ts, close, CASE WHEN rn > 1 AND rn < c THEN 1 ELSE 0 END AS position FROM n), {_pnl('pos')}, g AS (SELECT symbol, ts, product(1 + r) OVER ({S} ROWS UNBOUNDED PRECEDING) - 1 AS growth FROM pnl) SELECT symbol, {D}, {sfix('growth', 3)} AS growth FROM g")
+@query(f"WITH {WEEKLY}, n AS (SELECT *, row_number() OVER ({S}) AS rn, count(*) OVER (PARTITION BY symbol) AS c FROM weekly), pos AS (SELECT symbol, ts, close, CASE WHEN rn > 1 AND rn < c THEN 1 ELSE 0 END AS position FROM n), {_pnl('pos')}, g AS (SELECT symbol, ts, product(1 + r) OVER ({S} ROWS UNBOUNDED PRECEDING) - 1 AS growth FROM pnl) SELECT symbol, {D}, {sfix('ln(1 + growth)')} AS log_growth FROM g")
 def buy_and_hold_equity(spark, sf_dir):
-    return backtest.profit(rules.buy_and_hold(panels.bars_weekly(spark, sf_dir))).select("symbol", day(), *fixed({"growth": 3}))
+    return backtest.profit(rules.buy_and_hold(panels.bars_weekly(spark, sf_dir))).select("symbol", day(), fix(F.log1p("growth")).alias("log_growth"))
 
 
 @query(f"WITH {WEEKLY}, {_BOLL.format('weekly')}, {_pnl('pos')}, g AS (SELECT symbol, ts, r, 10000 * product(1 + r) OVER ({S} ROWS UNBOUNDED PRECEDING) AS equity FROM pnl) SELECT {D}, {sfix('ln(sum(equity))')} AS log_equity, {sfix('avg(r)')} AS r FROM g GROUP BY ts")
