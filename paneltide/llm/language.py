@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: dict | None, with_spans: bool = True) -> Da
                 new = np.ones(len(lab), bool)
                 new[1:] = (lab[1:] != lab[:-1]) | (s.row[1:] != s.row[:-1])
                 a = np.flatnonzero(new)
-                z = np.append(a[1:], len(lab)) - 1
+                z = np.append(a[1:], len(lab))[: len(a)] - 1
                 base = s.off[s.row[a]]
                 flat = pa.StructArray.from_arrays([pa.array(names[lab[a]], pa.string()), pa.array(s.start[a] - base), pa.array(s.end[z] - base)], ["lang", "start", "end"])
                 columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(s.row[a], np.arange(s.n + 1)), pa.int32()), flat))

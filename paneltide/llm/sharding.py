@@ -108,14 +108,16 @@ def transfers(blocks: dict[tuple[int, int], int], old: int, new: int) -> dict[tu
 
 
 def reshard(docs: DataFrame, size: Column, group: Column, old_shards: int = 32, new_shards: int = 40, old_shard: Column | None = None) -> DataFrame:
-    """`docs` with columns size, shard and slot (gapless from 0 in each shard); law `bytes`.
+    """`docs` with columns size, shard and slot (gapless from 0 in each shard), in place of such columns; law `bytes`.
 
     Rows with one `group` hash stay together, so a group larger than a shard's share makes its shard larger than the
     others, which stay even. Without `old_shard` the old layout is by that hash. Rows move only as the flow says.
     """
     spark = docs.sparkSession
-    rows = docs.withColumns({"size": size, "__h": F.xxhash64(group)})
-    rows = rows.withColumns({"__old": (F.pmod("__h", F.lit(old_shards)) if old_shard is None else old_shard).cast("int"), "__block": F.pmod(F.shiftright("__h", 20), F.lit(BLOCKS)).cast("int")})
+    old = F.pmod("__h", F.lit(old_shards)) if old_shard is None else F.col("__given")
+    rows = docs.withColumns({"__size": size, "__h": F.xxhash64(group), "__given": F.lit(None) if old_shard is None else old_shard})
+    rows = rows.drop("size", "shard", "slot").withColumnRenamed("__size", "size")
+    rows = rows.withColumns({"__old": old.cast("int"), "__block": F.pmod(F.shiftright("__h", 20), F.lit(BLOCKS)).cast("int")})
     sizes = {(r["__old"], r["__block"]): r["bytes"] for r in rows.groupBy("__old", "__block").agg(F.sum("size").alias("bytes")).toLocalIterator()}
     places = [(i, b, j) for (i, b), j in transfers(sizes, old_shards, new_shards).items()]
     schema = T.StructType([T.StructField(n, T.IntegerType()) for n in ("__old", "__block", "shard")])
@@ -128,7 +130,7 @@ def reshard(docs: DataFrame, size: Column, group: Column, old_shards: int = 32,
     rows = rows.withColumn("__salt", F.col("__cell") % salts).repartition("shard", "__salt")
     rank = F.row_number().over(W.Window.partitionBy("shard", "__salt", "__cell").orderBy("doc_id", "__h"))
     rows = rows.withColumn("__rank", rank).join(F.broadcast(before), ["shard", "__cell"])  # new_shards * CELLS rows at most
-    return rows.withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__h", "__old", "__block", "__cell", "__salt", "__rank", "__before")
+    return rows.withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__h", "__given", "__old", "__block", "__cell", "__salt", "__rank", "__before")
 
 
 def rewrite(rows: DataFrame, path: str) -> DataFrame:
