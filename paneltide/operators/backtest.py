@@ -148,3 +148,47 @@ def blend_weekly(returns: DataFrame, shares: Column) -> DataFrame:
 def yearly_turnover(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean turnover of a decision times 52, mean exposure, and the cost a year in basis points times 1e-4."""
     return daily.groupBy(*keys).agg((F.avg(F.when(F.col("turnover") > 0, F.col("turnover"))) * 52).alias("turnover"), F.avg("exposure").alias("exposure"))
+
+
+def sticky_random(panel: DataFrame, seeds: DataFrame, k: int, swap: int) -> DataFrame:
+    """(run, ts, symbol): k names a date of which `swap` are replaced at the next, by a hash; each run is a sorted stream."""
+    rows = panel.where("close IS NOT NULL").select("ts", "symbol").crossJoin(F.broadcast(seeds.select("run")))  # the runs asked for
+    rows = rows.withColumn("h", F.xxhash64("run", "ts", "symbol")).repartition("run").sortWithinPartitions("run", "ts", "h").select("run", "ts", "symbol")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, date, held, names = None, None, [], []
+
+        def decide() -> list:
+            stay = [s for s in held if s in set(names)]
+            stay = stay[min(swap, len(stay)) :] if len(stay) == k else stay
+            return [*stay, *[s for s in names if s not in held][: k - len(stay)]][:k]
+
+        for batch in batches:
+            out = []
+            for r, t, s in zip(batch["run"], batch["ts"], batch["symbol"]):
+                if (r, t) != (now, date):
+                    if now is not None:
+                        held = decide()
+                        out += [(now, date, x) for x in held]
+                    if r != now:
+                        held = []
+                    now, date, names = r, t, []
+                names.append(s)
+            yield pd.DataFrame(out, columns=["run", "ts", "symbol"])
+        if now is not None:
+            yield pd.DataFrame([(now, date, x) for x in decide()], columns=["run", "ts", "symbol"])
+
+    return rows.mapInPandas(run, f"run long, ts {panel.schema['ts'].dataType.simpleString()}, symbol string")
+
+
+def schedule_weights(scored: DataFrame, schedules: DataFrame, k: int, cap: float = 0.3) -> DataFrame:
+    """(run, ts, symbol, weight) of the k best of each run's own decision dates, from scores of all dates (score, sd)."""
+    rows = scored.join(F.broadcast(schedules.select("run", "ts")), "ts").where("close IS NOT NULL AND sd IS NOT NULL")  # dates of each run
+    return inverse_vol(top_k(rows, k, keys=("run", "ts")), "sd", cap, ("run", "ts"))
+
+
+def assign_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows (run, n, ...) of number n within a run with the fold in whose test span they are, and test_mask."""
+    inside = (F.col("n") >= F.col("test_start")) & (F.col("n") < F.col("test_end"))
+    spans = folds.select("run", "fold", "test_start", "test_end")
+    return rows.join(F.broadcast(spans), (rows["run"] == spans["run"]) & inside, "left").select(rows["*"], "fold", F.col("fold").isNotNull().cast("int").alias("test_mask"))  # folds are few

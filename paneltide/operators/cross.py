@@ -136,3 +136,26 @@ def mahalanobis(panel: DataFrame, dates: DataFrame, window: int = 126) -> DataFr
             yield pd.DataFrame({"ts": batch["ts"], "turbulence": out})
 
     return rows.select("ts", "r", "past").mapInPandas(run, "ts date, turbulence double")
+
+
+def rank_average(scored: DataFrame, base: str, other: str) -> DataFrame:
+    """Adds blend: the mean of both percentile ranks, that of the base alone where the other is null."""
+    a, b = pct_rank(F.col(base)), pct_rank(F.col(other))
+    return scored.withColumns({"__a": a, "__b": b}).withColumn("blend", (F.col("__a") + F.coalesce("__b", "__a")) / 2).drop("__a", "__b")
+
+
+def regime_score(series: DataFrame, n: int = 40, least: int = 52) -> DataFrame:
+    """(ts, bench, bear, turbulence) with score: 1, 0.65 or 0.3 for none, one or more of: below the average of n rows, a bear
+    state, turbulence over the 90th percentile of its past (once there are `least` values)."""
+    by = Window.orderBy("ts")  # one series of dates
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    limit = F.when(F.count("turbulence").over(past) >= least, F.percentile("turbulence", F.lit(0.9)).over(past))
+    rows = series.withColumns({"ma": rolling(F.avg, F.col("bench"), n, by), "limit": limit})
+    flags = [F.col("bench") < F.col("ma"), F.col("bear"), F.col("turbulence") > F.col("limit")]
+    bad = reduce(lambda a, b: a + b, (F.coalesce(f.cast("int"), F.lit(0)) for f in flags))
+    return rows.withColumn("score", F.when(bad == 0, 1.0).when(bad == 1, 0.65).otherwise(0.3))
+
+
+def composite_exposure(target: Column, gate: Column, low: float = 0.1, high: float = 1.0) -> Column:
+    """Product of the volatility target's exposure and the gate, within bounds."""
+    return F.least(F.greatest(target * gate, F.lit(low)), F.lit(high))
