@@ -246,7 +246,7 @@ def walk(spark, sf_dir, k: int = 5) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_WALK} SELECT {D}, {sfixed({'r': 4, 'turnover': 4, 'exposure': 4})} FROM walk")
 def walkforward_weekly(spark, sf_dir):
-    """Flagship: weekly momentum portfolio with inverse volatility, caps, a regime gate, liquidation and costs."""
+    """Weekly momentum portfolio with inverse volatility, caps, a regime gate, liquidation and costs."""
     return walk(spark, sf_dir).select(day(), *fixed({"r": 4, "turnover": 4, "exposure": 4}))
 
 

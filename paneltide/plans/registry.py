@@ -17,4 +17,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return market.walkforward_weekly(spark, sf_dir)
+    return market.boll_backtest_metrics(spark, sf_dir)
