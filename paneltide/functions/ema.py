@@ -1,4 +1,4 @@
-"""Exponential averages (seed: the first value) as a scan in blocks: windows and one small join, no Python.
+"""Exponential averages (seed: the first value) as a scan in blocks: windows over one partitioning, no Python, no join.
 
 Inside a block the recurrence is a scaled running sum; the value carried into a block is a weighted sum of the ends of
 earlier blocks, of which only those that still matter in double precision are read.
@@ -31,13 +31,13 @@ def ema(df: DataFrame, out: str, x: Column, span: float | None = None, alpha: fl
     scaled = F.when(F.col("__x").isNotNull(), weight * F.col("__x") * F.pow(F.lit(keep), -F.col("__j")))
     inside = Window.partitionBy("symbol", "__b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__e", F.sum(scaled).over(inside) * F.pow(F.lit(keep), F.col("__j")))
-    ends = rows.where((F.col("__j") == block - 1) & F.col("__x").isNotNull()).select("symbol", "__b", "__e")
-    past = Window.partitionBy("symbol").orderBy("__b").rowsBetween(-(reach - 1), 0)
-    fold = F.aggregate(F.collect_list("__e").over(past), F.lit(0.0), lambda acc, e: acc * keep**block + e)
-    carried = ends.select("symbol", (F.col("__b") + 1).alias("__b"), fold.alias("__carry"))
-    rows = rows.join(carried, ["symbol", "__b"], "left")
-    value = F.col("__e") + F.coalesce("__carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__j") + 1)
-    return rows.withColumn(out, F.when(F.col("__x").isNotNull(), value)).drop("__x", "__n", "__b", "__j", "__e", "__carry")
+    # the ends of the last blocks, oldest first: one value a block, in the same partition as all else
+    ends = F.when((F.col("__j") == block - 1) & F.col("__x").isNotNull(), F.col("__e"))
+    past = Window.partitionBy("symbol").orderBy("__b").rangeBetween(-reach, -1)
+    rows = rows.withColumn("__ends", F.collect_list(ends).over(past))
+    rows = rows.withColumn("__carry", F.aggregate("__ends", F.lit(0.0), lambda acc, e: acc * keep**block + e))
+    value = F.col("__e") + F.col("__carry") * F.pow(F.lit(keep), F.col("__j") + 1)
+    return rows.withColumn(out, F.when(F.col("__x").isNotNull(), value)).drop("__x", "__n", "__b", "__j", "__e", "__ends", "__carry")
 
 
 def wilder(df: DataFrame, out: str, x: Column, n: int) -> DataFrame:
