@@ -45,6 +45,7 @@ def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (),
     are left out.
     """
     by = Window.partitionBy(*keys, "symbol").orderBy("ts") if keys else by_symbol()
+    weights = weights.persist()  # a few names for each decision, read four times
     decisions = weights.select(*keys, "ts").distinct()
     # in force: from the date after a decision to the next decision
     spans = decisions.withColumn("until", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts") if keys else Window.orderBy("ts")))

@@ -17,8 +17,9 @@ _OHLCV = {"open": 3, "high": 3, "low": 3, "close": 3, "volume": 2}
 
 
 def dense(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
+    """The daily closes on all dates, filled; persisted, since portfolios read it for scores, schedules and returns."""
     panel = clean.densify(panels.bars_daily(spark, sf_dir).select("symbol", "ts", "close"))
-    return panel.withColumn("close", clean.ffill(F.col("close"), limit))
+    return panel.withColumn("close", clean.ffill(F.col("close"), limit)).persist()
 
 
 @query(f"WITH {BARS} SELECT symbol, {D}, {sfixed(_OHLCV)} FROM bars")
