@@ -27,6 +27,8 @@ SCRIPTS = (
 N_SCRIPTS = 18
 #: Slots of the 4-gram table of each language; texts of each language that are learned from at most, about.
 SLOTS, LEARN_TEXTS = 1 << 16, 1500
+#: Languages that are learned at most, the most frequent ones.
+LANGUAGES = 200
 #: Share of a language's letters from which a script is one of its own; cost of a switch in nats; words of a block.
 OWN_SCRIPT, SWITCH, BLOCK = 0.02, 14.0, 128
 
@@ -92,12 +94,12 @@ def learn(docs: DataFrame, limit: int = LEARN_TEXTS) -> dict | None:
     N_SCRIPTS numbers for each language.
     """
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).toLocalIterator()}
     if not sizes:
         return None
     names = sorted(sizes)
     share = F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, limit / sizes[k]))))
-    chosen = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col("lang")])
+    chosen = docs.where(F.col("lang").isin(names)).where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col("lang")])
     number = F.create_map(*(F.lit(x) for i, k in enumerate(names) for x in (k, i)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
