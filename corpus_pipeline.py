@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneltide.llm import bpe, decontaminate, lines, neardup, quality
-from paneltide.llm.shared import documents, held_out, save
+from paneltide.llm.shared import documents, held_out, save, ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRY = ("lang", "source")
@@ -18,6 +18,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, all columns. It learns from labels of documents that are not held out."""
+    ship(spark)
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out())
     return quality.keep_good(docs, quality.learn(docs, labels))
@@ -25,6 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines stay in the first document alone; a document of which nothing is left but was something goes."""
+    ship(spark)
     done = lines.dedup_lines(docs, carry=CARRY)
     rest = (F.col("n_dropped") == 0) | F.col("kept").rlike(r"\S")
     return _columns(done.where(rest).withColumnRenamed("kept", "text"))
@@ -32,6 +34,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five words, 0.8) the smallest id stays; rows without an id stay."""
+    ship(spark)
     docs = docs.select(*COLUMNS)
     gone = neardup.near_duplicates(docs, n=5, percent=80).where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -39,12 +42,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    ship(spark)
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=CARRY)
     return _columns(found.where(~F.col("contaminated")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of the ids and of the decoded text."""
+    ship(spark)
     return bpe.encode(docs, with_ids=False)
 
 

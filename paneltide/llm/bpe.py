@@ -24,7 +24,7 @@ from .text import pieces
 #: How the vocabulary's byte-level pre-tokeniser splits text (fixed by the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of which the encoding is kept at once in a worker.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def visible_bytes() -> list[str]:
@@ -74,15 +74,16 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8)
         self.split = regex.compile(SPLIT).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b, one after the other, encode as a and b: no merge across the border comes before those inside."""
-        known = self.fits.get((a, b))
+        key = a << 32 | b
+        known = self.fits.get(key)
         if known is not None:
             return known
-        key, bound, ok = (a, b), len(self.left), True
+        bound, ok = len(self.left), True
         while True:
             over = self.merged.get((a, b))
             if over is not None and over < bound:

@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker: texts may be long, so rows alone do not bound it.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package's code, once for a session."""
+    """Give executors this package's code, once for a session, and bound the batches of texts that are sent to Python."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     if getattr(spark.sparkContext, "_paneltide_shipped", False):
         return
     spark.sparkContext._paneltide_shipped = True
