@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 from ..functions import indicators as I
 from ..functions.windows import by_symbol, change, lag, ratio, rolling
-from ..operators import backtest, clean, cross, learn, metrics, orders, rules
-from ..sources import panels
+from ..operators import backtest, clean, cross, learn, metrics, orders, rules, strategies
+from ..sources import panels, sinks
 from ..streaming.ticks import folder
 from .features import D, dense
 from .learning import FEATURES, rows
-from .market import _BOOK, _CAPPED, _CHOSEN, _MOM, _TARGET, _WALK, _scored, _z, account, pair_zscores, returns, walk
+from .market import _BOLL, _BOOK, _CAPPED, _CHOSEN, _MOM, _PERF, _PERF_SQL, _TARGET, _WALK, _scored, _z, account, pair_zscores, returns, walk
 from .oracle import BARS, BENCH, DENSE, RETURNS, S, WEEKLY, day, fix, fixed, query, sfix, sfixed, srolling
 
 
@@ -212,3 +212,29 @@ def sequence_classifier(spark, sf_dir):
     names = [f"x{i}" for i in range(8)]
     net = learn.assembled(names, MultilayerPerceptronClassifier(layers=[8, 6, 2], maxIter=30, seed=7, featuresCol="features", labelCol="label"))
     return learn.fit_predict(df, net).select("symbol", day(), "label", "score")
+
+
+_HOLD = f"hn AS (SELECT *, row_number() OVER ({S}) AS rn, count(*) OVER (PARTITION BY symbol) AS c FROM weekly), hp AS (SELECT symbol, ts, close, CASE WHEN rn > 1 AND rn < c THEN 1 ELSE 0 END AS position FROM hn)"
+
+
+@query(f"WITH {WEEKLY}, {_HOLD}, {_BOLL.format('weekly')}, u AS (SELECT 'buy and hold' AS run, symbol, ts, close, position FROM hp UNION ALL SELECT 'bollinger', symbol, ts, close, position FROM pos), ub AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY run, symbol ORDER BY ts), 0) AS before, close / lag(close) OVER (PARTITION BY run, symbol ORDER BY ts) - 1 AS ret FROM u), q AS (SELECT run, ts, avg(coalesce(ret * before, 0) - abs(position - before) * 0.001) AS r FROM ub GROUP BY 1, 2), {_PERF_SQL.format('q', '52.0')} SELECT run, n, {sfixed(_PERF)} FROM pf")
+def strategy_engine(spark, sf_dir):
+    """All registered strategies over all symbols, and their performance."""
+    rows = strategies.run(panels.bars_weekly(spark, sf_dir), ["buy and hold", "bollinger"])
+    return metrics.performance(rows.select("run", "ts", "r"), 52).withColumn("log_total", F.log1p("total")).select("run", "n", *fixed(_PERF))
+
+
+@query(f"WITH {RETURNS} SELECT run || ' ' || count(*) AS line FROM returns WHERE r IS NOT NULL GROUP BY run UNION ALL SELECT 'all ' || count(*) FROM returns WHERE r IS NOT NULL")
+def report_lines(spark, sf_dir):
+    """Lines appended by two runs and read back."""
+    path = folder(spark, "report")
+    r = returns(spark, sf_dir).where("r IS NOT NULL")
+    sinks.append_report(r.groupBy("run").agg(F.count(F.lit(1)).alias("n")), path, F.concat_ws(" ", "run", F.col("n").cast("string")))
+    sinks.append_report(r.agg(F.count(F.lit(1)).alias("n")), path, F.concat(F.lit("all "), F.col("n").cast("string")))
+    return sinks.read_report(spark, path).select(F.col("value").alias("line"))
+
+
+@query()
+def pipeline_features(spark, sf_dir):
+    """Features by name as a stage of a model pipeline."""
+    return strategies.PanelFeatures(["log_return", "roc_10", "rsi_14", "vol_20"]).transform(panels.bars_daily(spark, sf_dir)).select("symbol", day(), "log_return", "roc_10", "rsi_14", "vol_20")
