@@ -267,10 +267,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # step 2: in each bucket, the class that shares most buckets is the centre
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = save(bands.join(shared, "band"), "buckets")
+    # tables of their own, so that the joins can split a very large bucket
+    buckets = save(bands.join(save(shared, "shared"), "band"), "buckets")
     degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
     bands = buckets.join(degree, "node")
     centres = bands.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("a"))
+    centres = save(centres, "centres")
     stars = bands.join(centres, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     hashes = lambda k: classes.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
     alike = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x)) >= ALIKE
