@@ -115,7 +115,8 @@ def learn(docs: DataFrame, limit: int = LEARN_TEXTS) -> dict | None:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table.ravel()[at], pa.int64())], ["at", "n"])
 
-    counted = chosen.select("text", number[F.col("lang")].alias("number")).coalesce(16).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    # the chosen texts alone move to 16 tasks, each of which sums into one table
+    counted = chosen.select("text", number[F.col("lang")].alias("number")).repartition(16).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(names), SLOTS + N_SCRIPTS))
     table.ravel()[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
     seen, letters = table[:, :SLOTS], table[:, SLOTS:]
