@@ -68,43 +68,52 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
 
 
 def transfers(blocks: dict[tuple[int, int], int], old: int, new: int) -> dict[tuple[int, int], int]:
-    """The new shard of each block (old shard, number) with its bytes: the flow's amounts in whole blocks, then evened out."""
-    total = sum(blocks.values())
+    """The new shard of each block (old shard, number) with its bytes: blocks larger than a share have shards of their own,
+    the others go by the flow's amounts in whole blocks, evened out until no move helps."""
+    rest, large = sum(blocks.values()), []
     have = [0] * old
     for (i, _), size in blocks.items():
         have[i] += size
-    capacity = [total // new + (j < total % new) for j in range(new)]
-    flow = min_cost_flow(have, capacity, [[int(i != j) for j in range(new)] for i in range(old)])
-    where = {}
-    for i in range(old):
-        need = np.array(flow[i], np.int64)
-        for key in sorted((k for k in blocks if k[0] == i), key=lambda k: (-blocks[k], k)):
-            # the largest blocks first, each to where most is still wanted
-            where[key] = int(np.argmax(need))
-            need[where[key]] -= blocks[key]
-    inside: list[dict] = [{} for _ in range(new)]
-    load = np.zeros(new, np.int64)
-    for key, j in where.items():
-        inside[j][key] = blocks[key]
-        load[j] += blocks[key]
-    for _ in range(8 * new):  # even out what whole blocks have left over
-        a, b = int(np.argmax(load)), int(np.argmin(load))
-        gap = int(load[a] - load[b])
-        best = min(((abs(gap - 2 * s), k) for k, s in inside[a].items() if 0 < s < gap), default=None)
-        if best is None or best[0] >= gap:
-            # the fullest shard has no block that helps (one large group): even out the others
-            rest = [j for j in range(new) if j != a]
-            a = max(rest, key=lambda j: load[j], default=a)
-            gap = int(load[a] - load[b])
-            best = min(((abs(gap - 2 * s), k) for k, s in inside[a].items() if 0 < s < gap), default=None)
-            if best is None or best[0] >= gap:
-                break
-        key = best[1]
-        inside[b][key] = inside[a].pop(key)
-        load[a] -= blocks[key]
-        load[b] += blocks[key]
-        where[key] = b
-    return where
+    for key in sorted(blocks, key=lambda k: (-blocks[k], k)):
+        if blocks[key] * (new - len(large)) <= rest:
+            break
+        large.append(key)
+        rest -= blocks[key]
+        have[key[0]] -= blocks[key]
+    where, free = {}, set(range(new))
+    for key in large:  # the largest of an old shard stays: it is more than the share that could stay in its place
+        if key[0] in free:
+            where[key] = key[0]
+            free.remove(key[0])
+    for key in large:
+        if key not in where:
+            # the shard in which the least could have stayed
+            where[key] = min(free, key=lambda j: (have[j] if j < old else 0, -j))
+            free.remove(where[key])
+    sinks = np.array(sorted(free))
+    capacity = [rest // len(sinks) + (j < rest % len(sinks)) for j in range(len(sinks))]
+    flow = min_cost_flow(have, capacity, [[int(i != j) for j in sinks.tolist()] for i in range(old)])
+    keys = sorted(blocks.keys() - where.keys(), key=lambda k: (k[0], -blocks[k], k))
+    size = np.array([blocks[k] for k in keys], np.int64)
+    at, load = np.zeros(len(keys), np.int64), np.zeros(len(sinks), np.int64)
+    need = [np.array(row, np.int64) for row in flow]
+    for n, key in enumerate(keys):
+        # the largest blocks first, each to where most is still wanted
+        at[n] = j = int(np.argmax(need[key[0]]))
+        need[key[0]][j] -= size[n]
+        load[j] += size[n]
+    while True:  # even out what whole blocks have left over; every move makes the sum of squares smaller
+        b = int(np.argmin(load))
+        gap = load[at] - load[b]
+        helps = np.flatnonzero((size > 0) & (size < gap))
+        if not len(helps):
+            break
+        helps = helps[gap[helps] == gap[helps].max()]  # from the fullest shard that has such a block
+        n = int(helps[np.argmin(np.abs(gap[helps] - 2 * size[helps]))])
+        load[at[n]] -= size[n]
+        load[b] += size[n]
+        at[n] = b
+    return where | {k: int(j) for k, j in zip(keys, sinks[at])}
 
 
 def reshard(docs: DataFrame, size: Column, group: Column, old_shards: int = 32, new_shards: int = 40, old_shard: Column | None = None) -> DataFrame:

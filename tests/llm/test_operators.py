@@ -402,6 +402,21 @@ def test_sharding(spark):
     assert back.groupby("text")["shard"].nunique().max() == 1
 
 
+@pytest.mark.parametrize("shares", [(0.1,), (0.34,), (0.3, 0.1), (0.2, 0.2)])
+def test_sharding_of_groups_larger_than_a_share(shares):
+    rng = np.random.default_rng(5)
+    blocks = {(i, b): int(rng.lognormal(8, 1)) for i in range(32) for b in range(1024)}
+    total = sum(blocks.values())
+    large = [(7, b) for b in range(len(shares))]  # in one old shard
+    for key, share in zip(large, shares):
+        blocks[key] = int(total * share / (1 - sum(shares)))
+    where = sharding.transfers(blocks, 32, 40)
+    load = np.bincount([where[k] for k in blocks], [blocks[k] for k in blocks], 40)
+    assert where.keys() == blocks.keys() and where[large[int(np.argmax(shares))]] == 7
+    others = np.delete(load, [where[k] for k in large])
+    assert len(others) == 40 - len(shares) and others.max() - others.min() < 0.001 * others.mean()
+
+
 def test_sharding_awkward(spark):
     t = F.coalesce("text", F.lit("")).cast("binary")
     out = sharding.reshard(awkward(spark), F.octet_length(t).cast("long") + 16, t)
