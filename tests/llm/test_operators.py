@@ -213,6 +213,17 @@ def test_lines(spark):
         assert got[i] == (len(want[i]), kept)
 
 
+def test_short_lines(spark):
+    rng = random.Random(4)
+    short = ["Menu", "Read more", "All rights reserved.", "Page {0}"]
+    rows = [(i, "\n".join([" ".join(rng.choices("abcdefghijklmnop", k=9)), short[i % 4].format(i), "", f"only {'x' * (i + 1)}"])) for i in range(24)]
+    got = {r["doc_id"]: (r["n_dropped"], r["kept"]) for r in lines.dedup_lines(docs(spark, rows), 5).collect()}
+    want = line_drops(rows, 5, 1, lines.LIKE)
+    for i, t in rows:
+        assert want[i] == ({1} if i >= 4 else set())  # the first document keeps its line
+        assert got[i] == (len(want[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]))
+
+
 def test_lines_awkward(spark):
     out = lines.dedup_lines(awkward(spark), 3, carry=("lang", "source"))
     assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept", "kept_sha256", "lang", "source"]
