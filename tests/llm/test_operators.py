@@ -224,6 +224,17 @@ def test_short_lines(spark):
         assert got[i] == (len(want[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]))
 
 
+def test_long_lines_of_a_few_texts(spark):
+    rng = random.Random(6)
+    body = lambda n: " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, long, pair, short = body(60), body(lines.LONG - 1) + " 12", body(20), body(lines.LONG - 1)
+    rows = [(i, "\n".join([body(12), passage, long if i else "none", body(9), pair if i < 2 else "no pair", short])) for i in range(lines.AGAIN + 1)]
+    rows += [(20, rows[1][1]), (21, body(12) + "\n" + long.replace("12", "13")), (22, pair), (23, pair)]  # copies count once; another number is another line
+    got = {r["doc_id"]: r["kept"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    dropped = {i: {k for k, x in enumerate(t.split("\n")) if x not in got[i].split("\n")} for i, t in rows}
+    assert dropped == {0: set(), 1: {1, 4}, 2: {1, 2}, 3: {1, 2}, 20: {1, 2, 4}, 21: set(), 22: {0}, 23: {0}}
+
+
 def test_lines_awkward(spark):
     out = lines.dedup_lines(awkward(spark), 3, carry=("lang", "source"))
     assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept", "kept_sha256", "lang", "source"]
