@@ -380,6 +380,17 @@ def test_decontamination_finds_leaks_and_paraphrases(spark):
     assert got == want
 
 
+def test_decontamination_whatever_the_size_and_skew(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 15, 10_000)) for k in range(3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    alone = decontaminate.decontaminate(docs(spark, [(1, items[0][1])]), bench).collect()
+    assert alone[0]["item_ids"] == [0]
+    rows = [(i, items[1][1] + " and more" if i % 3 == 0 else prose(rng, 25, 10_000)) for i in range(60)] + [(99, prose(rng, 70) + " " + items[1][1])]
+    found = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()}
+    assert found == {i: [1] if i % 3 == 0 else [] for i, _ in rows}
+
+
 def test_decontamination_awkward(spark, monkeypatch):
     items = spark.createDataFrame([(1, corpus()[3][1]), (2, "no id at all but some words here"), (None, "x y z")], "item_id long, text string")
     out = decontaminate.decontaminate(awkward(spark), items, carry=("lang",)).collect()
