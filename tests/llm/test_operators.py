@@ -391,6 +391,24 @@ def test_decontamination_whatever_the_size_and_skew(spark):
     assert found == {i: [1] if i % 3 == 0 else [] for i, _ in rows}
 
 
+def test_decontamination_recall_by_length_of_item(spark):
+    rng = random.Random(12)
+    lengths = [3, 4, 5, 8, 12, 13, 20, 40, 64, 65, 100, 300, 711, 1000, 2000]
+    items = [(k, prose(rng, n, 3000)) for k, n in enumerate(lengths)]
+    bag = [w for _, t in items for w in t.split()]  # all words around an item are in the vocabulary
+    fill = lambda: " ".join(rng.choices(bag, k=rng.randrange(50, 150)))
+    rows = [(100 * k + c, f"{fill()} {t} {fill()}") for k, t in items for c in range(4)]
+    code = lambda t: decontaminate.tokens(pa.array([t]))[0]
+    want = {(i, k) for i, x in rows for k, t in items if decontaminate.contaminated(code(t), code(x))}  # brute force over whole texts
+    got = {(r["doc_id"], k) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect() for k in r["item_ids"]}
+    planted = {(100 * k + c, k) for k, _ in items for c in range(4)}
+    missed = {}
+    for i, k in sorted(planted - got):
+        missed[lengths[k]] = missed.get(lengths[k], 0) + 1
+    assert planted <= want and got <= want
+    assert missed == {}
+
+
 def test_decontamination_awkward(spark, monkeypatch):
     items = spark.createDataFrame([(1, corpus()[3][1]), (2, "no id at all but some words here"), (None, "x y z")], "item_id long, text string")
     out = decontaminate.decontaminate(awkward(spark), items, carry=("lang",)).collect()
