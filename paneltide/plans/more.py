@@ -193,14 +193,28 @@ def model_round_trip(spark, sf_dir):
     return PipelineModel.load(path).transform(latest).select("symbol", day(), "prediction")
 
 
+def forward_folds(df: DataFrame, parts: int = 6) -> tuple[DataFrame, list[tuple[int, int, int, int, int]]]:
+    """Rows with the number n of their date, and folds (fold, train, train end, test, test end) that reach the last date."""
+    dates = df.select(F.lit("all").alias("run"), "ts").distinct()
+    span = dates.count() // parts
+    folds = [tuple(r)[1:] for r in backtest.fold_table(dates, span, max(5, span)).orderBy("fold").collect()]
+    if not folds:
+        raise ValueError("too few dates for forward folds")
+    n = dates.withColumn("n", F.row_number().over(Window.orderBy("ts")) - 1).select("ts", "n")  # one row a date
+    folds[-1] = (*folds[-1][:4], dates.count())  # dates too few for a fold of their own are the last one's
+    return df.join(F.broadcast(n), "ts"), folds
+
+
 @query()
 def grid_search(spark, sf_dir):
     """Two elastic nets on forward folds, by the Sharpe ratio of their signs."""
     df = rows(spark, sf_dir).withColumn("label", F.col("fwd"))
-    df = df.withColumn("n", F.dense_rank().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    path = folder(spark, "grid")
+    df.write.parquet(path)  # read by every fit
+    df, folds = forward_folds(spark.read.parquet(path))
     models = {f"reg {x}": learn.return_model("net", FEATURES, regParam=x) for x in (0.01, 0.3)}
     metric = F.try_divide(F.avg(F.signum("score") * F.col("label")), F.stddev_samp(F.signum("score") * F.col("label"))) * 252**0.5
-    return learn.grid_search(df, models, [(0, 0, 60, 65, 100), (1, 0, 95, 100, 140)], "n", metric)
+    return learn.grid_search(df, models, folds, "n", metric)
 
 
 @query()

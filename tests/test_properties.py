@@ -225,3 +225,18 @@ def test_rows_for_models_end_before_their_labels(spark):
 @pytest.mark.parametrize("name", sorted({"buffered_selection", "hold_period_positions", "pair_positions", "null_test", "turbulence_nd", "bootstrap_scenarios", "stream_positions", "stream_stale", "bear_state", "feature_panel"}))
 def test_queries_without_sql_run(spark, name):
     registry.queries()[name](spark, SMALL).toPandas()
+
+
+def test_grid_search_covers_every_bar(spark, monkeypatch):
+    from paneltide.operators import learn
+    from paneltide.plans import more
+
+    seen = {}
+    monkeypatch.setattr(learn, "grid_search", lambda df, models, folds, order, metric: seen.update(df=df, folds=folds, order=order))
+    more.grid_search(spark, "/root/testdata/sf0.01")
+    folds, n = sorted(seen["folds"]), F.col(seen["order"])
+    assert all(a == 0 and a < z < start < end for _, a, z, start, end in folds) and all(x[4] == y[3] for x, y in zip(folds, folds[1:]))
+    inside = " OR ".join(f"n BETWEEN {start} AND {end - 1}" for *_, start, end in folds)
+    left = seen["df"].where("label IS NOT NULL").withColumn("n", n).where(f"NOT ({inside}) AND n >= {folds[0][3]}").count()
+    assert left == 0
+    assert seen["df"].where("label IS NOT NULL").where(n < folds[0][3]).where(n >= folds[-1][2]).count() == 0
