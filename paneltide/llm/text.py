@@ -95,6 +95,20 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray = ~SPACE) -> tup
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, code point and number of bytes of each character of valid UTF-8 beyond ASCII."""
+    at = np.flatnonzero(data >= 0xC0)
+    near = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int32) & 63
+    b, c1, c2, c3 = data[at].astype(np.int32), near(1), near(2), near(3)
+    size = 2 + (b >= 0xE0) + (b >= 0xF0)
+    return at, np.where(size == 2, (b & 31) << 6 | c1, np.where(size == 3, (b & 15) << 12 | c1 << 6 | c2, (b & 7) << 18 | c1 << 12 | c2 << 6 | c3)), size
+
+
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from first[i] on, size[i] of them, for each i in a row."""
+    return np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 def per_row(rows: np.ndarray, n: int) -> np.ndarray:
     """Offsets (n + 1) of each row in an array whose element i belongs to rows[i], rows rising."""
     return np.searchsorted(rows, np.arange(n + 1), side="left")

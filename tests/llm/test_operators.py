@@ -179,10 +179,23 @@ def test_bpe_equals_the_library(spark):
     rng = random.Random(7)
     texts = [t or "" for _, t in corpus()] + ["<|endoftext|>a<|endoftext|>", " \x85\x1c x", "don't  WE'll\n\n", "a" * 5000]
     texts += ["".join(rng.choice(" \t\n'sdleéñ漢字🙂​Ⅷ٣ab01!?%…") for _ in range(rng.randint(0, 60))) for _ in range(500)]
-    for t in texts:
-        ids = mine.encode(t)
-        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
-        assert mine.decode(ids).decode() == t == library.decode(ids.tolist(), skip_special_tokens=False)
+    for part in [texts, *([t] for t in texts)]:
+        ids, off = mine.encode(pa.array([*part, None]))
+        back, at = mine.decode(ids)
+        for t, a, z in zip(part, off, off[1:]):
+            assert ids[a:z].tolist() == library.encode(t, add_special_tokens=False).ids
+            assert back[at[a] : at[z]].tobytes().decode() == t == library.decode(ids[a:z].tolist(), skip_special_tokens=False)
+        assert off[-1] == off[-2] == len(ids)
+
+
+def test_bpe_searches_side_by_side_as_one_by_one():
+    mine, rng = bpe.vocabulary(bpe.vocabulary_bytes(None)), random.Random(8)
+    many = list({"".join(rng.choice("aeiostrnlédh漢 ") for _ in range(rng.randint(1, 30))).encode() for _ in range(3000)})
+    ids, n = mine.encode_pieces(np.frombuffer(b"".join(many), np.uint8), np.array(list(map(len, many))))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [mine.id[mine.encode_piece(p)].tolist() for p in many]
+    a, b = (np.array([rng.randrange(len(mine.left)) for _ in range(20_000)]) for _ in range(2))
+    for _ in range(2):  # from the rule, then from the table
+        assert mine.compatible_pairs(a, b).tolist() == [mine.compatible(x, y) for x, y in zip(a.tolist(), b.tolist())]
 
 
 def test_bpe_awkward(spark):
