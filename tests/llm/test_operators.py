@@ -248,6 +248,37 @@ def test_long_lines_of_a_few_texts(spark):
     assert dropped == {0: set(), 1: {1, 4}, 2: {1, 2}, 3: {1, 2}, 20: {1, 2, 4}, 21: set(), 22: {0}, 23: {0}}
 
 
+def test_lines_of_a_hot_leaf(spark):
+    """Thousands of different lines that begin alike: variants of a few templates, many of each, and lines that are like no other."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    bases, rows = [["one", "two", "three", *(word() for _ in range(21))] for _ in range(3)], []
+    for i in range(3000):
+        line = list(bases[i % 3]) if i < 1500 else ["one", "two", "three", *(word() for _ in range(21))]
+        if i < 1500:
+            line[rng.randrange(3, 24)] = word()
+        rows.append((i, word() + "\n" + " ".join(line)))
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert not any(got[i] for i in range(1500, 3000))
+    # a template wears off as its lines differ: a few more are founded, of which each stays once
+    assert all(sum(1 - got[i] for i in range(k, 1500, 3)) < 25 for k in range(3))
+
+
+def test_templates_of_a_small_part_size(spark, monkeypatch):
+    """Whatever the size of the parts, lines that are like each other and no others get one template."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    bases = [["one", "two", "three", *(word() for _ in range(37))] for _ in range(6)]
+    rows = []
+    for i in range(240):
+        line = list(bases[i % 6])
+        line[3 + i // 6 % 9] = word()  # at most nine of forty places differ
+        rows.append((i, word() + "\n" + " ".join(line)))
+    monkeypatch.setattr(lines, "SPLIT", 7)
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: int(i >= 6) for i in range(240)}
+
+
 def test_lines_awkward(spark):
     out = lines.dedup_lines(awkward(spark), 3, carry=("lang", "source"))
     assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept", "kept_sha256", "lang", "source"]
@@ -294,12 +325,13 @@ def test_warc_frames_and_faults():
 # 1
 
 
-def test_viterbi_equals_the_plain_recursion():
+@pytest.mark.parametrize("labels", [1, 3, 16, 17, 130, 300])
+def test_viterbi_equals_the_plain_recursion(labels):
     rng = np.random.default_rng(0)
     for switch in (0.5, 5.0, 50.0):
-        sizes = rng.integers(0, 400, 8)
+        sizes = rng.permutation([*rng.integers(0, 400, 8), 0, 1])
         off = np.concatenate([[0], np.cumsum(sizes)])
-        score = (rng.normal(size=(off[-1], 3)) * 3).astype(np.float32)
+        score = (rng.normal(size=(off[-1], labels)) * 3).astype(np.float32)
         lab = language.viterbi(score, off, switch)
 
         def value(s, l):
@@ -331,6 +363,34 @@ def test_scripts_narrow_candidates(spark):
     assert [r["lang_pred"] for r in out][:2] == ["ru", "en"] and out[2]["lang_pred"] in model["names"] and out[3]["lang_pred"] == "und"
 
 
+def test_letters_are_by_category(spark):
+    rows = [(1, "hindi", "नमस्ते दुनिया " * 20), (2, "arabic", "مرحبا بالعالم " * 20), (3, "hindi", "यह क्या है " * 20)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    texts = ["١٢٣", "؟", "\u0941\u0902", "\u0301", "…", "½ ²", "مرحبا", "क्या", "ლ" * 3]
+    got = [r["lang_pred"] for r in language.identify(docs(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()]
+    assert got[:6] == ["und"] * 6 and got[6:8] == ["arabic", "hindi"] and got[8] in model["names"]
+    # nothing tells the languages apart: the first by name
+    assert got[8] == "arabic"
+
+
+def test_many_languages(spark):
+    """More languages than a byte can number, each with words of its own, in any order of the rows."""
+    rng = random.Random(3)
+    bags = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(30)] for _ in range(140)]
+    rows = [(i, f"l{i % 140:03}", " ".join(rng.choice(bags[i % 140]) for _ in range(60))) for i in range(420)]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "doc_id long, lang string, text string")
+        model = language.learn(df.where("doc_id < 280"))
+        out = language.identify(df.where("doc_id >= 280"), model).join(df.select("doc_id", "lang"), "doc_id").collect()
+        assert np.mean([x["lang_pred"] == x["lang"] for x in out]) > 0.97
+
+
+def test_language_of_a_text_longer_than_a_slice(spark):
+    df = spark.createDataFrame([(1, "en", "the cat and the dog " * 90_000), (2, "fr", "le chat et le chien " * 50)], "doc_id long, lang string, text string")
+    out = language.identify(df, language.learn(df)).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in out] == ["en", "fr"] and len(out[0]["spans"]) == 1 and out[0]["spans"][0]["end"] == len("the cat and the dog ") * 90_000 - 1
+
+
 def test_language_awkward(spark):
     df = awkward(spark)
     out = language.identify(df, language.learn(df)).collect()
