@@ -515,15 +515,61 @@ def test_flow_is_least():
         sharding.min_cost_flow([5], [4], [[0]])
 
 
-def test_sharding(spark):
+def laid_out(spark, df, size, group, old, new, shard=None):
+    first = sharding.lay_out(df, size, group, old, new_path(spark, "layout"), shard)
+    second, took = sharding.reshard(first, new, new_path(spark, "layout"))
+    return first, second, took
+
+
+@pytest.mark.parametrize("old,new", [(6, 8), (8, 5), (4, 4), (1, 3)])
+def test_sharding(spark, old, new):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(1, 80))) for i in range(3000)] + [(5000 + i, "the same text " * 20) for i in range(40)]
-    out = sharding.reshard(docs(spark, rows), F.octet_length("text").cast("long") + 16, F.col("text"), 6, 8)
-    back = sharding.rewrite(out, new_path(spark, "shards")).toPandas()
-    size = back.groupby("shard")["size"].sum()
-    assert len(back) == len(rows) and len(size) == 8 and (size.max() - size.min()) / size.mean() < 0.02
+    size = F.octet_length("text").cast("long") + 16
+    before, after, took = laid_out(spark, docs(spark, rows), size, F.col("text"), old, new)
+    back = sharding.numbered(after.read().select("row.*", "size", "shard", "hash"), new).toPandas()
+    assert sorted(zip(back["doc_id"], back["text"])) == sorted(rows)
+    sums = back.groupby("shard")["size"].sum()
+    assert len(sums) == new and (sums.max() - sums.min()) / sums.mean() < 0.02
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in back.groupby("shard"))
     assert back.groupby("text")["shard"].nunique().max() == 1
+    # rows that changed their shard are the bytes that are counted, little more than the least; other files stay
+    was = before.read().select("row.doc_id", "shard").toPandas().set_index("doc_id")["shard"]
+    assert back["size"][back["shard"] != back["doc_id"].map(was)].sum() == took["moved"] <= took["least"] + 0.02 * sums.sum()
+    written = spark.read.parquet(after.generations[-1][0]).agg(F.sum("size").alias("n")).first()["n"]
+    assert written == (took["rewritten"] or None)
+    if old < new and old > 1:
+        assert took["rewritten"] < took["least"] + old * 1.5 * sums.sum() / old / sharding.BUNDLES
+    # the other files are those of the old layout, untouched
+    files = [r["f"] for r in after.read().select(F.input_file_name().alias("f")).distinct().collect()]
+    assert any(before.generations[0][0].removeprefix("file://") in f for f in files) or old in (1, 8)
+
+
+def test_transfers_are_least_on_small_cases():
+    """Against all ways to place a few blocks: the least bytes moved of those that are as even."""
+    import itertools
+
+    rng = random.Random(6)
+    for _ in range(30):
+        blocks = {(rng.randrange(2), b * 100): rng.randint(1, 9) for b in range(7)}
+        where, _ = sharding.transfers(blocks, 2, 3)
+        keys = list(blocks)
+
+        def load(places):
+            out = [0, 0, 0]
+            for k, j in zip(keys, places):
+                out[j] += blocks[k]
+            return out
+
+        def gap(places):
+            return max(load(places)) - min(load(places))
+
+        mine = [where[k] for k in keys]
+        best = min(gap(p) for p in itertools.product(range(3), repeat=7))
+        assert gap(mine) <= max(best + 3, max(blocks.values()))  # whole blocks, local moves
+        moved = sum(blocks[k] for k, j in where.items() if j != k[0])
+        enough = min(sum(blocks[k] for k, j in zip(keys, p) if j != k[0]) for p in itertools.product(range(3), repeat=7) if gap(p) <= gap(mine))
+        assert moved <= enough + 2 * max(blocks.values())
 
 
 @pytest.mark.parametrize("shares", [(0.1,), (0.34,), (0.3, 0.1), (0.2, 0.2)])
@@ -534,20 +580,23 @@ def test_sharding_of_groups_larger_than_a_share(shares):
     large = [(7, b) for b in range(len(shares))]  # in one old shard
     for key, share in zip(large, shares):
         blocks[key] = int(total * share / (1 - sum(shares)))
-    where = sharding.transfers(blocks, 32, 40)
+    where, least = sharding.transfers(blocks, 32, 40)
     load = np.bincount([where[k] for k in blocks], [blocks[k] for k in blocks], 40)
     assert where.keys() == blocks.keys() and where[large[int(np.argmax(shares))]] == 7
     others = np.delete(load, [where[k] for k in large])
     assert len(others) == 40 - len(shares) and others.max() - others.min() < 0.001 * others.mean()
+    assert sum(size for k, size in blocks.items() if where[k] != k[0]) < 1.02 * least
 
 
 def test_sharding_awkward(spark):
     t = F.coalesce("text", F.lit("")).cast("binary")
-    out = sharding.reshard(awkward(spark), F.octet_length(t).cast("long") + 16, t)
-    assert out.count() == awkward(spark).count() and "size" in out.columns
-    assert sharding.reshard(docs(spark, []), F.lit(16).cast("long"), t).count() == 0
-    moved = sharding.reshard(awkward(spark).withColumn("was", F.lit(0)), F.lit(16).cast("long"), t, 1, 2, F.col("was")).groupBy("shard").count().collect()
-    assert len(moved) == 2
+    size = F.octet_length(t).cast("long") + 16
+    _, after, _ = laid_out(spark, awkward(spark), size, t, 32, 40)
+    rows = sharding.numbered(after.read().select("row.doc_id", "row.size", "row.shard", "row.slot", F.col("shard").alias("to"), "hash").drop("shard", "slot").withColumnRenamed("to", "shard"), 40)
+    assert rows.count() == awkward(spark).count() and set(awkward(spark).columns) == set(after.schema["row"].dataType.names)
+    assert laid_out(spark, docs(spark, []), size, t, 32, 40)[1].read().count() == 0
+    _, after, _ = laid_out(spark, awkward(spark), F.lit(16).cast("long"), t, 1, 2, F.lit(0))
+    assert after.read().groupBy("shard").count().count() == 2
 
 
 # registered queries
