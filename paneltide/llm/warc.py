@@ -1,7 +1,7 @@
 """WARC archives compressed with Zstandard: a dictionary in a leading skippable frame, then one frame per record.
 
-Archives are rows (path, content), the form in which Spark's binaryFile source reads files; write_archives() makes them
-from pages, read_archives() walks their frames and checks every header and length.
+write_archives() makes files of pages, which Spark's binaryFile source reads as rows (path, content); read_archives() walks
+their frames and checks every header and length.
 """
 
 from __future__ import annotations
@@ -15,15 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import new_path
 from .text import pieces
 
-#: Magic numbers of the dictionary's skippable frame and of a Zstandard frame (fixed by the formats).
-SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
+#: Magic numbers of the dictionary's skippable frame, of the first of sixteen kinds of skippable frames and of a Zstandard frame (fixed by the formats).
+SKIPPABLE, ANY_SKIPPABLE, FRAME = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
+#: An empty skippable frame, which all readers pass over: Spark's text writer ends each file with it in place of a line break.
+END = struct.pack("<II", ANY_SKIPPABLE, 0).decode("ascii")
 #: Payloads below this many bytes are always stored in full.
 LEAST = 1000
-#: Payload bytes of one archive at most (or one record); sample and size of an archive's dictionary.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 4 << 20, 1 << 20, 32 << 10
+#: Bytes of the records of one archive from which the next begins; sample and size of an archive's dictionary; rows and bytes that a
+#: task gives out at once when it reads.
+ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 64 << 20, 1 << 20, 32 << 10
+OUT_BYTES, OUT_ROWS = 4 << 20, 5000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -31,8 +35,8 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record(page: dict) -> bytes:
-    """The record of one page. A revisit's block holds the HTTP header alone, with the length of the full payload."""
+def record(page: dict, alone: str) -> bytes:
+    """The record of one page; `alone` makes the id of a page without one. A revisit's block holds the HTTP header alone, with the length of the full payload."""
     payload, revisit = page["html"] or "", page["refers_to"] is not None
     payload = payload.encode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -40,7 +44,7 @@ def record(page: dict) -> bytes:
     url = "".join(c for c in page["url"] or "urn:none" if c >= " ") or "urn:none"
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:page:{'' if page['page_id'] is None else page['page_id']}>",
+        "WARC-Record-ID": f"<urn:page:{page['page_id']}>" if page["page_id"] is not None else f"<urn:nopage:{alone}>",
         "WARC-Date": DATE,
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": f"sha1:{base32(hashlib.sha1(payload).hexdigest())}",
@@ -53,21 +57,31 @@ def record(page: dict) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes]) -> bytes:
-    import zstandard as zstd
+class Archive:
+    """An archive that grows record by record; its dictionary is learned from the first ones."""
+
+    def __init__(self, first: list[bytes]):
+        import zstandard as zstd
+
+        sample, size = [], 0
+        for r in first:
+            if size >= SAMPLE_BYTES:
+                break
+            sample.append(r[: 64 << 10])
+            size += len(sample[-1])
+        try:
+            words = zstd.train_dictionary(DICT_BYTES, sample).as_bytes() if len(sample) >= 16 and size >= 8 * DICT_BYTES else b"".join(sample)[:DICT_BYTES]
+        except zstd.ZstdError:  # samples too much alike to learn from: their beginning is a dictionary too
+            words = b"".join(sample)[:DICT_BYTES]
+        self.make = zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(words), write_checksum=True, write_content_size=True)
+        self.frames, self.size = [struct.pack("<II", SKIPPABLE, len(words)), words], 0
 
-    sample, size = [], 0
-    for r in records:
-        if size >= SAMPLE_BYTES:
-            break
-        sample.append(r[: 64 << 10])
-        size += len(sample[-1])
-    try:
-        words = zstd.train_dictionary(DICT_BYTES, sample).as_bytes() if len(sample) >= 16 and size >= 8 * DICT_BYTES else b"".join(sample)[:DICT_BYTES]
-    except zstd.ZstdError:  # samples too much alike to learn from: their beginning is a dictionary too
-        words = b"".join(sample)[:DICT_BYTES]
-    make = zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(words), write_checksum=True, write_content_size=True)
-    return struct.pack("<II", SKIPPABLE, len(words)) + words + b"".join(map(make.compress, records))
+    def add(self, record: bytes) -> None:
+        self.frames.append(self.make.compress(record))
+        self.size += len(record)
+
+    def content(self) -> bytes:
+        return b"".join(self.frames)
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -133,16 +147,20 @@ def records(data: bytes) -> Iterator[dict]:
     """The records of an archive. A dictionary that is itself a Zstandard frame is decompressed first."""
     import zstandard as zstd
 
-    view, at, words = memoryview(data), 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE:
-        at = 8 + struct.unpack_from("<I", data, 4)[0]
-        words = bytes(view[8:at])
-        if len(words) != at - 8:
-            raise ValueError("the dictionary is cut off")
-        if words[:4] == struct.pack("<I", FRAME):
-            words = zstd.ZstdDecompressor().decompress(words)
-    read = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(words)) if words else zstd.ZstdDecompressor()
+    view, at, read = memoryview(data), 0, zstd.ZstdDecompressor()
     while at < len(data):
+        magic = struct.unpack_from("<I", data, at)[0] if len(data) >= at + 8 else 0
+        if magic & ~0xF == ANY_SKIPPABLE:
+            end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if end > len(data):
+                raise ValueError("a skippable frame is cut off")
+            if magic == SKIPPABLE:  # also that of another archive behind the first
+                words = bytes(view[at + 8 : end])
+                if words[:4] == struct.pack("<I", FRAME):
+                    words = zstd.ZstdDecompressor().decompress(words)
+                read = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(words)) if words else zstd.ZstdDecompressor()
+            at = end
+            continue
         end = frame_end(view, at)
         frame = view[at:end]
         size = zstd.frame_content_size(frame)
@@ -165,16 +183,40 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.join(again, ["digest", "size"], "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, name: str = "warc") -> DataFrame:
-    """Archives (path, content) of pages (page_id, url, html, refers_to), kept in the shared folder."""
+def write_archives(pages: DataFrame, path: str) -> DataFrame:
+    """Files *.warc.zst of pages (page_id, url, html, refers_to) under `path`, read back as rows (path, content).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "html", ARCHIVE_BYTES):
-            data = archive([record(page) for page in batch.to_pylist()])
-            label = hashlib.sha1(data).hexdigest()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{label}.warc.zst"]), pa.array([data], pa.binary())], ["path", "content"])
+    Each row of a task's output is a file of its own, written by Spark's committer, so a lost task leaves no half archive. The driver
+    renames the files, one for ARCHIVE_BYTES of records. Pages that share a page_id share a record id.
+    """
+    from pyspark import TaskContext
+
+    spark = pages.sparkSession
 
-    return save(pages.mapInArrow(run, "path string, content binary"), name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, now = TaskContext.get().partitionId(), 0, None
+        out = lambda a: pa.RecordBatch.from_arrays([pa.array([a.content()], pa.binary())], ["content"])
+        for batch in pieces(batches, "html"):
+            records = [record(page, f"{task}-{n + k}") for k, page in enumerate(batch.to_pylist())]
+            n += len(records)
+            for k, r in enumerate(records):
+                now = now or Archive(records[k:])
+                now.add(r)
+                if now.size >= ARCHIVE_BYTES:
+                    yield out(now)
+                    now = None
+        if now:
+            yield out(now)
+
+    # bytes pass through the text writer as they are
+    pages.mapInArrow(run, "content binary").select(F.col("content").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(Path(f"{path}/part-*.txt")):
+        old = status.getPath()
+        if not fs.rename(old, Path(old.getParent(), old.getName().removesuffix(".txt") + ".warc.zst")):
+            raise OSError(f"{old} was not renamed")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -190,7 +232,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
 
         def number(name: str | None) -> int | None:
-            return int(name[10:-1]) if name and name != "<urn:page:>" else None
+            return int(name[10:-1]) if name and name.startswith("<urn:page:") else None
 
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -200,7 +242,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                         f = r["fields"]
                         rows.append((path, number(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-type"], number(f.get("warc-refers-to")), r["payload_bytes"], base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex(), *([r["payload"]] if with_payload else [])))
                         size += len(r["payload"]) * with_payload
-                        if size > ARCHIVE_BYTES or len(rows) >= 5000:
+                        if size > OUT_BYTES or len(rows) >= OUT_ROWS:
                             yield out(rows)
                             rows, size = [], 0
                 except ValueError as e:
@@ -213,8 +255,12 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A null html is an empty payload, a null url `urn:none`; a null page_id is never referred to and is a response."""
-    archives = write_archives(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """A null html is an empty payload, a null url `urn:none`; a null page_id is never referred to and is a response.
+
+    Rows that are repeated with their page_id and payload are all responses, or all revisits of a larger page_id. No pages
+    give no archive and no rows; columns of pages other than page_id, url and html are left out.
+    """
+    archives = write_archives(with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), new_path(spark, "warc"))
     return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

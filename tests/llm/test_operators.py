@@ -296,27 +296,60 @@ def pages(spark):
 
 
 def test_warc_round_trip(spark):
-    got = {(r["page_id"], r["payload_bytes"]): (r["record_type"], r["refers_to"], bytes(r["payload"]).decode()) for r in warc.read_archives(warc.write_archives(warc.with_revisits(pages(spark)))).collect()}
+    got = {(r["page_id"], r["payload_bytes"]): (r["record_type"], r["refers_to"], bytes(r["payload"]).decode()) for r in warc.read_archives(warc.write_archives(warc.with_revisits(pages(spark)), new_path(spark, "warc"))).collect()}
     big = "x" * 1500
     assert got[1, 1500] == ("revisit", 5, "") and got[5, 1500] == ("response", None, big) and got[None, 1500] == ("response", None, big)
     assert got[3, 5] == ("response", None, "small") and got[4, 5][0] == "response" and got[6, 0] == got[7, 0] == ("response", None, "") and got[8, 1200] == ("response", None, "é" * 600)
-    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages(spark).limit(0)))).count() == 0
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages(spark).limit(0)), new_path(spark, "warc"))).count() == 0
+
+
+def test_warc_files_are_plain_archives(spark, monkeypatch):
+    """Another reader opens the files: the dictionary from the first frame, then a record after the other."""
+    import glob
+
+    import zstandard
+
+    path = new_path(spark, "warc")
+    df = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://h/é").alias("url"), F.repeat(F.concat(F.lit("<p>"), F.col("id").cast("string"), F.lit("\u00e9\n")), 200).alias("html"))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    archives = warc.write_archives(warc.with_revisits(df.repartition(3)), path)
+    files = glob.glob(path.removeprefix("file://") + "/*.warc.zst")
+    assert archives.count() == len(files) > 3
+    seen = 0
+    for f in files:
+        raw = open(f, "rb").read()
+        magic, size = struct.unpack_from("<II", raw)
+        assert magic == warc.SKIPPABLE
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
+        whole = reader.stream_reader(raw[8 + size :], read_across_frames=True).read()
+        seen += whole.count(b"WARC/1.1\r\n")
+    assert seen == 60
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in warc.read_archives(archives).collect()} == {(r["page_id"], r["html"]) for r in df.collect()}
 
 
 def test_warc_frames_and_faults():
     import zstandard
 
     rows = [{"page_id": i, "url": f"http://h/{i}", "html": f"<p>{i}</p>" * 50, "refers_to": None} for i in range(40)]
-    data = warc.archive([warc.record(r) for r in rows])
+    made = [warc.record(r, "") for r in rows]
+    archive = warc.Archive(made)
+    for r in made:
+        archive.add(r)
+    data = archive.content()
     assert struct.unpack_from("<I", data)[0] == warc.SKIPPABLE and [r["payload"].decode() for r in warc.records(data)] == [r["html"] for r in rows]
     size = struct.unpack_from("<I", data, 4)[0]
     packed = zstandard.ZstdCompressor().compress(data[8 : 8 + size])  # a dictionary may be compressed itself
     assert len(list(warc.records(struct.pack("<II", warc.SKIPPABLE, len(packed)) + packed + data[8 + size :]))) == 40
-    plain = zstandard.ZstdCompressor(write_content_size=False).compress(warc.record(rows[0]))
+    plain = zstandard.ZstdCompressor(write_content_size=False).compress(made[0])
     assert len(list(warc.records(plain))) == 1
+    # archives one after the other, each with its dictionary, and empty frames between
+    other = warc.Archive(made[:1])
+    other.add(made[0])
+    assert len(list(warc.records(data + warc.END.encode() + other.content() + warc.END.encode() + plain))) == 42
     with pytest.raises(ValueError):
         list(warc.records(data[:-3]))
-    good = warc.record(rows[0])
+    good = made[0]
+    assert warc.record(rows[0] | {"page_id": None}, "1-2").count(b"<urn:nopage:1-2>") == 1
     for bad in (good.replace(b"WARC/1.1", b"WARC/9"), good[:-1], good.replace(b"<p>0", b"<p>1", 1), good.replace(b"WARC-Type: response\r\n", b""), good.replace(b"WARC-Date: ", b" WARC-Date: ")):
         with pytest.raises(ValueError):
             warc.parse(bad)
