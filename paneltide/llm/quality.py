@@ -1,8 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A text is a bag of passages (runs of PASSAGE words). Every passage of the whole text is described by numbers, encoded by a
-small layer, weighted by gated attention, and the weighted mean of the encodings is scored. Labels are of texts; which
-passages matter is learned.
+A text is a bag of passages (runs of PASSAGE words). Every passage of the whole text is described by its words and byte 4-grams,
+hashed, and by shares of kinds of characters and words; this is encoded by a small layer, weighted by gated attention, and the weighted
+mean of the encodings is scored. Labels are of texts; which passages matter is learned.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, held_out
-from .text import LOWER, Rolling, pieces, utf8, words
+from .text import LOWER, Rolling, mix, pieces, ranges, utf8, words
 
 #: Words of a passage; labelled texts that are learned from at most, about; passages of one of them at most.
 PASSAGE, LEARN_TEXTS, LEARN_PASSAGES = 64, 2500, 256
-#: Width of the encoding and of the attention, steps and rate of the optimiser.
-WIDTH, GATE, STEPS, RATE, DECAY = 16, 8, 300, 0.03, 1e-4
+#: Places of the hashed words, and of the hashed 4-grams, of a passage.
+HASHED = 128
+#: Width of the encoding and of the attention, steps and rate of the optimiser, decay of weights and of those of hashed places.
+WIDTH, GATE, STEPS, RATE, DECAY, HASHED_DECAY = 16, 8, 150, 0.03, 1e-4, 1e-3
 #: A text with at least this score is predicted to be good.
 THRESHOLD = 0.7
 
@@ -30,7 +32,17 @@ _CLASS[128:] = len(_GROUPS)
 for _i, _g in enumerate(_GROUPS):
     _CLASS[list(_g.encode())] = _i
 N_CLASSES = len(_GROUPS) + 2
-N_FEATURES = N_CLASSES + 9
+N_SURFACE = N_CLASSES + 9
+N_FEATURES = N_SURFACE + 2 * HASHED
+
+
+def _hashed(passage: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """Rows of unit length: for each passage how often (square root) its codes (32 bits) fall on each place, with a sign by the code."""
+    place = (code >> np.uint32(24)) % np.uint32(HASHED)
+    sign = 1.0 - (code >> np.uint32(15) & np.uint32(2))
+    x = np.bincount(passage * HASHED + place, weights=sign, minlength=n * HASHED).reshape(n, HASHED)
+    x = np.sign(x) * np.sqrt(np.abs(x))
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +87,14 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         upper = np.concatenate([[0], np.cumsum(kinds == 0, dtype=np.int32)])
         lower = np.concatenate([[0], np.cumsum(kinds == 1, dtype=np.int32)])
         extra = [share(same), share(again), share((last == 4) | (last == 5)), share(last == 6), share((upper[end] - upper[start] > 1) & (lower[end] == lower[start])), np.log1p(nw), np.add.reduceat(length, w0)[: len(w0)] / nw, share(length > 20), share(last == 3)]
-        f[:, N_CLASSES:] = np.stack(extra, 1)
+        f[:, N_CLASSES:N_SURFACE] = np.stack(extra, 1)
+        f[:, N_SURFACE : N_SURFACE + HASHED] = _hashed(passage, (mix(code) >> np.uint64(32)).astype(np.uint32), len(w0))
+        # 4-grams inside a passage
+        low = LOWER[data].astype(np.uint32)
+        gram = (low[:-3] << np.uint32(24) | low[1:-2] << np.uint32(16) | low[2:-1] << np.uint32(8) | low[3:]) * np.uint32(0x9E3779B1)
+        gram = (gram ^ gram >> np.uint32(15)) * np.uint32(0x85EBCA6B)
+        count = np.maximum(z - a - 3, 0)
+        f[:, N_SURFACE + HASHED :] = _hashed(np.repeat(np.arange(len(w0)), count), gram[ranges(a, count)] if len(gram) else np.zeros(0, np.uint32), len(w0))
         x[full] = f
     return x, bounds
 
@@ -85,8 +104,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def forward(x: np.ndarray, off: np.ndarray, p: dict) -> dict:
-    """Encodings, attention and scores of bags off[i]:off[i + 1] of passages x."""
-    h = np.tanh((x - p["mean"]) / p["scale"] @ p["W"] + p["b"])
+    """Encodings, attention and scores of bags off[i]:off[i + 1] of passages x, which are standardised already if p has no mean."""
+    h = np.tanh(((x - p["mean"]) / p["scale"] if "mean" in p else x) @ p["W"] + p["b"])
     v, u = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
     e = (v * u) @ p["w"]
     bag = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -96,30 +115,37 @@ def forward(x: np.ndarray, off: np.ndarray, p: dict) -> dict:
     return {"h": h, "v": v, "u": u, "a": a, "bag": bag, "z": z, "score": _sigmoid(z @ p["c"] + p["d"])}
 
 
+def gradients(x: np.ndarray, off: np.ndarray, y: np.ndarray, p: dict) -> dict:
+    """Of the mean cross-entropy of the bags' labels, by each weight; x is standardised."""
+    f = forward(x, off, p)
+    ds = ((f["score"] - y) / len(y)).astype(x.dtype)
+    away = (ds[:, None] * p["c"])[f["bag"]]
+    da = (f["h"] * away).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, off[:-1])[f["bag"]])
+    dv = de[:, None] * p["w"] * f["u"] * (1 - f["v"] ** 2)
+    du = de[:, None] * p["w"] * f["v"] * f["u"] * (1 - f["u"])
+    dh = (f["a"][:, None] * away + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum()}
+
+
+def start(rng: np.random.Generator, y: np.ndarray, n: int = N_FEATURES) -> dict:
+    return {"W": rng.normal(0, n**-0.5, (n, WIDTH)), "b": np.zeros(WIDTH), "V": rng.normal(0, 0.3, (WIDTH, GATE)), "U": rng.normal(0, 0.3, (WIDTH, GATE)), "w": rng.normal(0, 0.3, GATE), "c": np.zeros(WIDTH), "d": np.array(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))}
+
+
 def train(x: np.ndarray, off: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
     """Adam on the cross-entropy of the bags' labels, all bags in each step."""
-    rng = np.random.default_rng(seed)
-    n = N_FEATURES
-    p = {"W": rng.normal(0, n**-0.5, (n, WIDTH)), "b": np.zeros(WIDTH), "V": rng.normal(0, 0.3, (WIDTH, GATE)), "U": rng.normal(0, 0.3, (WIDTH, GATE)), "w": rng.normal(0, 0.3, GATE), "c": np.zeros(WIDTH), "d": np.array(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))}
+    p = {k: v.astype(np.float32) for k, v in start(np.random.default_rng(seed), y).items()}
     fixed = {"mean": x.mean(0), "scale": x.std(0) + 1e-3}
-    p = {k: v.astype(np.float32) for k, v in p.items()}
     xs = (x - fixed["mean"]) / fixed["scale"]
+    decay = np.full((N_FEATURES, 1), DECAY, np.float32)
+    decay[N_SURFACE:] = HASHED_DECAY
+    decay = {k: np.float32(DECAY) for k in p} | {"W": decay, "d": np.float32(0)}
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    none = {"mean": np.float32(0), "scale": np.float32(1)}
     for step in range(1, STEPS + 1):
-        f = forward(xs, off, p | none)
-        ds = ((f["score"] - y) / len(y)).astype(np.float32)
-        dz = ds[:, None] * p["c"]
-        away = dz[f["bag"]]
-        da = (f["h"] * away).sum(1)
-        de = f["a"] * (da - np.add.reduceat(f["a"] * da, off[:-1])[f["bag"]])
-        dv = de[:, None] * p["w"] * f["u"] * (1 - f["v"] ** 2)
-        du = de[:, None] * p["w"] * f["v"] * f["u"] * (1 - f["u"])
-        dh = (f["a"][:, None] * away + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
-        g = {"W": xs.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "c": f["z"].T @ ds, "d": ds.sum()}
+        g = gradients(xs, off, y, p)
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k in p:
-            grad = g[k] + DECAY * p[k] * (k != "d")
+            grad = g[k] + decay[k] * p[k]
             m[k] = 0.9 * m[k] + 0.1 * grad
             s[k] = 0.99 * s[k] + 0.01 * grad**2
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)

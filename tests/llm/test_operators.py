@@ -435,6 +435,39 @@ def test_language_awkward(spark):
 # 8
 
 
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(2)
+    off, y = np.array([0, 1, 4, 9, 11]), np.array([1.0, 0.0, 1.0, 0.0])
+    x = rng.normal(size=(11, quality.N_FEATURES))
+    p = quality.start(rng, y)
+    p["c"] = rng.normal(size=quality.WIDTH)
+
+    def loss(p):
+        s = quality.forward(x, off, p)["score"]
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+
+    g = quality.gradients(x, off, y, p)
+    for name, value in p.items():
+        for at in [tuple(int(rng.integers(n)) for n in value.shape) for _ in range(5)]:
+            moved = [p | {name: value.copy()} for _ in range(2)]
+            for q, step in zip(moved, (1e-5, -1e-5)):
+                q[name][at] += step
+            assert abs((loss(moved[0]) - loss(moved[1])) / 2e-5 - g[name][at]) < 1e-6 + 1e-4 * abs(g[name][at])
+
+
+def test_quality_of_texts_that_look_alike(spark):
+    """Good and bad texts with the same kinds of characters and lengths of words: only the words tell them apart; one bad passage of many does."""
+    rng = random.Random(5)
+    bags = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)] for _ in range(2)]
+    text = lambda bad: " ".join(w for k in range(5) for w in rng.choices(bags[int(bad and k == 2)], k=quality.PASSAGE))
+    rows = [(i, text(i % 2), 1 - i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.learn(df.where("doc_id < 300"), df.where("doc_id < 300"))
+    out = quality.score(df.where("doc_id >= 300"), model).join(df.select("doc_id", "quality"), "doc_id").collect()
+    assert np.mean([(r["score"] >= 0.5) == r["quality"] for r in out]) > 0.95
+    assert np.mean([np.argmax(r["attention"]) == 2 for r in out if r["quality"] == 0]) > 0.9
+
+
 def test_quality(spark):
     out = queries.QUERIES["op8_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in out]) > 0.95 and all((r["score"] >= 0.7) == r["predicted"] for r in out)
