@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .graph import components
 from .shared import documents, forget, save
@@ -184,6 +183,37 @@ def index(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, prefix array<long>")
 
 
+def bitmap_of(spark: SparkSession, hashes: DataFrame, column: str) -> np.ndarray:
+    """A map of bits, one at each value of a column of hashes, modulo the number of bits: a power of 2, at most MAP_MOST."""
+    bits = min(MAP_MOST, 1 << max(16, (hashes.count() * MAP_BITS).bit_length()))
+    out = np.zeros(bits >> 6, np.int64)
+    at = F.pmod(F.col(column), F.lit(bits))
+    rows = hashes.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
+    for batch in rows.toArrow().to_batches():  # MAP_MOST / 64 numbers at most
+        out[np.asarray(batch.column("word"))] = np.asarray(batch.column("bits"))
+    return out
+
+
+def postings(prefixes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """token, place, node, n, component of the tokens of prefixes (node, n, component, prefix) that are in `mixed`, joined to it."""
+    wanted = prefixes.sparkSession.sparkContext.broadcast(bitmap_of(prefixes.sparkSession, mixed, "token"))
+    names = ["token", "place", "node", "n", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            token, off = np.asarray(lists.values), np.asarray(lists.offsets)
+            bit = token.view(np.uint64) % np.uint64(len(bitmap) * 64)
+            keep = np.flatnonzero(bitmap[bit >> np.uint64(6)].view(np.uint64) >> (bit & np.uint64(63)) & np.uint64(1))
+            keep = keep[(keep >= off[0]) & (keep < off[-1])]
+            row = np.searchsorted(off, keep, side="right") - 1
+            rest = [batch.column(c).take(pa.array(row)) for c in names[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array((keep - off[row]).astype(np.int32)), *rest], names)
+
+    return prefixes.select("prefix", *names[2:]).mapInArrow(run, "token long, place int, node long, n long, component long").join(mixed, "token")
+
+
 def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequent=None) -> DataFrame:
     """node and parts of its set, for the texts whose id is in nodes: the whole set, or with `frequent` 16 bits of each
     shingle and of those in the prefixes of the other orders.
@@ -191,12 +221,8 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequen
     A bitmap of fixed size keeps most other texts out before anything is shuffled; a join removes the rest.
     """
     spark = docs.sparkSession
-    bits = min(MAP_MOST, 1 << max(16, (nodes.count() * MAP_BITS).bit_length()))
-    at = F.pmod(F.xxhash64("node"), F.lit(bits))
-    bitmap = np.zeros(bits >> 6, np.int64)
-    rows = nodes.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
-    for batch in rows.toArrow().to_batches():  # MAP_MOST / 64 numbers at most
-        bitmap[np.asarray(batch.column("word"))] = np.asarray(batch.column("bits"))
+    bitmap = bitmap_of(spark, nodes.select(F.xxhash64("node").alias("hash")), "hash")
+    at = F.pmod(F.xxhash64("node"), F.lit(64 * len(bitmap)))
     wanted = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,20 +312,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     while counts.where(F.col("texts") >= least).count() > TABLE:
         least *= 2
     counts = counts.where(F.col("texts") >= least).toArrow()
-    tokens = np.asarray(counts.column("token").combine_chunks()).view(np.uint64) if counts.num_rows else np.zeros(0, np.uint64)
-    order = np.argsort(tokens)
-    rank = np.zeros(len(tokens), np.uint64)
-    rank[np.lexsort((tokens, np.asarray(counts.column("texts").combine_chunks()) if counts.num_rows else tokens))] = np.arange(1, len(tokens) + 1, dtype=np.uint64)
-    frequent = spark.sparkContext.broadcast((tokens[order], rank[order]))
-    postings = index(docs, n, percent, frequent).join(known.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"]).select(F.posexplode("prefix").alias("place", "token"), F.col("doc_id").alias("node"), "n", "component")
-    bucket = W.Window.partitionBy("token")
-    postings = postings.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).where("low < high").drop("low", "high")
-    postings = save(postings, "postings")
-    x, y = (postings.select(*(F.col(c).alias(f"{c}{k}") for c in ("token", "place", "node", "n", "component"))) for k in "xy")
+    often = np.asarray(counts.column("token").combine_chunks()).view(np.uint64) if counts.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(often)
+    rank = np.zeros(len(often), np.uint64)
+    rank[np.lexsort((often, np.asarray(counts.column("texts").combine_chunks()) if counts.num_rows else often))] = np.arange(1, len(often) + 1, dtype=np.uint64)
+    frequent = spark.sparkContext.broadcast((often[order], rank[order]))
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    member = known.join(save(sizes, "sizes"), "component").select("digest", F.col("node").alias("doc_id"), "n", "component", "size")
+    prefixes = save(index(docs, n, percent, frequent).join(member, ["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "component", "size", "prefix"), "prefixes")
+    # tokens of more than one component; two classes of different components are not both in the token's largest one
+    tokens = prefixes.select("component", "size", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("main"))
+    mixed = save(tokens.where("low < high").select("token", F.col("main.component").alias("main")), "mixed")
+    found = save(postings(prefixes, mixed).select("token", "place", "node", "n", "component", (F.col("component") != F.col("main")).alias("minor")), "postings")
+    x, y = (found.select(*(F.col(c).alias(f"{c}{k}") for c in ("token", "place", "node", "n", "component", "minor"))) for k in "xy")
     need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
-    near = (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty"))
+    near = (F.col("tokenx") == F.col("tokeny")) & (F.col("componentx") != F.col("componenty")) & (~F.col("minory") | (F.col("nodex") < F.col("nodey")))
     near &= (100 * F.col("nx") >= percent * F.col("ny")) & (100 * F.col("ny") >= percent * F.col("nx")) & (F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= need)
-    pairs = save(x.join(y, near).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct(), "pairs")
+    pairs = save(x.where("minorx").join(y, near).select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct(), "pairs")
     light = save(needed_sets(docs, save(ends(pairs), "nodes"), n, percent, frequent), "light")
     maybe = save(verify(pairs, light, percent, exact=False), "maybe")
     links = verify(maybe, needed_sets(docs, save(ends(maybe), "nodes"), n, percent), percent)
@@ -307,7 +336,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = links.join(place.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(place.withColumnsRenamed({"node": "b", "component": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(links)
     final = known.join(joined.select(F.col("component").alias("to"), F.col("node").alias("component")), "component", "left").select("digest", F.coalesce("to", "component").alias("component_id"))
-    for t in (buckets, pairs, postings, light):
+    for t in (buckets, pairs, prefixes, found, light):
         forget(t)
     out = rows.join(final, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out
