@@ -176,8 +176,11 @@ def lay_out(docs: DataFrame, size: Column, group: Column, shards: int, path: str
     rows = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size"), h.alias("hash"), (F.pmod(h, F.lit(shards)) if shard is None else shard).cast("int").alias("shard"))
     rows = rows.withColumn("block", F.pmod(F.shiftright("hash", 20), F.lit(BLOCKS)).cast("int"))
     rows = rows.withColumn("part", (F.col("shard") * BUNDLES + F.floor(F.col("block") * BUNDLES / BLOCKS)).cast("int")).drop("shard")
-    files = rows.groupBy("part").agg(F.ceil(F.sum("size") / FILE_BYTES).alias("files"))
-    # shards * BUNDLES rows; a part that holds a large group has several files
+    # a part that holds a large group is written by several tasks: none has much more than its share of the rows or bytes
+    tasks, every = int(spark.conf.get("spark.sql.shuffle.partitions")), W.Window.partitionBy()  # shards * BUNDLES rows
+    files = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    share = F.greatest(F.col("bytes") / F.sum("bytes").over(every), F.col("n") / F.sum("n").over(every)) * tasks
+    files = files.select("part", F.ceil(F.greatest(share, F.col("bytes") / FILE_BYTES)).alias("files"))
     dealt = rows.join(F.broadcast(files), "part").withColumn("file", F.pmod(F.xxhash64("row.doc_id"), "files")).repartition("part", "file").drop("files", "file")
     schema = dealt.drop("part").schema
     dealt.write.partitionBy("part").parquet(path)
