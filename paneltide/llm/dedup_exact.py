@@ -68,11 +68,15 @@ def exact_dedup(docs: DataFrame, state: DataFrame, digest_bits: int = 256) -> Da
 
     keep_id is the id of the row that stays among equal texts: most code points, then smallest id. Null text counts as
     empty, all empty texts are one group; a null id loses against any other; rows repeated with the same id are both
-    counted and both kept if the id is. Different texts with one digest are told apart by their bytes.
+    counted and both kept if the id is. Different texts with one digest are told apart by their bytes; it is an error if a
+    locator of the state leads to no row. Other columns are left out, an empty table gives no rows.
     """
     rows = keyed(docs, digest_bits)
     shared = state.where("group_size > 1").select("digest", F.col("locator").alias("at"), "group_size")
     hits = save(rows.join(shared, "digest").select("digest", "doc_id", "ntext", "rank", F.col("locator").eqNullSafe(F.col("at")).alias("is_content"), F.ceil(F.col("group_size") / ROWS_PER_REPLICA).cast("int").alias("replicas")), "hits")
+    missing = shared.count() - hits.where("is_content").count()
+    if missing:  # or copies would pass without a look at their bytes
+        raise ValueError(f"{missing} digests have no row at the locator that the state has")
     # the content at the locator, as often as its group needs it
     content = hits.where("is_content").select("digest", F.col("ntext").alias("content"), F.explode(F.sequence(F.lit(0), F.col("replicas") - 1)).alias("replica"))
     pairs = hits.withColumn("replica", F.pmod(F.xxhash64("doc_id", "rank"), F.col("replicas")).cast("int")).join(content, ["digest", "replica"])

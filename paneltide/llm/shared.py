@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
 
 
+#: Applications that have the package's code.
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package's code, once for a session, and bound the batches of texts that are sent to Python."""
+    """Give executors this package's code, once for an application.
+
+    It also bounds the batches of rows that the session sends to Python, where that is not set: this holds for all that runs in the session.
+    """
     if spark.conf.get(BATCH_BYTES[0], None) is None:
         spark.conf.set(*BATCH_BYTES)
-    if getattr(spark.sparkContext, "_paneltide_shipped", False):
+    if spark.sparkContext.applicationId in _SHIPPED:
         return
-    spark.sparkContext._paneltide_shipped = True
+    _SHIPPED.add(spark.sparkContext.applicationId)
     root = Path(__file__).resolve().parents[1]
     if not root.is_dir():  # it runs from an archive that the session has already
         return
@@ -33,9 +40,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (single machine, tests) a fresh temporary one."""
+    """The folder named by spark.checkpoint.dir; on a single machine, where that is unset, a fresh temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -665,6 +665,55 @@ def test_sharding_awkward(spark):
     assert after.read().groupBy("shard").count().count() == 2
 
 
+# texts longer than a slice
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    rng = random.Random(21)
+    body = [f"w{rng.randrange(50_000)}x" for _ in range(200_000)]
+    text = "\n".join(" ".join(body[k : k + 40]) for k in range(0, len(body), 40))
+    assert len(text) > 1 << 20
+    return [(1, text), (2, text.replace("w1", "w2")), (3, text + " "), (4, "w1x " * 30), (5, text)]
+
+
+def test_long_texts_exact_near_and_shards(spark, long_rows):
+    df = docs(spark, long_rows).repartition(2)
+    assert {r["doc_id"]: r["keep_id"] for r in dedup(spark, df).collect()} == {1: 3, 2: 2, 3: 3, 4: 4, 5: 3}
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 4, 85).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1}
+    _, after, _ = laid_out(spark, df, F.octet_length("text").cast("long"), F.col("text"), 2, 3)
+    assert {r["doc_id"]: r["text"] for r in after.read().select("row.*").collect()} == dict(long_rows)
+
+
+def test_long_texts_substrings_lines_and_tokens(spark, long_rows):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    rows = [long_rows[0], long_rows[3], (6, long_rows[0][1][5000:400_000] + "tail")]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(df, False).collect()}
+    assert got == repeats(rows)
+    out = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(docs(spark, [(i, long_rows[0][1] + f"\nend {chr(97 + i)}") for i in range(3)])).collect()}
+    assert out[0] == 0 and out[1] == out[2] == 5000
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in bpe.encode(df).collect():
+        assert r["ids"] == library.encode(dict(rows)[r["doc_id"]], add_special_tokens=False).ids
+
+
+def test_long_texts_models_and_archives(spark, long_rows):
+    df = docs(spark, long_rows)
+    text = long_rows[0][1]
+    item = " ".join(text.split()[100_000:100_060])
+    found = decontaminate.decontaminate(df, spark.createDataFrame([(7, item), (8, "not in any of these texts at all")], "item_id long, text string")).collect()
+    # the second text has more than 70 % of the words in order
+    assert {r["doc_id"] for r in found if r["item_ids"] == [7]} == {1, 2, 3, 5} and not any(8 in r["item_ids"] for r in found)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0)], "doc_id long, quality int")
+    scores = quality.score(df, quality.learn(df, labels)).collect()
+    assert all(0 <= r["score"] <= 1 and abs(sum(r["attention"]) - 1) < 1e-3 for r in scores) and len(scores[0]["attention"]) == 200_000 // quality.PASSAGE
+    archives = warc.write_archives(warc.with_revisits(df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))), new_path(spark, "warc"))
+    assert {(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc.read_archives(archives).collect()} == {(i, len(t), 5 if i == 1 else None) for i, t in long_rows}
+
+
 # registered queries
 
 
