@@ -195,9 +195,9 @@ def bitmap_of(spark: SparkSession, hashes: DataFrame, column: str) -> np.ndarray
 
 
 def postings(prefixes: DataFrame, mixed: DataFrame) -> DataFrame:
-    """token, place, node, n, component of the tokens of prefixes (node, n, component, prefix) that are in `mixed`, joined to it."""
+    """token, place, node, n, component, size of the tokens of prefixes (node, n, component, size, prefix) that are in `mixed`."""
     wanted = prefixes.sparkSession.sparkContext.broadcast(bitmap_of(prefixes.sparkSession, mixed, "token"))
-    names = ["token", "place", "node", "n", "component"]
+    names = ["token", "place", "node", "n", "component", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = wanted.value
@@ -211,7 +211,7 @@ def postings(prefixes: DataFrame, mixed: DataFrame) -> DataFrame:
             rest = [batch.column(c).take(pa.array(row)) for c in names[2:]]
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array((keep - off[row]).astype(np.int32)), *rest], names)
 
-    return prefixes.select("prefix", *names[2:]).mapInArrow(run, "token long, place int, node long, n long, component long").join(mixed, "token")
+    return prefixes.select("prefix", *names[2:]).mapInArrow(run, "token long, place int, node long, n long, component long, size long").join(mixed, "token", "left_semi")
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, n: int, percent: int, frequent=None) -> DataFrame:
@@ -303,8 +303,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     hashes = lambda k: classes.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
     alike = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x)) >= ALIKE
     stars = save(stars.join(hashes("a"), "a").join(hashes("b"), "b").where(alike).select("a", "b"), "stars")
+    forget(buckets)
     first = components(verify(stars, needed_sets(docs, save(ends(stars), "nodes"), n, percent), percent))
     known = save(classes.join(first, "node", "left").select("digest", "node", "n", F.coalesce("component", "node").alias("component")), "known")
+    forget(classes)
     # step 3
     total = rows.count()
     counts = save(scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= max(FEW, total * FREQUENT)), "counts")
@@ -320,10 +322,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     member = known.join(save(sizes, "sizes"), "component").select("digest", F.col("node").alias("doc_id"), "n", "component", "size")
     prefixes = save(index(docs, n, percent, frequent).join(member, ["digest", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "component", "size", "prefix"), "prefixes")
-    # tokens of more than one component; two classes of different components are not both in the token's largest one
-    tokens = prefixes.select("component", "size", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("size", "component")).alias("main"))
-    mixed = save(tokens.where("low < high").select("token", F.col("main.component").alias("main")), "mixed")
-    found = save(postings(prefixes, mixed).select("token", "place", "node", "n", "component", (F.col("component") != F.col("main")).alias("minor")), "postings")
+    # tokens of more than one component
+    tokens = prefixes.select("component", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = save(tokens.where("low < high").select("token"), "mixed")
+    found = save(postings(prefixes, mixed), "postings")
+    forget(prefixes)
+    # two classes of different components are not both in the token's largest one
+    main = save(found.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main")), "main")
+    found = found.join(main, "token").withColumn("minor", F.col("component") != F.col("main"))
     x, y = (found.select(*(F.col(c).alias(f"{c}{k}") for c in ("token", "place", "node", "n", "component", "minor"))) for k in "xy")
     need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
     near = (F.col("tokenx") == F.col("tokeny")) & (F.col("componentx") != F.col("componenty")) & (~F.col("minory") | (F.col("nodex") < F.col("nodey")))
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = links.join(place.withColumnsRenamed({"node": "a", "component": "ca"}), "a").join(place.withColumnsRenamed({"node": "b", "component": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(links)
     final = known.join(joined.select(F.col("component").alias("to"), F.col("node").alias("component")), "component", "left").select("digest", F.coalesce("to", "component").alias("component_id"))
-    for t in (buckets, pairs, prefixes, found, light):
+    for t in (pairs, light):
         forget(t)
     out = rows.join(final, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out
