@@ -26,7 +26,8 @@ def rsi(n: int = 14, x: Column | None = None, eps: float = 0.0) -> Column:
     """Relative strength from simple means of gains and losses: 100 without losses; with `eps` the loss is guarded instead."""
     x = F.col("close") if x is None else x
     d = x - lag(x)
-    up, down = sma(F.greatest(d, F.lit(0.0)), n), sma(F.greatest(-d, F.lit(0.0)), n)
+    known = lambda v: F.when(d.isNotNull(), F.greatest(v, F.lit(0.0)))
+    up, down = sma(known(d), n), sma(known(-d), n)
     if eps:
         return 100 - 100 / (1 + up / (down + eps))
     return F.when(down == 0, F.when(up > 0, 100.0)).otherwise(100 - 100 / (1 + ratio(up, down)))
@@ -143,5 +144,10 @@ def forward_return(h: int) -> Column:
     return F.ln(ratio(F.lead(F.col("close"), h).over(by_symbol()), F.col("close")))
 
 
+def with_lags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds each column's value on the bar before (_1) and the change since (_inc)."""
+    return df.withColumns({k: v for c in columns for k, v in ((f"{c}_1", lag(F.col(c))), (f"{c}_inc", F.col(c) - lag(F.col(c))))})
+
+
 def roc(n: int) -> Column:
     return change(F.col("close"), n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import by_symbol, change, rolling, running
+from ..sources.store import stored
 from .cross import inverse_vol, momentum, regime_gate, top_k
 
 
@@ -45,13 +46,13 @@ def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (),
     are left out.
     """
     by = Window.partitionBy(*keys, "symbol").orderBy("ts") if keys else by_symbol()
-    weights = weights.persist()  # a few names for each decision, read four times
+    weights = stored(weights, "weights")  # a few names for each decision, read four times
     decisions = weights.select(*keys, "ts").distinct()
     # in force: from the date after a decision to the next decision
     spans = decisions.withColumn("until", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts") if keys else Window.orderBy("ts")))
     days = panel.select("ts").distinct()
     on = (F.col("ts") > F.col("decided")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until")))
-    calendar = days.join(F.broadcast(spans.withColumnRenamed("ts", "decided")), on)  # rebalances are few
+    calendar = days.join(spans.withColumnRenamed("ts", "decided"), on)
     r = panel.select("ts", "symbol", "close", change(F.col("close"), 1, by_symbol()).alias("ret"))
     held = calendar.join(weights.withColumnRenamed("ts", "decided"), [*keys, "decided"]).join(r, ["ts", "symbol"], "left")
     live = F.min(F.col("close").isNotNull().cast("int")).over(Window.partitionBy(*keys, "decided", "symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
@@ -103,10 +104,15 @@ def buffered(scored: DataFrame, k: int, buffer: float, keys: str = "run") -> Dat
     return rows.mapInPandas(run, f"run string, ts {kind}, symbol string")
 
 
+def draw(*columns: str) -> Column:
+    """A random text for each row, the MD5 of some of its columns as text: any engine can draw the same."""
+    return F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
+
+
 def random_k(panel: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(run, ts, symbol): k names at random for each seed and date, by a hash; all seeds in one job."""
     rows = panel.where("close IS NOT NULL").select("ts", "symbol").crossJoin(F.broadcast(seeds.select(F.col("run"))))  # the runs asked for
-    w = Window.partitionBy("run", "ts").orderBy(F.xxhash64("run", "ts", "symbol"))
+    w = Window.partitionBy("run", "ts").orderBy(draw("run", "ts", "symbol"))
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
 
@@ -154,7 +160,7 @@ def yearly_turnover(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def sticky_random(panel: DataFrame, seeds: DataFrame, k: int, swap: int) -> DataFrame:
     """(run, ts, symbol): k names a date of which `swap` are replaced at the next, by a hash; each run is a sorted stream."""
     rows = panel.where("close IS NOT NULL").select("ts", "symbol").crossJoin(F.broadcast(seeds.select("run")))  # the runs asked for
-    rows = rows.withColumn("h", F.xxhash64("run", "ts", "symbol")).repartition("run").sortWithinPartitions("run", "ts", "h").select("run", "ts", "symbol")
+    rows = rows.withColumn("h", draw("run", "ts", "symbol")).repartition("run").sortWithinPartitions("run", "ts", "h").select("run", "ts", "symbol")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, date, held, names = None, None, [], []

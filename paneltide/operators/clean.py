@@ -21,7 +21,7 @@ def bfill(x: Column) -> Column:
 def densify(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """A row for each symbol and each date of the calendar (by default all dates of the bars); what is missing is null."""
     calendar = bars.select("ts").distinct() if calendar is None else calendar.select("ts").distinct()
-    grid = calendar.crossJoin(F.broadcast(bars.select("symbol").distinct()))  # dates x symbols: the panel itself
+    grid = calendar.crossJoin(bars.select("symbol").distinct())  # dates x symbols: the panel itself
     return grid.join(bars, ["ts", "symbol"], "left")
 
 
@@ -58,6 +58,16 @@ def split(df: DataFrame, fraction: float) -> DataFrame:
     return df.withColumn("test_mask", (F.row_number().over(by_symbol()) > F.floor(n * fraction)).cast("int"))
 
 
+def split_dates(df: DataFrame, fraction: float, gap: int = 1) -> DataFrame:
+    """Adds test_mask for symbols that are trained on together: 1 on the dates after the first `fraction` of all dates, 0 before,
+    null on the last `gap` of these, whose labels reach over the split."""
+    dates = df.select("ts").distinct().withColumn("__n", F.row_number().over(Window.orderBy("ts")))  # one row a date
+    cut = F.floor(F.col("__all") * fraction)
+    dates = dates.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy()))
+    mask = F.when(F.col("__n") > cut, 1).when(F.col("__n") <= cut - gap, 0)
+    return df.join(dates.select("ts", mask.alias("test_mask")), "ts")
+
+
 def weekly_schedule(dates: DataFrame, weekday: int | None = None) -> DataFrame:
     """The last date of each ISO week, or the last one on or before a weekday (Monday is 0)."""
     if weekday is not None:
@@ -68,7 +78,7 @@ def weekly_schedule(dates: DataFrame, weekday: int | None = None) -> DataFrame:
 def trim_warmup(returns: DataFrame) -> DataFrame:
     """Rows of a run from its first return that is not 0."""
     first = returns.where("r <> 0").groupBy("run").agg(F.min("ts").alias("__from"))
-    return returns.join(F.broadcast(first), "run").where("ts >= __from").drop("__from")  # a row for each run
+    return returns.join(first, "run").where("ts >= __from").drop("__from")
 
 
 def common_window(returns: DataFrame) -> DataFrame:

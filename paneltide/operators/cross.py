@@ -49,22 +49,23 @@ def top_k(scored: DataFrame, k: int, score: str = "score", keys: tuple[str, ...]
     return scored.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cap_weights(w: Column, cap: float, rounds: int = 20) -> Column:
+def cap_weights(w: Column, cap: float | Column, rounds: int = 20) -> Column:
     """Weights (an array) with the excess over `cap` given to those not over it in proportion, at most `rounds` times."""
 
     def step(x: Column, _: Column) -> Column:
         excess = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.greatest(v - cap, F.lit(0.0)))
         room = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.when(v > cap, 0.0).otherwise(v))
-        return F.when(excess > 0, F.transform(x, lambda v: F.when(v > cap, F.lit(cap)).otherwise(F.when(room > 0, v + excess * v / room).otherwise(v)))).otherwise(x)
+        return F.when(excess > 0, F.transform(x, lambda v: F.when(v > cap, cap if isinstance(cap, Column) else F.lit(cap)).otherwise(F.when(room > 0, v + excess * v / room).otherwise(v)))).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), w, step)
 
 
-def inverse_vol(chosen: DataFrame, sd: str, cap: float = 0.3, keys: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """(keys, symbol, weight): weights of the chosen of each date by the inverse of their volatility, capped."""
-    lists = chosen.where(F.col(sd).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("symbol", (1 / (F.col(sd) + EPS)).alias("v")))).alias("s"))  # top k names
+def inverse_vol(chosen: DataFrame, sd: str, cap: float | str = 0.3, keys: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(keys, symbol, weight): weights of the chosen of each date by the inverse of their volatility, capped by a number or by a column."""
+    cap = F.col(cap) if isinstance(cap, str) else F.lit(cap)
+    lists = chosen.where(F.col(sd).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("symbol", (1 / (F.col(sd) + EPS)).alias("v")))).alias("s"), F.max(cap).alias("__cap"))  # top k names
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"])
-    w = cap_weights(F.transform("s", lambda x: x["v"] / total), cap)
+    w = cap_weights(F.transform("s", lambda x: x["v"] / total), F.col("__cap"))
     return lists.select(*keys, F.explode(F.arrays_zip(F.col("s.symbol").alias("symbol"), w.alias("weight"))).alias("x")).select(*keys, "x.symbol", "x.weight")
 
 
@@ -93,15 +94,22 @@ def no_trade_band(target: DataFrame, current: DataFrame, band: float) -> DataFra
     return both.select("symbol", F.when(F.abs(F.col("t") - F.col("c")) < band, F.col("c")).otherwise(F.col("t")).alias("weight")).where("weight > 0")
 
 
+#: Features of each symbol on a decision date.
+FEATURES = ["ret_5", "ret_21", "ret_63", "mom_126", "mom_252", "vol_21", "vol_63", "sma_50", "sma_200", "rsi"]
+
+
 def features(panel: DataFrame, schedule: DataFrame) -> DataFrame:
-    """On schedule dates: features of each symbol as z-scores across symbols, and the percentile rank of the return to the next date."""
+    """On schedule dates: features of each symbol as z-scores across the symbols that have them, and the percentile rank of the
+    return to the next date, null on the last. Rows that lack a feature are left out, but count in the ranks."""
     c = F.col("close")
-    r = log_return()
-    raw = {"ret_5": change(c, 5), "ret_21": change(c, 21), "ret_63": change(c, 63), "vol_21": rolling(F.stddev_samp, r, 21), "sma_ratio": ratio(c, sma(c, 50)), "rsi": rsi(14, c, eps=EPS)}
-    rows = panel.withColumns(raw).join(F.broadcast(schedule.select("ts").distinct()), "ts", "left_semi")  # dates alone
+    rows = panel.withColumn("__r", change(c))
+    raw = {
+        "ret_5": change(c, 5), "ret_21": change(c, 21), "ret_63": change(c, 63), "mom_126": ratio(lag(c, 21), lag(c, 126)) - 1, "mom_252": ratio(lag(c, 21), lag(c, 252)) - 1,
+        "vol_21": rolling(F.stddev_samp, F.col("__r"), 21), "vol_63": rolling(F.stddev_samp, F.col("__r"), 63), "sma_50": ratio(c, sma(c, 50)) - 1, "sma_200": ratio(c, sma(c, 200)) - 1, "rsi": rsi(14, c, eps=EPS),
+    }
+    rows = rows.withColumns(raw).join(schedule.select("ts").distinct(), "ts", "left_semi")
     rows = rows.withColumn("__next", ratio(F.lead(c).over(by_symbol()), c) - 1)
-    rows = rows.na.drop(subset=list(raw))
-    return rows.select("ts", "symbol", *(zscore(F.col(k)).alias(k) for k in raw), pct_rank(F.col("__next")).alias("target"))
+    return rows.select("ts", "symbol", *(zscore(F.col(k)).alias(k) for k in raw), pct_rank(F.col("__next")).alias("target")).na.drop(subset=list(raw))
 
 
 def turbulence_gate(turbulence: DataFrame, q: float = 0.9) -> DataFrame:
@@ -110,32 +118,39 @@ def turbulence_gate(turbulence: DataFrame, q: float = 0.9) -> DataFrame:
     return day.join(F.broadcast(day.agg(F.percentile("x", F.lit(q)).alias("limit"))), how="cross").select("ts", "x", (F.col("x") > F.col("limit")).alias("halt"))  # one row
 
 
-def mahalanobis(panel: DataFrame, dates: DataFrame, window: int = 126) -> DataFrame:
+def mahalanobis(panel: DataFrame, dates: DataFrame, window: int = 126, block: int = 64) -> DataFrame:
     """ts, turbulence: distance of a date's returns from those of the `window` dates before it, over symbols with all of them.
 
-    Each date's window is a row of the array of the dates before it, so dates are worked on in parallel.
+    Blocks of dates, each with the `window` dates before it, are worked on side by side: a task holds block + window rows of
+    all symbols.
     """
     import numpy as np
     import pandas as pd
 
-    r = panel.withColumn("r", change(F.col("close"))).groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "r"))).alias("r"))
-    rows = r.withColumn("past", F.collect_list("r").over(Window.orderBy("ts").rowsBetween(-window, -1))).where(F.size("past") == window).join(F.broadcast(dates.select("ts").distinct()), "ts", "left_semi")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for now, past in zip(batch["r"], batch["past"]):
-                now, past = dict(now), [dict(p) for p in past]
-                names = sorted(k for k, v in now.items() if v is not None and all(p.get(k) is not None for p in past))
-                if len(names) < 2:
-                    out.append(None)
-                    continue
-                x = np.array([[p[k] for k in names] for p in past], float)
-                d = np.array([now[k] for k in names], float) - x.mean(0)
-                out.append(float(d @ np.linalg.pinv(np.cov(x, rowvar=False)) @ d))
-            yield pd.DataFrame({"ts": batch["ts"], "turbulence": out})
-
-    return rows.select("ts", "r", "past").mapInPandas(run, "ts date, turbulence double")
+    days = panel.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # one row a date
+    days = days.join(dates.select("ts").distinct().withColumn("wanted", F.lit(True)), "ts", "left")
+    rows = panel.withColumn("r", change(F.col("close"))).select("ts", "symbol", "r").join(days, "ts")
+    first = F.floor(F.col("i") / block)
+    rows = rows.select("*", F.explode(F.sequence(first, F.floor((F.col("i") + window) / block))).alias("block"))
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        wide = df.pivot(index="i", columns="symbol", values="r").sort_index()
+        meta = df.drop_duplicates("i").set_index("i").sort_index()
+        index, x, out = wide.index.to_numpy(), wide.to_numpy(float), []
+        for at in np.flatnonzero((index >= key[0] * block) & (index < (key[0] + 1) * block) & (meta["wanted"].to_numpy() == True)):  # noqa: E712
+            if index[at] < window:
+                continue
+            past = x[at - window : at]
+            good = ~np.isnan(past).any(0) & ~np.isnan(x[at])
+            value = None
+            if good.sum() >= 2:
+                past = past[:, good]
+                d = x[at, good] - past.mean(0)
+                value = float(d @ np.linalg.pinv(np.cov(past, rowvar=False)) @ d)
+            out.append((meta["ts"].iloc[at], value))
+        return pd.DataFrame(out, columns=["ts", "turbulence"])
+
+    return rows.groupBy("block").applyInPandas(run, f"ts {panel.schema['ts'].dataType.simpleString()}, turbulence double")
 
 
 def rank_average(scored: DataFrame, base: str, other: str) -> DataFrame:

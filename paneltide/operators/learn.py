@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import change, rolling
+
 
 def assembled(columns: list[str], model, out: str = "features") -> Pipeline:
     """Columns to a vector, standardised on the training rows, then the model."""
@@ -30,8 +33,8 @@ def return_model(kind: str, columns: list[str], seed: int = 7, **options) -> Pip
     return assembled(columns, GBTRegressor(featuresCol="features", labelCol="label", seed=seed, **options))
 
 
-def fit_predict(rows: DataFrame, pipeline: Pipeline, train: str = "test_mask = 0", test: str = "test_mask = 1", gap: int = 0) -> DataFrame:
-    """Predictions of test rows by a model of the training rows whose label is known (and lies `gap` rows back of the split: see split())."""
+def fit_predict(rows: DataFrame, pipeline: Pipeline, train: str = "test_mask = 0", test: str = "test_mask = 1") -> DataFrame:
+    """Predictions of test rows by a model of the training rows whose label is known; clean.split_dates() keeps a gap between the two."""
     model = pipeline.fit(rows.where(train).where("label IS NOT NULL"))
     out = model.transform(rows.where(test))
     if "probability" in out.columns:
@@ -50,11 +53,14 @@ def class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
 def walk_forward_ranker(panel: DataFrame, dates: list, columns: list[str], every: int = 4, least_dates: int = 104, seed: int = 7) -> DataFrame:
     """(ts, symbol, score): at each refit date a regression of `target` on rows of earlier dates whose target was known, used until the next.
 
-    `dates` are the schedule's dates in order; the target of a date is known at the next one.
+    `dates` are the schedule's dates in order; the target of a date is known at the next one. The fits are jobs one after the other,
+    each over all rows so far.
     """
     pipeline, out = return_model("gbt", columns, seed=seed, maxIter=10, maxDepth=3), []
     for i in range(least_dates + 1, len(dates), every):
         train = panel.where((F.col("ts") < F.lit(dates[i - 1])) & F.col("target").isNotNull()).withColumn("label", F.col("target"))
+        if train.isEmpty():
+            continue
         model = pipeline.fit(train)
         rows = panel.where(F.col("ts").between(F.lit(dates[i]), F.lit(dates[min(i + every, len(dates)) - 1])))
         out.append(model.transform(rows).select("ts", "symbol", F.col("prediction").alias("score")))
@@ -85,12 +91,72 @@ def grid_search(rows: DataFrame, models: dict[str, Pipeline], folds: list[tuple[
     return reduce(DataFrame.unionByName, out)
 
 
-def bear_state(bench: DataFrame, columns: list[str], seed: int = 7) -> DataFrame:
-    """Adds bear: whether the row belongs to the component of a two-component Gaussian mixture with the lower mean of the first column."""
-    rows = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="skip").transform(bench)
-    model = GaussianMixture(featuresCol="__x", k=2, seed=seed, predictionCol="__k").fit(rows)
-    means = [g.mean[0] for g in model.gaussians]
-    return model.transform(rows).withColumn("bear", F.col("__k") == int(means[1] < means[0])).drop("__x", "__k", "probability")
+def two_components(x: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares, means and covariances of a mixture of two Gaussians, by expectation and maximisation from calm and wild rows (last column)."""
+    own = np.stack([x[:, -1] <= np.median(x[:, -1]), x[:, -1] > np.median(x[:, -1])], 1).astype(float)
+    for _ in range(rounds):
+        n = own.sum(0) + 1e-9
+        mean = own.T @ x / n[:, None]
+        cov = np.stack([(own[:, [k]] * (x - mean[k])).T @ (x - mean[k]) / n[k] + 1e-6 * np.eye(x.shape[1]) for k in range(2)])
+        own = _belongs(x, n / n.sum(), mean, cov)
+    return n / n.sum(), mean, cov
+
+
+def _belongs(x: np.ndarray, share: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    logs = np.stack([np.log(share[k]) - 0.5 * (np.linalg.slogdet(cov[k])[1] + np.einsum("ij,ij->i", (x - mean[k]) @ np.linalg.inv(cov[k]), x - mean[k])) for k in range(2)], 1)
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def bear_state(bench: DataFrame, every: int = 63, least: int = 504) -> DataFrame:
+    """ts, ret, vol, bear of a series (ts, bench): whether a date belongs to the component with the lower mean return of a mixture of
+    two Gaussians over return and 21-day volatility, fitted on the dates before its block of `every` dates and standardised by them.
+
+    There is no state for the first `least` dates. Blocks are fitted side by side; each holds the past of one series.
+    """
+    by = Window.orderBy("ts")  # one series of dates
+    rows = bench.withColumn("ret", change(F.col("bench"), 1, by)).withColumn("vol", rolling(F.stddev_samp, F.col("ret"), 21, by)).na.drop(subset=["ret", "vol"])
+    rows = rows.select("ts", "ret", "vol", (F.row_number().over(by) - 1).alias("n"))
+    blocks = rows.where(F.col("n") >= least).select(F.floor((F.col("n") - least) / every).alias("block")).distinct()
+    seen = rows.join(blocks, F.col("n") < least + (F.col("block") + 1) * every)
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("n")
+        x, start = df[["ret", "vol"]].to_numpy(float), least + int(key[0]) * every
+        mean, scale = x[:start].mean(0), x[:start].std(0, ddof=1) + 1e-12
+        share, centre, cov = two_components((x[:start] - mean) / scale)
+        own = _belongs((x[start:] - mean) / scale, share, centre, cov)
+        return df.iloc[start:][["ts", "ret", "vol"]].assign(bear=own.argmax(1) == int(centre[1, 0] < centre[0, 0]))
+
+    return seen.groupBy("block").applyInPandas(run, f"ts {bench.schema['ts'].dataType.simpleString()}, ret double, vol double, bear boolean")
+
+
+def fit_folds(rows: DataFrame, folds: DataFrame, columns: list[str], label: str = "label", ridge: float = 0.0) -> DataFrame:
+    """(run, ts, n, fold, score): predictions of each fold's test rows by a linear model of its training rows, stitched together.
+
+    rows are (run, ts, n, ...) numbered from 0 in each run, folds as of fold_table(): training rows are slice_start to train_end, so
+    that labels that reach over the border are left out; with short test spans and a fixed slice it is a model that is fitted again every
+    few bars. A fold's rows are a group: the length of its slice, whatever the number of runs.
+    """
+    spans = folds.withColumnRenamed("run", "__run")
+    train = (F.col("n") >= F.col("slice_start")) & (F.col("n") < F.col("train_end"))
+    test = (F.col("n") >= F.col("test_start")) & (F.col("n") < F.col("test_end"))
+    used = rows.join(spans, (F.col("run") == F.col("__run")) & (train | test)).select("run", "ts", "n", "fold", *(F.col(c).cast("double").alias(c) for c in columns), F.col(label).cast("double").alias("__y"), test.alias("__test"))
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        known = df[~df["__test"]].dropna(subset=[*columns, "__y"])
+        rest = df[df["__test"]].sort_values("n")
+        out = rest[["run", "ts", "n", "fold"]].assign(score=np.nan)
+        if len(known) > len(columns):
+            x = known[columns].to_numpy()
+            mean, scale = x.mean(0), x.std(0) + 1e-12
+            a = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+            w = np.linalg.lstsq(a.T @ a + ridge * np.diag([0.0] + [1.0] * len(columns)), a.T @ known["__y"].to_numpy(), rcond=None)[0]
+            out["score"] = np.column_stack([np.ones(len(rest)), (rest[columns].to_numpy() - mean) / scale]) @ w
+        return out
+
+    kind = rows.schema["ts"].dataType.simpleString()
+    return used.groupBy("run", "fold").applyInPandas(run, f"run string, ts {kind}, n long, fold long, score double").withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
 def best_features(rows: DataFrame, columns: list[str], k: int) -> list[str]:

@@ -41,6 +41,20 @@ def equity_metrics(equity: DataFrame, per_year: int = PER_YEAR) -> DataFrame:
     return performance(equity.select("run", "ts", (ratio(F.col("equity"), F.lag("equity").over(by)) - 1).alias("r")), per_year)
 
 
+def engine(rows: DataFrame, cash: float = 10_000.0, per_year: int = PER_YEAR) -> DataFrame:
+    """One row over all symbols of (symbol, ts, r, growth, equity, signal): profit, final_equity, turnover, fitness, profit_per_trade.
+
+    Turnover is the smaller of what was bought and sold (equity times signal) over the final equity, fitness the Sharpe ratio over it.
+    """
+    daily = rows.groupBy("ts").agg(F.sum("equity").alias("equity"), F.avg("r").alias("r"), F.avg("growth").alias("growth"))
+    end = daily.agg(F.max_by("equity", "ts").alias("final_equity"), F.max_by("growth", "ts").alias("total"), (ratio(F.avg("r"), F.stddev_samp("r")) * per_year**0.5).alias("sharpe"))
+    traded = F.col("equity") * F.col("signal")
+    moved = rows.agg(F.sum(F.greatest(traded, F.lit(0.0))).alias("bought"), F.sum(F.greatest(-traded, F.lit(0.0))).alias("sold"), (F.sum(F.abs("signal")) / 2).alias("trades"), (cash * F.countDistinct("symbol")).alias("cash"))
+    turnover = ratio(F.least("bought", "sold"), F.col("final_equity"))
+    both = end.join(F.broadcast(moved), how="cross").withColumn("turnover", turnover)  # a row each
+    return both.select((F.col("final_equity") - F.col("cash")).alias("profit"), "final_equity", "turnover", F.when(F.col("turnover") > 0, F.col("sharpe") / F.col("turnover")).alias("fitness"), ratio(F.col("total"), F.col("trades")).alias("profit_per_trade"))
+
+
 def confusion(df: DataFrame, truth: Column, guess: Column, by: list[str]) -> DataFrame:
     """Counts and accuracy, precision, recall, f1 of 0/1 labels."""
     n = lambda c: F.count_if(c)
@@ -109,14 +123,14 @@ def sweep_summary(results: DataFrame, value: str, base: float) -> DataFrame:
 def tail_risk(returns: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Empirical value at risk and mean of the tail, per run."""
     q = returns.groupBy("run").agg(F.percentile("r", F.lit(alpha)).alias("var"))
-    return returns.join(F.broadcast(q), "run").groupBy("run").agg(F.first("var").alias("var"), F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar"))  # a row for each run
+    return returns.join(q, "run").groupBy("run").agg(F.first("var").alias("var"), F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar"))
 
 
 def extreme_tail(returns: DataFrame, u: float = 0.9, alpha: float = 0.99) -> DataFrame:
     """Losses over the u-quantile as a generalised Pareto tail fitted by moments: VaR and CVaR at alpha; null below 5 excesses."""
     loss = returns.select("run", (-F.col("r")).alias("x"))
     q = loss.groupBy("run").agg(F.percentile("x", F.lit(u)).alias("u"), F.count("x").alias("n"))
-    over = loss.join(F.broadcast(q), "run").withColumn("e", F.when(F.col("x") > F.col("u"), F.col("x") - F.col("u")))
+    over = loss.join(q, "run").withColumn("e", F.when(F.col("x") > F.col("u"), F.col("x") - F.col("u")))
     a = over.groupBy("run").agg(F.first("u").alias("u"), F.first("n").alias("n"), F.count("e").alias("k"), F.avg("e").alias("m"), F.var_samp("e").alias("s2"))
     g = ratio(F.col("m") * F.col("m"), F.col("s2"))
     a = a.withColumns({"xi": 0.5 * (1 - g), "beta": 0.5 * F.col("m") * (1 + g)})

@@ -21,6 +21,12 @@ def orphans(book: DataFrame, sleeves: DataFrame) -> DataFrame:
     return book.join(owned(sleeves).select("symbol").distinct(), "symbol", "left_anti")
 
 
+def ready(sleeves: DataFrame, priced: DataFrame) -> DataFrame:
+    """The sleeves that can be computed: at least top_k names of their universe are in `priced` (symbol)."""
+    names = sleeves.select("sleeve", "top_k", F.explode("universe").alias("symbol")).join(priced.select("symbol").distinct(), "symbol", "left_semi")
+    return names.groupBy("sleeve", "top_k").agg(F.count(F.lit(1)).alias("n")).where("n >= top_k").select("sleeve")
+
+
 def managed(book: DataFrame, sleeves: DataFrame, ready: DataFrame) -> DataFrame:
     """(sleeve, symbol) that the ready sleeves manage: their universes, and for a residual one the orphans."""
     rest = orphans(book, sleeves).select("symbol").crossJoin(F.broadcast(sleeves.where("residual").select("sleeve")))  # one at most

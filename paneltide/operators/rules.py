@@ -53,6 +53,17 @@ def at_least(score: Column, threshold: float) -> Column:
     return F.coalesce(F.last(raw, ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), F.first(raw, ignorenulls=True).over(by_symbol().rowsBetween(0, Window.unboundedFollowing)), F.lit(0))
 
 
+def filtered(df: DataFrame, raw: Column, allowed: Column) -> DataFrame:
+    """position: the raw 0/1 position of the last bar on which a change was allowed, 0 before the first."""
+    return df.withColumn("position", held(allowed & (raw == 1), allowed & (raw == 0)))
+
+
+def long_top(df: DataFrame, score: Column, k: int) -> DataFrame:
+    """position 1 for the k symbols of each date with the highest score (ties by name), else 0; a null score is never held."""
+    rank = F.row_number().over(Window.partitionBy("ts").orderBy(score.desc_nulls_last(), "symbol"))
+    return df.withColumn("position", (score.isNotNull() & (rank <= k)).cast("int"))
+
+
 def hold_step(signal: float | None, days_left: int, position: int, threshold: float, horizon: int) -> tuple[int, int]:
     """One bar of the minimum-holding-period machine: days left and position after it."""
     value = 0.0 if signal is None or signal != signal else signal

@@ -124,12 +124,6 @@ def strategy_comparison(spark, sf_dir):
     return both.rollup("run").agg(F.count(F.lit(1)).alias("n"), fix(F.avg("r") / F.stddev_samp("r")).alias("sharpe")).select(F.coalesce("run", F.lit("ALL")).alias("run"), "n", "sharpe")
 
 
-@query(f"WITH {RETURNS}, g AS (SELECT quarter(ts) AS step, r FROM returns WHERE r IS NOT NULL) SELECT CAST(step AS BIGINT) AS step, {sfix('avg(r)')} AS mean, {sfix('quantile_cont(r, 0.05)')} AS low, {sfix('quantile_cont(r, 0.95)')} AS high FROM g GROUP BY 1")
-def fan_chart(spark, sf_dir):
-    rows = returns(spark, sf_dir).where("r IS NOT NULL").withColumn("step", F.quarter("ts").cast("long"))
-    return rows.groupBy("step").agg(fix(F.avg("r")).alias("mean"), fix(F.percentile("r", F.lit(0.05))).alias("low"), fix(F.percentile("r", F.lit(0.95))).alias("high"))
-
-
 @query(f"WITH {RETURNS}, w AS (SELECT unnest(range(6)) / 5.0 AS a), p AS (SELECT a, ts, sum(CASE run WHEN 'BUILDING' THEN a WHEN 'FURNITURE' THEN 1 - a END * r) AS r FROM returns, w WHERE run IN ('BUILDING', 'FURNITURE') AND r IS NOT NULL GROUP BY 1, 2), q AS (SELECT a, quantile_cont(r, 0.05) AS v FROM p GROUP BY 1), o AS (SELECT p.a, avg(r) - 2 * var_samp(r) + 0.5 * avg(CASE WHEN r <= v THEN r END) AS goal FROM p JOIN q ON p.a = q.a GROUP BY 1) SELECT CAST(round(a * 5) AS BIGINT) AS fifth, {sfix('goal')} AS goal, goal = (SELECT max(goal) FROM o) AS best FROM o")
 def candidate_weights(spark, sf_dir):
     """Mean less twice the variance plus half the tail's mean, for a grid of weights."""

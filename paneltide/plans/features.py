@@ -10,6 +10,7 @@ from ..functions.ema import ema, ema_adjusted
 from ..functions.windows import by_symbol, change, lag, ratio, rolling
 from ..operators import clean, metrics
 from ..sources import panels
+from ..sources.store import stored
 from .oracle import BARS, BENCH, DENSE, S, WEEKLY, day, fix, fixed, query, sema, sfix, sfixed, srolling
 
 D = "CAST(ts AS VARCHAR) AS d"
@@ -17,9 +18,9 @@ _OHLCV = {"open": 3, "high": 3, "low": 3, "close": 3, "volume": 2}
 
 
 def dense(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
-    """The daily closes on all dates, filled; persisted, since portfolios read it for scores, schedules and returns."""
-    panel = clean.densify(panels.bars_daily(spark, sf_dir).select("symbol", "ts", "close"))
-    return panel.withColumn("close", clean.ffill(F.col("close"), limit)).persist()
+    """The daily closes on all dates, filled; the bars are stored, as their dates and symbols make the grid, and portfolios read it several times."""
+    bars = stored(panels.bars_daily(spark, sf_dir).select("symbol", "ts", "close"), "bars")
+    return clean.densify(bars).withColumn("close", clean.ffill(F.col("close"), limit))
 
 
 @query(f"WITH {BARS} SELECT symbol, {D}, {sfixed(_OHLCV)} FROM bars")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.windows import by_symbol, change, lag, rolling
-from ..operators import clean, cross, learn
+from ..operators import backtest, clean, cross, learn
 from ..sources import panels
+from ..sources.store import stored
 from .features import D, dense
-from .oracle import BARS, S, day, fix, fixed, query, sfix, sfixed, srolling
+from .oracle import BARS, DENSE, RETURNS, S, day, fix, fixed, query, sfix, sfixed, srolling
 
 FEATURES = ["ret_1", "ret_5", "vol_10", "sma_ratio", "rsi"]
 
@@ -22,12 +23,12 @@ def rows(spark, sf_dir) -> DataFrame:
     bars = bars.withColumns({"ret_1": lag(F.col("r"), 0), "ret_5": I.log_return(5), "vol_10": rolling(F.stddev_samp, F.col("r"), 10), "sma_ratio": c / I.sma(c, 20), "rsi": I.rsi(14, c, eps=1e-12)})
     nxt = F.lead(c).over(by_symbol())
     bars = bars.withColumns({"label": F.when(nxt.isNotNull(), (nxt > c).cast("double")), "fwd": F.ln(nxt / c)})
-    return clean.split(bars.na.drop(subset=FEATURES), 0.7)
+    return clean.split_dates(bars.na.drop(subset=FEATURES), 0.7)
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, ln(close / lag(close) OVER ({S})) AS r, ln(close / lag(close, 5) OVER ({S})) AS ret_5, close / ({srolling('avg', 'close', 20)}) AS sma_ratio FROM bars),
 b AS (SELECT *, {srolling('stddev_samp', 'r', 10)} AS vol_10 FROM a), e AS (SELECT * FROM b WHERE r IS NOT NULL AND ret_5 IS NOT NULL AND vol_10 IS NOT NULL AND sma_ratio IS NOT NULL),
-n AS (SELECT *, row_number() OVER ({S}) AS rn, count(*) OVER (PARTITION BY symbol) AS c FROM e), t AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM n WHERE rn <= floor(c * CAST(0.7 AS DOUBLE))) SELECT symbol, {D}, {sfix('(r - m) / s', 4)} AS z FROM n, t WHERE rn > floor(c * CAST(0.7 AS DOUBLE))""")
+n AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS rn, (SELECT count(DISTINCT ts) FROM e) AS c FROM e), t AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM n WHERE rn <= floor(c * CAST(0.7 AS DOUBLE)) - 1) SELECT symbol, {D}, {sfix('(r - m) / s', 4)} AS z FROM n, t WHERE rn > floor(c * CAST(0.7 AS DOUBLE))""")
 def scaled_features(spark, sf_dir):
     """A feature of test rows in units of the training rows' deviation."""
     df = rows(spark, sf_dir)
@@ -73,38 +74,74 @@ def bagged_return(spark, sf_dir):
     return learn.bagged(df, lambda seed: learn.return_model("net", FEATURES), ["symbol", "ts"], n=3).select("symbol", day(), "score")
 
 
-RANKED = ["ret_5", "ret_21", "ret_63", "vol_21", "sma_ratio", "rsi"]
+RANKED = cross.FEATURES
 
 
 def ranked_panel(spark, sf_dir) -> tuple[DataFrame, list]:
-    panel = dense(spark, sf_dir)
+    panel = stored(dense(spark, sf_dir), "panel")
     schedule = clean.weekly_schedule(panel.select("ts").distinct())
     dates = [r["ts"] for r in schedule.select("ts").orderBy("ts").toLocalIterator()]  # the weeks of the calendar
     return cross.features(panel, schedule), dates
 
 
-@query()
+def _z(x: str) -> str:
+    return f"({x} - avg({x}) OVER (PARTITION BY ts)) / (stddev_samp({x}) OVER (PARTITION BY ts) + 1e-12)"
+
+
+@query(f"""WITH {DENSE}, a AS (SELECT *, close / lag(close) OVER ({S}) - 1 AS r, close - lag(close) OVER ({S}) AS x FROM dense), b AS (SELECT *, CASE WHEN x IS NOT NULL THEN greatest(x, 0) END AS u, CASE WHEN x IS NOT NULL THEN greatest(-x, 0) END AS w FROM a),
+c AS (SELECT symbol, ts, close, close / lag(close, 5) OVER ({S}) - 1 AS ret_5, close / lag(close, 21) OVER ({S}) - 1 AS ret_21, close / lag(close, 63) OVER ({S}) - 1 AS ret_63, lag(close, 21) OVER ({S}) / lag(close, 126) OVER ({S}) - 1 AS mom_126, lag(close, 21) OVER ({S}) / lag(close, 252) OVER ({S}) - 1 AS mom_252,
+{srolling('stddev_samp', 'r', 21)} AS vol_21, {srolling('stddev_samp', 'r', 63)} AS vol_63, close / ({srolling('avg', 'close', 50)}) - 1 AS sma_50, close / ({srolling('avg', 'close', 200)}) - 1 AS sma_200, 100 - 100 / (1 + ({srolling('avg', 'u', 14)}) / (({srolling('avg', 'w', 14)}) + 1e-12)) AS rsi FROM b),
+e AS (SELECT *, lead(close) OVER ({S}) / close - 1 AS nx FROM c WHERE ts IN (SELECT max(ts) FROM (SELECT DISTINCT ts FROM dense) GROUP BY isoyear(ts), weekofyear(ts))),
+f AS (SELECT symbol, ts, {', '.join(f'{_z(k)} AS {k}' for k in RANKED)}, CASE WHEN nx IS NOT NULL THEN (rank() OVER (PARTITION BY ts ORDER BY nx NULLS LAST) + (count(nx) OVER (PARTITION BY ts, nx) - 1) / 2.0) / count(nx) OVER (PARTITION BY ts) END AS target FROM e)
+SELECT symbol, {D}, {sfixed({k: 4 for k in [*RANKED, 'target']})} FROM f WHERE {' AND '.join(f'{k} IS NOT NULL' for k in RANKED)}""")
 def feature_panel(spark, sf_dir):
-    return ranked_panel(spark, sf_dir)[0].select("symbol", day(), *RANKED, "target")
+    return ranked_panel(spark, sf_dir)[0].select("symbol", day(), *fixed({k: 4 for k in [*RANKED, "target"]}))
 
 
 @query()
 def gbt_ranker(spark, sf_dir):
     """A ranker refitted every half year, of rows whose target was known by then."""
     panel, dates = ranked_panel(spark, sf_dir)
-    panel = panel.cache()
+    panel = stored(panel, "features")
     return learn.walk_forward_ranker(panel, dates, RANKED, every=52, least_dates=104).select("symbol", day(), "score")
 
 
 @query()
 def bear_state(spark, sf_dir):
-    """States of the benchmark by its 21-day return and volatility."""
-    from pyspark.sql import Window
+    """States of the benchmark by return and volatility, each by a fit on earlier dates."""
+    return learn.bear_state(panels.bench_daily(spark, sf_dir)).select(day(), "ret", "vol", "bear")
+
+
+_RT = f"""{RETURNS}, nb AS (SELECT run, ts, r, lead(r) OVER (PARTITION BY run ORDER BY ts) AS y, row_number() OVER (PARTITION BY run ORDER BY ts) - 1 AS n, count(*) OVER (PARTITION BY run) AS c FROM returns)"""
+
+
+def _folded(train: int, test: int, purge: int, expanding: bool) -> str:
+    """Folds of each run, a line fitted on each fold's training rows, and the test rows' predictions."""
+    start = "0" if expanding else f"t - {purge} - {train}"
+    return f"""{_RT}, fd AS (SELECT run, (t - {train + purge}) // {test} AS fold, {start} AS a, t - {purge} AS z, t, least(t + {test}, c) AS e FROM (SELECT run, c, unnest(range({train + purge}, c, {test})) AS t FROM (SELECT DISTINCT run, c FROM nb)) WHERE least(t + {test}, c) - t >= 5),
+ft AS (SELECT fd.run, fd.fold, regr_slope(y, r) AS b, regr_intercept(y, r) AS a FROM fd JOIN nb ON nb.run = fd.run AND nb.n >= fd.a AND nb.n < fd.z WHERE y IS NOT NULL AND r IS NOT NULL GROUP BY 1, 2),
+pr AS (SELECT nb.run, nb.ts, fd.fold, ft.a + ft.b * nb.r AS score FROM nb LEFT JOIN fd ON fd.run = nb.run AND nb.n >= fd.t AND nb.n < fd.e LEFT JOIN ft ON ft.run = fd.run AND ft.fold = fd.fold)"""
+
+
+def _predicted(spark, sf_dir, train: int, test: int, purge: int, expanding: bool) -> DataFrame:
+    r = panels.bars_weekly(spark, sf_dir).select(F.col("symbol").alias("run"), "ts", change(F.col("close")).alias("r"))
+    by = Window.partitionBy("run").orderBy("ts")
+    rows = r.withColumns({"n": F.row_number().over(by) - 1, "label": F.lead("r").over(by)})
+    folds = backtest.fold_table(r, train, test, purge, expanding)
+    return backtest.assign_folds(rows, folds).drop("fold").join(learn.fit_folds(rows, folds, ["r"]).select("run", "ts", "fold", "score"), ["run", "ts"], "left")
+
+
+@query(f"WITH {_folded(104, 26, 5, True)} SELECT run, {D}, CAST(fold AS BIGINT) AS fold, CAST(fold IS NOT NULL AS BIGINT) AS test_mask, {sfix('score', 4)} AS score, CAST(coalesce(score > 0, false) AS BIGINT) AS position FROM pr")
+def stitched_predictions(spark, sf_dir):
+    """Out-of-sample predictions of all folds in one series, with positions that are flat before the first fold."""
+    rows = _predicted(spark, sf_dir, 104, 26, 5, True)
+    return rows.select("run", day(), F.col("fold").cast("long").alias("fold"), F.col("test_mask").cast("long").alias("test_mask"), fix("score", 4).alias("score"), F.coalesce(F.col("score") > 0, F.lit(False)).cast("long").alias("position"))
+
 
-    by = Window.orderBy("ts")  # one series of dates
-    bench = panels.bench_daily(spark, sf_dir).withColumn("r", change(F.col("bench"), 1, by))
-    bench = bench.withColumns({"ret": change(F.col("bench"), 21, by), "vol": rolling(F.stddev_samp, F.col("r"), 21, by)}).na.drop()
-    return learn.bear_state(bench, ["ret", "vol"]).select(day(), "ret", "vol", "bear")
+@query(f"WITH {_folded(60, 10, 1, False)} SELECT run, {D}, {sfix('score', 4)} AS score FROM pr WHERE fold IS NOT NULL")
+def rolling_retrain(spark, sf_dir):
+    """A model for each symbol fitted again every ten bars on the last sixty whose label was known."""
+    return _predicted(spark, sf_dir, 60, 10, 1, False).where("test_mask = 1").select("run", day(), *fixed({"score": 4}))
 
 
 @query()

@@ -88,6 +88,37 @@ def buy_and_hold_equity(spark, sf_dir):
     return backtest.profit(rules.buy_and_hold(panels.bars_weekly(spark, sf_dir))).select("symbol", day(), fix(F.log1p("growth")).alias("log_growth"))
 
 
+_ENGINE = {"profit": 2, "final_equity": 2, "turnover": 4, "fitness": 4, "profit_per_trade": 4}
+
+
+@query(f"""WITH {WEEKLY}, {_BOLL.format('weekly')}, {_pnl('pos')}, g AS (SELECT symbol, ts, r, product(1 + r) OVER ({S} ROWS UNBOUNDED PRECEDING) AS c, coalesce(position - lag(position) OVER ({S}), 0) AS sg FROM pnl),
+e AS (SELECT *, 10000 * c AS equity FROM g), d AS (SELECT ts, sum(equity) AS equity, avg(r) AS r, avg(c - 1) AS cum FROM e GROUP BY 1), l AS (SELECT last(equity ORDER BY ts) AS fin, last(cum ORDER BY ts) AS cum, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM d),
+t AS (SELECT sum(CASE WHEN sg > 0 THEN equity * sg ELSE 0 END) AS bought, -sum(CASE WHEN sg < 0 THEN equity * sg ELSE 0 END) AS sold, sum(abs(sg)) / 2 AS trades, 10000 * count(DISTINCT symbol) AS cash FROM e), f AS (SELECT fin - cash AS profit, fin AS final_equity, least(bought, sold) / fin AS turnover, sharpe / nullif(least(bought, sold) / fin, 0) AS fitness, cum / nullif(trades, 0) AS profit_per_trade FROM l, t) SELECT {sfixed(_ENGINE)} FROM f""")
+def engine_performance(spark, sf_dir):
+    """Profit, final equity, turnover by the smaller of what is bought and sold, Sharpe over turnover, return of a trade."""
+    rows = backtest.profit(rules.bollinger_reversion(panels.bars_weekly(spark, sf_dir), k=1.0))
+    return metrics.engine(rows.withColumn("signal", rules.signal(F.col("position")))).select(*fixed(_ENGINE))
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, close / nullif({srolling('max', 'high', 20)}, 0) AS p, lag(close) OVER ({S}) AS pc FROM bars), b AS (SELECT *, CASE WHEN p IS NOT NULL THEN CASE WHEN p >= 0.5 THEN 1 ELSE 0 END END AS e, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM a),
+c AS (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER ({S} ROWS UNBOUNDED PRECEDING), first_value(e IGNORE NULLS) OVER ({S} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS raw, ({srolling('avg', 'tr', 14)}) / close AS rg FROM b),
+f AS (SELECT symbol, ts, coalesce(last_value(CASE WHEN rg > 0.5 THEN raw END IGNORE NULLS) OVER ({S} ROWS UNBOUNDED PRECEDING), 0) AS position FROM c) SELECT symbol, {D}, CAST(position AS BIGINT) AS position, CAST(coalesce(position - lag(position) OVER ({S}), 0) AS BIGINT) AS signal FROM f""")
+def volatility_filtered(spark, sf_dir):
+    """Positions of a probability that change only on bars with a wide enough range."""
+    df = panels.bars_daily(spark, sf_dir).withColumns({"p": ratio(F.col("close"), rolling(F.max, F.col("high"), 20)), "tr": I.true_range()})
+    df = df.withColumns({"raw": rules.at_least(F.col("p"), 0.5), "wide": rolling(F.avg, F.col("tr"), 14) / F.col("close") > 0.5})
+    df = rules.filtered(df, F.col("raw"), F.col("wide"))
+    return df.withColumn("signal", rules.signal(F.col("position"))).select("symbol", day(), F.col("position").cast("long").alias("position"), F.col("signal").cast("long").alias("signal"))
+
+
+@query(f"WITH {BARS}, a AS (SELECT symbol, ts, close / nullif({srolling('max', 'high', 20)}, 0) AS p FROM bars), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY p DESC NULLS LAST, symbol) AS rk FROM a), b AS (SELECT symbol, ts, CASE WHEN p IS NOT NULL AND rk <= 3 THEN 1 ELSE 0 END AS position FROM k) SELECT symbol, {D}, CAST(position AS BIGINT) AS position, CAST(coalesce(position - lag(position) OVER ({S}), 0) AS BIGINT) AS signal FROM b")
+def long_top_k(spark, sf_dir):
+    """Long the three symbols of each date with the highest probability."""
+    df = panels.bars_daily(spark, sf_dir).withColumn("p", ratio(F.col("close"), rolling(F.max, F.col("high"), 20)))
+    df = rules.long_top(df, F.col("p"), 3)
+    return df.withColumn("signal", rules.signal(F.col("position"))).select("symbol", day(), F.col("position").cast("long").alias("position"), F.col("signal").cast("long").alias("signal"))
+
+
 @query(f"WITH {WEEKLY}, {_BOLL.format('weekly')}, {_pnl('pos')}, g AS (SELECT symbol, ts, r, 10000 * product(1 + r) OVER ({S} ROWS UNBOUNDED PRECEDING) AS equity FROM pnl) SELECT {D}, {sfix('ln(sum(equity))')} AS log_equity, {sfix('avg(r)')} AS r FROM g GROUP BY ts")
 def engine_book(spark, sf_dir):
     rows = backtest.book(backtest.profit(rules.bollinger_reversion(panels.bars_weekly(spark, sf_dir), k=1.0)))
@@ -382,13 +413,15 @@ def turbulence_gate(spark, sf_dir):
     return cross.turbulence_gate(rows).select(day(), fix("x", 4).alias("x"), "halt")
 
 
-@query()
-def buffered_selection(spark, sf_dir):
-    rows = cross.top_k(_scored(spark, sf_dir), 25).withColumn("run", F.lit("buffer"))
-    return backtest.buffered(rows, 5, 1.5).select("run", day(), "symbol")
+def _machine(rows: str, value: str, threshold: float, horizon: int) -> str:
+    """CTE hm (symbol, rn, ts, lft, pos): the minimum-holding-period machine over rows (symbol, rn, ts) one after the other."""
+    v = f"coalesce(x.{value}, 0)"
+    return f"""hm AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ts, 0 AS lft, 0 AS pos FROM {rows} UNION ALL
+SELECT x.symbol, x.rn, x.ts, CASE WHEN m.lft > 0 THEN m.lft - 1 + CAST({v} >= {threshold} AS INT) WHEN m.pos = 0 AND {v} > {threshold} THEN {horizon - 1} ELSE 0 END,
+CASE WHEN m.lft > 0 THEN m.pos WHEN m.pos = 0 AND {v} > {threshold} THEN 1 WHEN m.pos = 1 AND {v} <= 0 THEN 0 ELSE m.pos END FROM hm m JOIN {rows} x ON x.symbol = m.symbol AND x.rn = m.rn + 1)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {BARS}, xs AS (SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, ln(close / lag(close) OVER ({S})) AS x, row_number() OVER ({S}) AS rn FROM bars), {_machine('xs', 'x', 0.02, 10)} SELECT symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, CAST(pos AS INT) AS position FROM hm WHERE rn > 0")
 def hold_period_positions(spark, sf_dir):
     rows = panels.bars_daily(spark, sf_dir).withColumn("x", I.log_return())
     return rules.holding_period(rows, "x", 0.02, 10).select("symbol", day(), "position")
@@ -400,34 +433,18 @@ def pair_zscores(spark, sf_dir, n: int = 26) -> DataFrame:
     return p.withColumn("z", ratio(F.col("s") - rolling(F.avg, F.col("s"), n, by), rolling(F.stddev_samp, F.col("s"), n, by)))
 
 
-@query()
-def pair_positions(spark, sf_dir):
-    return rules.pair_legs(rules.pair_positions(pair_zscores(spark, sf_dir))).select("symbol", day(), "position")
+_PAIRS = "PARTITION BY symbol_1, symbol_2 ORDER BY ts"
+_SPREAD = f"pr AS (SELECT a.symbol AS symbol_1, b.symbol AS symbol_2, a.ts, ln(a.close) - ln(b.close) AS s FROM weekly a JOIN weekly b ON a.ts = b.ts AND a.symbol < b.symbol), zs AS (SELECT symbol_1, symbol_2, ts, (s - ({srolling('avg', 's', 26, _PAIRS)})) / ({srolling('stddev_samp', 's', 26, _PAIRS)}) AS z, row_number() OVER ({_PAIRS}) AS rn FROM pr)"
 
 
-@query()
-def null_test(spark, sf_dir):
-    """Fifty random portfolios in one job, with the percentiles of their mean weekly log growth."""
-    panel = panels.bars_weekly(spark, sf_dir)
-    picks = backtest.random_k(panel, spark.range(50).select(F.col("id").alias("run")), 2)
-    r = panel.select("ts", "symbol", F.ln(ratio(F.lead("close").over(by_symbol()), F.col("close"))).alias("r"))
-    runs = picks.join(r, ["ts", "symbol"]).groupBy("run").agg(F.avg("r").alias("growth"))
-    return runs.agg(F.count(F.lit(1)).alias("runs"), F.percentile("growth", F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("percentiles"))
+@query(f"""WITH RECURSIVE {WEEKLY}, {_SPREAD}, st AS (SELECT DISTINCT symbol_1, symbol_2, CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS ts, 0 AS state FROM zs UNION ALL
+SELECT z.symbol_1, z.symbol_2, z.rn, z.ts, CASE WHEN z.z IS NULL THEN st.state WHEN st.state = 0 THEN CASE WHEN z.z > 2 THEN -1 WHEN z.z < -2 THEN 1 ELSE 0 END WHEN (st.state = 1 AND z.z > -0.5) OR (st.state = -1 AND z.z < 0.5) THEN 0 ELSE st.state END FROM st JOIN zs z ON z.symbol_1 = st.symbol_1 AND z.symbol_2 = st.symbol_2 AND z.rn = st.rn + 1),
+lg AS (SELECT symbol_1 AS symbol, ts, state FROM st WHERE rn > 0 UNION ALL SELECT symbol_2, ts, -state FROM st WHERE rn > 0) SELECT symbol, {D}, CAST(greatest(-1, least(1, sum(state))) AS INT) AS position FROM lg GROUP BY symbol, ts""")
+def pair_positions(spark, sf_dir):
+    return rules.pair_legs(rules.pair_positions(pair_zscores(spark, sf_dir))).select("symbol", day(), "position")
 
 
 @query()
 def turbulence_nd(spark, sf_dir):
     panel = panels.bars_weekly(spark, sf_dir)
     return cross.mahalanobis(panel, panel.select("ts").distinct(), 52).select(day(), "turbulence")
-
-
-@query()
-def bootstrap_scenarios(spark, sf_dir):
-    """Joint returns of days drawn by a hash, summed over horizons of 10 draws, with risk of an equal mix."""
-    rows = returns(spark, sf_dir).where("r IS NOT NULL").groupBy("ts").agg(F.avg("r").alias("r"))
-    days = rows.withColumn("k", F.row_number().over(Window.orderBy("ts")) - 1)  # one series of dates
-    n = days.agg(F.count(F.lit(1)).alias("n"))
-    draws = spark.range(2000).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step")).crossJoin(F.broadcast(n))
-    drawn = draws.withColumn("k", F.pmod(F.xxhash64("sim", "step"), F.col("n")).cast("int")).join(F.broadcast(days.select("k", "r")), "k")  # dates of one series
-    total = drawn.groupBy("sim").agg((F.exp(F.sum(F.log1p(F.greatest("r", F.lit(-0.99))))) - 1).alias("r"))
-    return metrics.tail_risk(total.select(F.lit("mix").alias("run"), "r"))

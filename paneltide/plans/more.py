@@ -14,7 +14,7 @@ from ..functions import indicators as I
 from ..functions.windows import by_symbol, change, lag, ratio, rolling
 from ..operators import backtest, clean, cross, learn, metrics, orders, rules, strategies
 from ..sources import panels, sinks
-from ..streaming.ticks import folder
+from ..sources.store import folder
 from .features import D, dense
 from .learning import FEATURES, rows
 from .market import _BOLL, _BOOK, _CAPPED, _CHOSEN, _MOM, _PERF, _PERF_SQL, _TARGET, _WALK, _scored, _z, account, pair_zscores, returns, walk
@@ -150,40 +150,6 @@ def monthly_rebalance(spark, sf_dir):
     return out.select(F.col("seq").cast("long").alias("seq"), "symbol", "side", fix("notional", 1).alias("notional"))
 
 
-@query()
-def weekday_sweep(spark, sf_dir):
-    """The weekly portfolio decided on each weekday, all in one job."""
-    panel = dense(spark, sf_dir)
-    scored = cross.momentum(panel.withColumn("__r", change(F.col("close")))).withColumn("sd", rolling(F.stddev_samp, F.col("__r"), 63)).drop("__r")
-    dates = panel.select("ts").distinct()
-    schedules = reduce(DataFrame.unionByName, [clean.weekly_schedule(dates, k).select(F.lit(k).alias("run"), "ts") for k in range(5)])
-    daily = backtest.portfolio(panel, backtest.schedule_weights(scored, schedules, 5), ("run",))
-    return daily.groupBy("run").agg(F.count(F.lit(1)).alias("days"), F.avg("exposure").alias("exposure"), (F.avg(F.when(F.col("turnover") > 0, F.col("turnover"))) * 52).alias("turnover"))
-
-
-@query()
-def holistic_walkforward(spark, sf_dir):
-    """The weekly portfolio by the mean rank of momentum and reversal, scaled by the regime score."""
-    panel = dense(spark, sf_dir)
-    df = _scored(spark, sf_dir).join(cross.reversal(panel).select("ts", "symbol", (-F.col("reversal")).alias("other")), ["ts", "symbol"], "left")
-    picks = cross.top_k(cross.rank_average(df, "score", "other").where("score IS NOT NULL"), 5, "blend")
-    weights = cross.inverse_vol(picks, "sd")
-    regime = _regime(spark, sf_dir).select(F.col("ts").alias("week"), "score")
-    # the score of the week before, known at the decision
-    scaled = weights.withColumn("week", F.date_sub(F.to_date(F.date_trunc("week", "ts")), 7)).join(F.broadcast(regime), "week", "left")  # weeks alone
-    scaled = scaled.select("ts", "symbol", (F.col("weight") * F.coalesce("score", F.lit(1.0))).alias("weight"))
-    return backtest.portfolio(panel, scaled).select(day(), "r", "turnover", "exposure")
-
-
-@query()
-def sticky_null_test(spark, sf_dir):
-    """Turnover of random portfolios that change one of three names a week."""
-    panel = panels.bars_weekly(spark, sf_dir)
-    picks = backtest.sticky_random(panel, spark.range(20).select(F.col("id").alias("run")), 3, 1)
-    weights = picks.select("run", "ts", "symbol", F.lit(1 / 3).alias("weight"))
-    return backtest.portfolio(panel, weights, ("run",)).groupBy("run").agg(F.avg("turnover").alias("turnover"), F.avg("r").alias("r"))
-
-
 @query()
 def model_round_trip(spark, sf_dir):
     """A forest saved, loaded and applied to the latest row of each symbol."""
@@ -246,9 +212,3 @@ def report_lines(spark, sf_dir):
     sinks.append_report(r.groupBy("run").agg(F.count(F.lit(1)).alias("n")), path, F.concat_ws(" ", "run", F.col("n").cast("string")))
     sinks.append_report(r.agg(F.count(F.lit(1)).alias("n")), path, F.concat(F.lit("all "), F.col("n").cast("string")))
     return sinks.read_report(spark, path).select(F.col("value").alias("line"))
-
-
-@query()
-def pipeline_features(spark, sf_dir):
-    """Features by name as a stage of a model pipeline."""
-    return strategies.PanelFeatures(["log_return", "roc_10", "rsi_14", "vol_20"]).transform(panels.bars_daily(spark, sf_dir)).select("symbol", day(), "log_return", "roc_10", "rsi_14", "vol_20")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import extras, features, learning, market, more, streams  # noqa: F401  they register their queries
+from . import extras, features, learning, market, more, portfolios, scans, streams  # noqa: F401  they register their queries
 from .oracle import ORACLES, QUERIES
 
 

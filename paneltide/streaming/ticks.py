@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rules import hold_step
+from ..sources.store import folder
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps checkpoints; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def read_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of (symbol, ts, id, price, user)."""
+def read_ticks(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """The events table as a stream of (symbol, ts, id, price, user); with `files`, so many files of it in one micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # one file or a folder of them
+    source = spark.readStream.schema(schema)
+    raw = (source if files is None else source.option("maxFilesPerTrigger", files)).parquet(f"{sf_dir}/events.parque[t]")  # one file or a folder of them
     return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("user_id").alias("user"))
 
 
@@ -48,7 +43,8 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes"
 def holding_period(rows: DataFrame, signal: str, threshold: float, horizon: int) -> DataFrame:
     """The minimum-holding-period machine with its state (days left, position) kept by symbol across batches.
 
-    Rows of a symbol must come in order from batch to batch; within a batch they are sorted.
+    Rows of a symbol must come in order from batch to batch; within a batch they are sorted. A symbol's rows of one
+    micro-batch are held at once: bound these by maxFilesPerTrigger (see read_ticks) where a symbol has many.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,8 +61,8 @@ def holding_period(rows: DataFrame, signal: str, threshold: float, horizon: int)
 
 
 def stale_symbols(ticks: DataFrame, after: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """A row for each time a symbol had no tick for `after` in event time: its last tick."""
-    seconds = pd.Timedelta(after).total_seconds()
+    """The ticks after which a symbol had none for `after`: found when the next one comes, or when the watermark says that none will."""
+    gap = int(pd.Timedelta(after).total_seconds() * 1e6)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -74,11 +70,11 @@ def stale_symbols(ticks: DataFrame, after: str = "1 hour", late: str = "10 minut
             state.remove()
             yield pd.DataFrame({"symbol": [key[0]], "last": [pd.Timestamp(last, unit="us")]})
             return
-        last = max(int(b["ts"].astype("datetime64[us]").astype("int64").max()) for b in batches)
-        last = max(last, state.get[0]) if state.exists else last
-        state.update((last,))
-        due = last // 1000 + int(seconds * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        at = np.sort(np.concatenate([[state.get[0]] if state.exists else np.zeros(0, np.int64), *(b["ts"].astype("datetime64[us]").astype("int64") for b in batches)]).astype(np.int64))
+        state.update((int(at[-1]),))
+        state.setTimeoutTimestamp(max((int(at[-1]) + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+        lone = at[:-1][np.diff(at) > gap]
+        yield pd.DataFrame({"symbol": [key[0]] * len(lone), "last": pd.to_datetime(lone, unit="us")})
 
     return ticks.withWatermark("ts", late).select("symbol", "ts").groupBy("symbol").applyInPandasWithState(step, "symbol string, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 

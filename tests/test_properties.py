@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions import indicators as I
 from paneltide.functions.ema import ema, ema_adjusted
-from paneltide.operators import backtest, clean, cross, learn, metrics, orders, rules
+from paneltide.operators import backtest, clean, cross, learn, metrics, orders, rules, walk
 from paneltide.plans import features, market, registry
 from paneltide.streaming import ticks
 
@@ -175,10 +175,19 @@ def test_vol_target_bounds_and_identity(spark):
     assert {r["exposure"] for r in cross.vol_target(df, 99.0).collect()} == {1.0}
 
 
-def test_mahalanobis_of_one_step(spark):
-    p = panel(spark, symbols=4, rows=90)
-    rows = cross.mahalanobis(p, p.select("ts").distinct(), 60).toPandas()
-    assert len(rows) and (rows["turbulence"].dropna() >= 0).all()
+@pytest.mark.parametrize("block", [7, 64, 500])
+def test_mahalanobis_equals_numpy(spark, block):
+    p = panel(spark, symbols=4, rows=90, dead=2)
+    rows = cross.mahalanobis(p, p.select("ts").distinct(), 60, block).orderBy("ts").toPandas()
+    wide = p.toPandas().pivot(index="ts", columns="symbol", values="close").sort_index()
+    r = wide.pct_change(fill_method=None)
+    want = []
+    for t in range(60, 90):
+        past, now = r.iloc[t - 60 : t], r.iloc[t]
+        names = [c for c in r.columns if past[c].notna().all() and not np.isnan(now[c])]
+        d = (now[names] - past[names].mean()).to_numpy()
+        want.append(d @ np.linalg.pinv(past[names].cov().to_numpy()) @ d if len(names) > 1 else np.nan)
+    assert list(rows["ts"]) == list(wide.index[60:]) and np.allclose(rows["turbulence"].astype(float), want, equal_nan=True)
 
 
 def test_bias_corrections_equal_pandas(spark):
@@ -222,11 +231,116 @@ def test_rows_for_models_end_before_their_labels(spark):
     assert score.where("NOT score BETWEEN 0 AND 1").count() == 0
 
 
-@pytest.mark.parametrize("name", sorted({"buffered_selection", "hold_period_positions", "pair_positions", "null_test", "turbulence_nd", "bootstrap_scenarios", "stream_positions", "stream_stale", "bear_state", "feature_panel"}))
+@pytest.mark.parametrize("name", sorted({"turbulence_nd", "bear_state", "holistic_learned"}))
 def test_queries_without_sql_run(spark, name):
     registry.queries()[name](spark, SMALL).toPandas()
 
 
+def bench(spark, rows, seed=3):
+    rng = np.random.default_rng(seed)
+    x = 100 * np.exp(np.cumsum(rng.normal(0, np.where(np.arange(rows) // 80 % 2, 0.03, 0.01))))
+    return spark.createDataFrame([(dt.date(2018, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)], "ts date, bench double")
+
+
+def test_states_do_not_depend_on_later_dates(spark):
+    whole, part = (learn.bear_state(bench(spark, 400).where(f"ts < date_add(DATE '2018-01-01', {n})"), every=40, least=150).orderBy("ts").toPandas() for n in (400, 300))
+    assert len(part) > 100 and (whole.iloc[: len(part)]["bear"] == part["bear"]).all()
+    assert 0 < whole["bear"].mean() < 1 and whole.loc[whole["bear"], "vol"].mean() != whole.loc[~whole["bear"], "vol"].mean()
+
+
+def test_split_by_date_leaves_a_gap(spark):
+    p = panel(spark, symbols=2, rows=100).where("symbol = 'S00' OR ts > '2020-02-20'")  # one begins later
+    rows = clean.split_dates(p, 0.7, 3).toPandas()
+    last, first = rows.loc[rows["test_mask"] == 0, "ts"].max(), rows.loc[rows["test_mask"] == 1, "ts"].min()
+    assert (first - last).days == 4 and (rows.loc[rows["ts"] < first, "test_mask"].fillna(0) == 0).all()
+
+
+def test_predictions_of_folds_equal_numpy_and_ignore_the_future(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    y = x @ [0.5, -0.2] + 0.1 * rng.normal(size=200)
+    df = pd.DataFrame({"run": "a", "ts": [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(200)], "n": range(200), "u": x[:, 0], "v": x[:, 1], "label": y})
+    folds = backtest.fold_table(spark.createDataFrame(df), 60, 20, 5, False)
+    got = learn.fit_folds(spark.createDataFrame(df), folds, ["u", "v"]).orderBy("n").toPandas()
+    for f in folds.collect():
+        a = np.column_stack([np.ones(60), x[f["slice_start"] : f["train_end"]]])
+        w = np.linalg.lstsq(a, y[f["slice_start"] : f["train_end"]], rcond=None)[0]
+        mine = got[got["fold"] == f["fold"]]
+        assert list(mine["n"]) == list(range(f["test_start"], f["test_end"])) and np.allclose(mine["score"], w[0] + x[mine["n"]] @ w[1:])
+    later = df.assign(label=np.where(df["n"] >= 100, 9.0, df["label"]))
+    again = learn.fit_folds(spark.createDataFrame(later), folds, ["u", "v"]).orderBy("n").toPandas()
+    assert np.allclose(got["score"][got["n"] < 105], again["score"][again["n"] < 105])
+
+
+def held(weights):
+    return {(r["run"], r["ts"], r["symbol"]): round(r["weight"], 9) for r in weights.collect()}
+
+
+def test_layers_that_are_off_change_nothing(spark):
+    p, b = panel(spark, symbols=8, rows=420), bench(spark, 900)
+    base = walk.Config("r", k=3, lookbacks=(60, 30), skip=5, vol=20, ma=50)
+    rows = walk.scored(p, [base])
+    plain = backtest.momentum_weights(p, clean.weekly_schedule(p.select("ts").distinct()), b, k=3, cap=0.3, lookbacks=(60, 30), skip=5, vol=20, ma=50)
+    want = held(plain.withColumn("run", F.lit("r")))
+    assert len(want) > 100 and held(walk.weights(rows, exposure=walk.gate(b, [base]))) == want
+    off = walk.combined(walk.gate(b, [base]), walk.vol_target(p, 1e9))  # a target that no book reaches
+    none = p.select("ts", "symbol", F.lit(None).cast("double").alias("learned"))
+    assert held(walk.weights(walk.with_learned(rows, none, 0.5), walk.buffered(1.0, 3), off, band=1e-12)) == want
+    assert held(walk.weights(walk.scored(p, [walk.Config("r", k=3, lookbacks=(60, 30), skip=5, vol=20, ma=50, reversal=1e-15)]), exposure=walk.gate(b, [base]))) == want
+    # each layer that is on changes something
+    for other in (walk.weights(rows, walk.buffered(2.0, 3), walk.gate(b, [base])), walk.weights(rows, exposure=walk.vol_target(p, 0.05)), walk.weights(rows, exposure=walk.gate(b, [base]), band=0.05)):
+        assert held(other) != want
+
+
+def test_runs_of_a_sweep_equal_runs_alone(spark):
+    p, b = panel(spark, symbols=8, rows=300), bench(spark, 900)
+    configs = [walk.Config("a", 3, (60, 30), 5, 20, ma=50), walk.Config("b", 2, (40,), 0, 10, cap=0.6, ma=80, weekday=2), walk.Config("c", 3, (60, 30), 5, 20, ma=50, reversal=0.4)]
+    first = walk.warmup(configs)
+    all_ = held(walk.weights(walk.scored(p, configs, first), exposure=walk.gate(b, configs)))
+    assert all_ == {k: v for c in configs for k, v in held(walk.weights(walk.scored(p, [c], first), exposure=walk.gate(b, [c]))).items()}
+    days = sorted({r["ts"] for r in p.select("ts").distinct().collect()})
+    assert {k[0] for k in all_} == {"a", "b", "c"} and min(k[1] for k in all_) >= days[first]
+
+
+def test_book_risk_equals_the_covariance_form(spark):
+    p = panel(spark, symbols=5, rows=150)
+    weights = spark.createDataFrame([("r", dt.date(2020, 1, 1) + dt.timedelta(days=d), f"S{k:02d}", 0.1 + 0.1 * k) for d in (30, 100, 149) for k in range(3)], "run string, ts date, symbol string, weight double")
+    got = {r["ts"]: (r["risk_21"], r["risk_63"]) for r in walk.book_risk(p, weights).collect()}
+    r = p.toPandas().pivot(index="ts", columns="symbol", values="close").pct_change()
+    w = np.array([0.1, 0.2, 0.3]) / 0.6
+    for ts, risks in got.items():
+        for n, risk in zip((21, 63), risks):
+            past = r.loc[:ts].iloc[-n:][["S00", "S01", "S02"]]
+            if past.notna().all().all() and len(past) == n:
+                assert math.isclose(risk, math.sqrt(w @ past.cov().to_numpy() @ w * 252))
+            else:
+                assert risk is None
+    assert len(got) == 3 and got[dt.date(2020, 1, 31)][1] is None
+
+
+def test_band_leaves_small_changes_alone(spark):
+    rows = [("r", dt.date(2020, 1, 1 + d), s, w) for d, ws in enumerate([{"A": 0.5, "B": 0.01}, {"A": 0.515, "C": 0.3}, {"A": 0.54, "C": 0.29}, {"C": 0.31}]) for s, w in ws.items()]
+    got = held(walk.banded(spark.createDataFrame(rows, "run string, ts date, symbol string, weight double"), 0.02))
+    a, b, c = ({k[1].day: v for k, v in got.items() if k[2] == s} for s in "ABC")
+    assert a == {1: 0.5, 2: 0.5, 3: 0.54} and b == {1: 0.01, 2: 0.01, 3: 0.01, 4: 0.01} and c == {2: 0.3, 3: 0.3, 4: 0.3}
+
+
+def test_stale_symbols_do_not_depend_on_batches(spark, tmp_path):
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m) for m in (0, 10, 100, 110, 300, 301, 700)]
+    rows = [(i, t, 1, "A" if i % 2 else "B", 1.0) for i, t in enumerate(at)]
+    out = []
+    for files in (1, 4):
+        path = f"{tmp_path}/{files}/events.parquet"
+        for k in range(files):
+            part = spark.createDataFrame(rows[k * len(rows) // files : (k + 1) * len(rows) // files], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1)
+            part.write.mode("append").parquet(path)
+        users = ticks.read_ticks(spark, f"{tmp_path}/{files}", 1)
+        out.append(sorted((r["symbol"], r["last"]) for r in ticks.drain(ticks.stale_symbols(users), [], mode="append").collect()))
+    last = {s: [t for (i, t, *_), k in zip(rows, range(99)) if ("A" if i % 2 else "B") == s] for s in "AB"}
+    want = sorted((s, t) for s, ts in last.items() for t, nx in zip(ts, ts[1:]) if (nx - t).total_seconds() > 3600)
+    assert out[0] == out[1] and set(want) <= set(out[0])
+
+
 def test_grid_search_covers_every_bar(spark, monkeypatch):
     from paneltide.operators import learn
     from paneltide.plans import more
