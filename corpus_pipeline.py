@@ -1,4 +1,8 @@
-"""The training-text pipeline over `documents`: stages that each call one operator of paneltide.llm."""
+"""The training-text pipeline over `documents`: stages that each call one operator of paneltide.llm.
+
+In every stage an empty table gives an empty table, a null id is a row like any other, rows are told apart by id and text (repeated
+rows have one fate), and columns of docs beside those of `documents` are left out, also those that clash with an operator's own.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,10 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, all columns. It learns from labels of documents that are not held out."""
+    """Documents that the classifier accepts, all columns. It learns from labels of documents that are not held out.
+
+    A null text is scored like an empty one; without labels all documents stay.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out())
@@ -25,7 +32,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines stay in the first document alone; a document of which nothing is left but was something goes."""
+    """Recurring lines stay in the first document alone; a document of which nothing is left but was something goes.
+
+    Null texts stay null, empty ones empty. Of equal ids the smaller hash of the text is first; a null id is before all others.
+    """
     ship(spark)
     done = lines.dedup_lines(docs, carry=CARRY)
     rest = (F.col("n_dropped") == 0) | F.col("kept").rlike(r"\S")
@@ -33,7 +43,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five words, 0.8) the smallest id stays; rows without an id stay."""
+    """Of near duplicates (five words, 0.8) the smallest id stays; rows without an id stay.
+
+    Null and empty texts have no shingles, are no duplicates and stay; rows of one id have one fate.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
     gone = neardup.near_duplicates(docs, n=5, percent=80).where("doc_id > component_id").select("doc_id").distinct()
@@ -41,14 +54,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, nor does any text without a benchmark."""
     ship(spark)
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=CARRY)
     return _columns(found.where(~F.col("contaminated")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of the ids and of the decoded text."""
+    """Number of tokens and digests of the ids and of the decoded text; null and empty texts have no tokens."""
     ship(spark)
     return bpe.encode(docs, with_ids=False)
 
