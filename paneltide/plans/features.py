@@ -55,9 +55,15 @@ def panel_fill_both_ways(spark, sf_dir):
     return panel.withColumn("close", F.coalesce(clean.ffill(F.col("close")), clean.bfill(F.col("close")))).select("symbol", day(), *fixed({"close": 3}))
 
 
-@query(f"WITH {DENSE} SELECT symbol FROM dense WHERE ts = (SELECT max(ts) FROM dense) AND close IS NULL")
+#: Bars of which some symbols end before the others, on all dates.
+_ENDING = BARS.replace("bars AS (", "bars0 AS (", 1) + ", bars AS (SELECT * FROM bars0 WHERE NOT (symbol LIKE 'Brand#1%' AND ts > DATE '1999-12-31'))" + DENSE.removeprefix(BARS)
+
+
+@query(f"WITH {_ENDING} SELECT symbol FROM dense WHERE ts = (SELECT max(ts) FROM dense) AND close IS NULL")
 def dead_names(spark, sf_dir):
-    panel = dense(spark, sf_dir)
+    """Names without a price on the last date; some end two years before the others."""
+    bars = panels.bars_daily(spark, sf_dir).select("symbol", "ts", "close").where("NOT (symbol LIKE 'Brand#1%' AND ts > DATE '1999-12-31')")
+    panel = clean.densify(stored(bars, "bars")).withColumn("close", clean.ffill(F.col("close"), 5))
     return panel.select("symbol").distinct().join(clean.alive(panel), "symbol", "left_anti")
 
 

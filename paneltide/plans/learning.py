@@ -36,6 +36,15 @@ def scaled_features(spark, sf_dir):
     return df.where("test_mask = 1").join(F.broadcast(fit), how="cross").select("symbol", day(), fix((F.col("ret_1") - F.col("m")) / F.col("s"), 4).alias("z"))  # one row
 
 
+@query(f"""WITH {BARS}, a AS (SELECT *, ln(close / lag(close) OVER ({S})) AS ret_1, ln(close / lag(close, 5) OVER ({S})) AS ret_5, close / ({srolling('avg', 'close', 20)}) AS sma_ratio, lead(close) OVER ({S}) AS nx, close - lag(close) OVER ({S}) AS x FROM bars),
+b AS (SELECT *, {srolling('stddev_samp', 'ret_1', 10)} AS vol_10, CASE WHEN x IS NOT NULL THEN greatest(x, 0) END AS u, CASE WHEN x IS NOT NULL THEN greatest(-x, 0) END AS w FROM a), c AS (SELECT *, 100 - 100 / (1 + ({srolling('avg', 'u', 14)}) / (({srolling('avg', 'w', 14)}) + 1e-12)) AS rsi FROM b),
+e AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS dn FROM c WHERE {' AND '.join(f'{k} IS NOT NULL' for k in FEATURES)}), m AS (SELECT floor(max(dn) * CAST(0.7 AS DOUBLE)) AS cut FROM e)
+SELECT symbol, {D}, {sfixed({'ret_1': 4, 'ret_5': 4, 'vol_10': 4, 'sma_ratio': 4, 'rsi': 3})}, CAST(CASE WHEN nx IS NOT NULL THEN nx > close END AS INT) AS label, {sfix('ln(nx / close)', 4)} AS fwd, CAST(CASE WHEN dn > cut THEN 1 WHEN dn <= cut - 1 THEN 0 END AS INT) AS test_mask FROM e, m""")
+def model_rows(spark, sf_dir):
+    """What the models of bars learn from and are tested on: features, label, forward return, and the split with its gap."""
+    return rows(spark, sf_dir).select("symbol", day(), *fixed({"ret_1": 4, "ret_5": 4, "vol_10": 4, "sma_ratio": 4, "rsi": 3}), F.col("label").cast("int").alias("label"), fix("fwd", 4).alias("fwd"), F.col("test_mask").cast("int").alias("test_mask"))
+
+
 @query(f"WITH {BARS}, a AS (SELECT symbol, lead(close) OVER ({S}) > close AS up FROM bars), n AS (SELECT count(*) FILTER (NOT up) AS n0, count(*) FILTER (up) AS n1 FROM a) SELECT CAST(up AS BIGINT) AS label, count(*) AS n, {sfix('CASE WHEN up THEN min(n0) / min(n1) ELSE 1 END')} AS weight FROM a, n WHERE up IS NOT NULL GROUP BY up")
 def class_weights(spark, sf_dir):
     df = panels.bars_daily(spark, sf_dir).select((F.lead("close").over(by_symbol()) > F.col("close")).cast("long").alias("label")).where("label IS NOT NULL")
