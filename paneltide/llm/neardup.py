@@ -1,13 +1,14 @@
 """Near-duplicate texts: a join on the Jaccard similarity of word shingles, exact, without comparing all pairs.
 
 1. Texts with the same set of shingles are one class.
-2. A few links are found cheaply: within buckets of minimum hashes each class is compared with the class of the bucket
-   that shares most buckets with others. Verified links give first components.
-3. The full search: tokens (shingles) have several global orders, frequent ones last in all. Similar sets share a token
+2. Large groups are joined first: within buckets of minimum hashes that hold more than LARGE classes each class is compared with
+   the class of the bucket that shares most buckets with others. Verified links give first components.
+3. The search: tokens (shingles) have several global orders, frequent ones last in all. Similar sets share a token
    in their prefixes under every order. Classes of different components that share a token of the first order's prefix
    and pass the size and position bounds are candidates; those without a common token in the prefixes of the other
    orders go; the rest are verified on the full sets.
-Pairs inside a component found in step 2 need no search, so a large group of copies costs its size, not its square.
+Pairs inside a component found in step 2 need no search, so a large group of near copies costs its size, not its square; all
+other links come from step 3.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .graph import components
 from .shared import documents, forget, save
 from .text import LOWER, Rolling, mix, per_row, pieces, utf8, words
 
-#: Buckets of minimum hashes of step 2 and hashes of each, equal hashes that are worth a look; orders of tokens of step 3.
-BANDS, ROWS, ORDERS = 6, 4, 3
+#: Buckets of minimum hashes of step 2 and hashes of each, classes of a bucket that is not large; orders of tokens of step 3.
+BANDS, ROWS, LARGE, ORDERS = 6, 4, 16, 3
+#: Equal minimum hashes that make a pair of step 2 worth a look.
 ALIKE = 16
 #: A shingle in more than this share of the texts (and FEW texts) is ordered by its frequency. As a text has a number of
 #: shingles that does not depend on the corpus, there are (mean size / FREQUENT) such shingles at most, and where these
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = save(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("hashes").alias("hashes")), "classes")
     # step 2: in each bucket, the class that shares most buckets is the centre
     bands = classes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE)
     # tables of their own, so that the joins can split a very large bucket
     buckets = save(bands.join(save(shared, "shared"), "band"), "buckets")
     degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
