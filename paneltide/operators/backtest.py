@@ -35,7 +35,7 @@ def momentum_weights(panel: DataFrame, schedule: DataFrame, bench: DataFrame, k:
     rows = rows.where("close IS NOT NULL AND sd IS NOT NULL")
     weights = inverse_vol(top_k(rows, k), "sd", cap)
     gate = regime_gate(bench, ma, low).select("ts", "gate")
-    return weights.join(F.broadcast(gate), "ts", "left").select("ts", "symbol", (F.col("weight") * F.coalesce("gate", F.lit(1.0))).alias("weight"))
+    return weights.join(gate, "ts", "left").select("ts", "symbol", (F.col("weight") * F.coalesce("gate", F.lit(1.0))).alias("weight"))
 
 
 def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (), bps: float = 10.0) -> DataFrame:
