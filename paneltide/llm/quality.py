@@ -19,6 +19,8 @@ from .text import LOWER, Rolling, mix, pieces, ranges, utf8, words
 
 #: Words of a passage; labelled texts that are learned from at most, about; passages of one of them at most.
 PASSAGE, LEARN_TEXTS, LEARN_PASSAGES = 64, 2500, 256
+#: Bytes of text that are described at once: every byte takes some hundred bytes meanwhile.
+SLICE = 1 << 18
 #: Places of the hashed words, and of the hashed 4-grams, of a passage.
 HASHED = 128
 #: Width of the encoding and of the attention, steps and rate of the optimiser, decay of weights and of those of hashed places.
@@ -166,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_TEXTS) -> dict
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             x, off = features(batch.column("text"))
             rows = [x[np.unique(np.linspace(a, z - 1, min(z - a, LEARN_PASSAGES)).astype(int))] for a, z in zip(off, off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "x"])
@@ -188,7 +190,7 @@ def score(docs: DataFrame, model: dict | None, with_passages: bool = True) -> Da
     labels = ["doc_id", "score", "predicted", "attention"][: 4 if with_passages else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             x, off = features(batch.column("text"))
             if model.value is None:
                 s, a = np.full(batch.num_rows, 0.5), np.repeat(1 / np.diff(off), np.diff(off)).astype(np.float32)
@@ -209,7 +211,7 @@ def keep_good(docs: DataFrame, model: dict | None) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.float32) for k, v in model.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             yield batch.filter(pa.array(forward(*features(batch.column("text")), model.value)["score"] >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -530,6 +530,16 @@ def test_decontamination_whatever_the_size_and_skew(spark):
     assert found == {i: [1] if i % 3 == 0 else [] for i, _ in rows}
 
 
+def test_decontamination_ties_and_repeated_rows(spark):
+    """Equal items are all found; repeated rows and rows of one id with other texts are told by their text."""
+    rng = random.Random(3)
+    item, other = prose(rng, 30, 5000), prose(rng, 50, 5000)
+    bench = spark.createDataFrame([(5, item), (2, item), (5, item), (9, prose(rng, 30, 5000))], "item_id long, text string")
+    rows = [(1, f"{other} {item}"), (1, f"{other} {item}"), (1, other), (None, item), (3, f"{item} {item}")]
+    got = sorted((str(r["doc_id"]), r["item_ids"], r["best"]) for r in decontaminate.decontaminate(docs(spark, rows), bench).collect())
+    assert got == [("1", [], 0.0), ("1", [2, 5], 1.0), ("1", [2, 5], 1.0), ("3", [2, 5], 1.0), ("None", [2, 5], 1.0)]
+
+
 def test_decontamination_recall_by_length_of_item(spark):
     rng = random.Random(12)
     lengths = [3, 4, 5, 8, 12, 13, 20, 40, 64, 65, 100, 300, 711, 1000, 2000]
