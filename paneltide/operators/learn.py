@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -15,6 +19,16 @@ from pyspark.sql import functions as F
 from ..functions.windows import change, rolling
 
 
+#: Fits that run at once, as jobs of one session.
+FITS = 4
+
+
+def side_by_side(tasks: list[Callable]) -> list:
+    """Results of functions that each start Spark jobs, FITS of them at a time."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(lambda f: f(), tasks))
+
+
 def assembled(columns: list[str], model, out: str = "features") -> Pipeline:
     """Columns to a vector, standardised on the training rows, then the model."""
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip"), StandardScaler(inputCol="__raw", outputCol=out, withMean=True), model])
@@ -53,42 +67,40 @@ def class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
 def walk_forward_ranker(panel: DataFrame, dates: list, columns: list[str], every: int = 4, least_dates: int = 104, seed: int = 7) -> DataFrame:
     """(ts, symbol, score): at each refit date a regression of `target` on rows of earlier dates whose target was known, used until the next.
 
-    `dates` are the schedule's dates in order; the target of a date is known at the next one. The fits are jobs one after the other,
-    each over all rows so far.
+    `dates` are the schedule's dates in order; the target of a date is known at the next one. Each fit reads all rows so far.
     """
-    pipeline, out = return_model("gbt", columns, seed=seed, maxIter=10, maxDepth=3), []
-    for i in range(least_dates + 1, len(dates), every):
+
+    def refit(i: int) -> DataFrame | None:
         train = panel.where((F.col("ts") < F.lit(dates[i - 1])) & F.col("target").isNotNull()).withColumn("label", F.col("target"))
         if train.isEmpty():
-            continue
-        model = pipeline.fit(train)
+            return None
+        model = return_model("gbt", columns, seed=seed, maxIter=10, maxDepth=3).fit(train)
         rows = panel.where(F.col("ts").between(F.lit(dates[i]), F.lit(dates[min(i + every, len(dates)) - 1])))
-        out.append(model.transform(rows).select("ts", "symbol", F.col("prediction").alias("score")))
-    from functools import reduce
+        return model.transform(rows).select("ts", "symbol", F.col("prediction").alias("score"))
 
+    out = [x for x in side_by_side([partial(refit, i) for i in range(least_dates + 1, len(dates), every)]) if x is not None]
     return reduce(DataFrame.unionByName, out) if out else panel.select("ts", "symbol", F.lit(0.0).alias("score")).limit(0)
 
 
 def bagged(rows: DataFrame, pipeline_of, key: list[str], n: int = 5, fraction: float = 0.8) -> DataFrame:
     """Mean score of n models, each of a bootstrap sample of the training rows."""
-    from functools import reduce
-
     train, test = rows.where("test_mask = 0 AND label IS NOT NULL"), rows.where("test_mask = 1")
-    parts = [pipeline_of(seed).fit(train.sample(withReplacement=True, fraction=fraction, seed=seed)).transform(test).select(*key, F.col("prediction").alias("score")) for seed in range(n)]
-    return reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.avg("score").alias("score"))
+
+    def one(seed: int) -> DataFrame:
+        return pipeline_of(seed).fit(train.sample(withReplacement=True, fraction=fraction, seed=seed)).transform(test).select(*key, F.col("prediction").alias("score"))
+
+    return reduce(DataFrame.unionByName, side_by_side([partial(one, seed) for seed in range(n)])).groupBy(*key).agg(F.avg("score").alias("score"))
 
 
 def grid_search(rows: DataFrame, models: dict[str, Pipeline], folds: list[tuple[int, int, int, int]], order: str, metric) -> DataFrame:
     """(model, fold, value): every model on every forward fold; rows have a number `order`, metric gives one value of scored rows."""
-    from functools import reduce
-
-    out = []
-    for name, pipeline in models.items():
-        for fold, a, z, start, end in folds:
-            model = pipeline.fit(rows.where((F.col(order) >= a) & (F.col(order) < z)).where("label IS NOT NULL"))
-            scored = model.transform(rows.where((F.col(order) >= start) & (F.col(order) < end))).withColumnRenamed("prediction", "score")
-            out.append(scored.agg(metric.alias("value")).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "value"))
-    return reduce(DataFrame.unionByName, out)
+
+    def one(name: str, fold: int, a: int, z: int, start: int, end: int) -> DataFrame:
+        model = models[name].copy().fit(rows.where((F.col(order) >= a) & (F.col(order) < z)).where("label IS NOT NULL"))
+        scored = model.transform(rows.where((F.col(order) >= start) & (F.col(order) < end))).withColumnRenamed("prediction", "score")
+        return scored.agg(metric.alias("value")).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "value")
+
+    return reduce(DataFrame.unionByName, side_by_side([partial(one, name, *fold) for name in models for fold in folds]))
 
 
 def two_components(x: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
