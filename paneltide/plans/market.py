@@ -88,16 +88,18 @@ def buy_and_hold_equity(spark, sf_dir):
     return backtest.profit(rules.buy_and_hold(panels.bars_weekly(spark, sf_dir))).select("symbol", day(), fix(F.log1p("growth")).alias("log_growth"))
 
 
-_ENGINE = {"profit": 2, "final_equity": 2, "turnover": 4, "fitness": 4, "profit_per_trade": 4}
+_ENGINE = {"log_equity": 4, "profit_share": 4, "turnover": 4, "fitness": 4, "log_per_trade": 4}
 
 
 @query(f"""WITH {WEEKLY}, {_BOLL.format('weekly')}, {_pnl('pos')}, g AS (SELECT symbol, ts, r, product(1 + r) OVER ({S} ROWS UNBOUNDED PRECEDING) AS c, coalesce(position - lag(position) OVER ({S}), 0) AS sg FROM pnl),
 e AS (SELECT *, 10000 * c AS equity FROM g), d AS (SELECT ts, sum(equity) AS equity, avg(r) AS r, avg(c - 1) AS cum FROM e GROUP BY 1), l AS (SELECT last(equity ORDER BY ts) AS fin, last(cum ORDER BY ts) AS cum, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM d),
-t AS (SELECT sum(CASE WHEN sg > 0 THEN equity * sg ELSE 0 END) AS bought, -sum(CASE WHEN sg < 0 THEN equity * sg ELSE 0 END) AS sold, sum(abs(sg)) / 2 AS trades, 10000 * count(DISTINCT symbol) AS cash FROM e), f AS (SELECT fin - cash AS profit, fin AS final_equity, least(bought, sold) / fin AS turnover, sharpe / nullif(least(bought, sold) / fin, 0) AS fitness, cum / nullif(trades, 0) AS profit_per_trade FROM l, t) SELECT {sfixed(_ENGINE)} FROM f""")
+t AS (SELECT sum(CASE WHEN sg > 0 THEN equity * sg ELSE 0 END) AS bought, -sum(CASE WHEN sg < 0 THEN equity * sg ELSE 0 END) AS sold, sum(abs(sg)) / 2 AS trades, 10000 * count(DISTINCT symbol) AS cash FROM e), f AS (SELECT fin - cash AS profit, fin AS final_equity, least(bought, sold) / fin AS turnover, sharpe / nullif(least(bought, sold) / fin, 0) AS fitness, cum / nullif(trades, 0) AS profit_per_trade FROM l, t), h AS (SELECT ln(abs(final_equity)) AS log_equity, profit / final_equity AS profit_share, turnover, fitness, ln(abs(profit_per_trade)) AS log_per_trade FROM f) SELECT {sfixed(_ENGINE)} FROM h""")
 def engine_performance(spark, sf_dir):
-    """Profit, final equity, turnover by the smaller of what is bought and sold, Sharpe over turnover, return of a trade."""
+    """Final equity, profit, turnover by the smaller of what is bought and sold, Sharpe over turnover, return of a trade; what compounds as logarithms."""
     rows = backtest.profit(rules.bollinger_reversion(panels.bars_weekly(spark, sf_dir), k=1.0))
-    return metrics.engine(rows.withColumn("signal", rules.signal(F.col("position")))).select(*fixed(_ENGINE))
+    out = metrics.engine(rows.withColumn("signal", rules.signal(F.col("position"))))
+    out = out.withColumns({"log_equity": F.ln(F.abs("final_equity")), "profit_share": ratio(F.col("profit"), F.col("final_equity")), "log_per_trade": F.ln(F.abs("profit_per_trade"))})
+    return out.select(*fixed(_ENGINE))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, close / nullif({srolling('max', 'high', 20)}, 0) AS p, lag(close) OVER ({S}) AS pc FROM bars), b AS (SELECT *, CASE WHEN p IS NOT NULL THEN CASE WHEN p >= 0.5 THEN 1 ELSE 0 END END AS e, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM a),
