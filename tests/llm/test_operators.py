@@ -731,7 +731,7 @@ def test_long_texts_models_and_archives(spark, long_rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     mine, theirs = queries.QUERIES[name](spark, SMALL).toPandas(), c.sql(queries.ORACLES[name]).df()
     cols = sorted(theirs.columns)
