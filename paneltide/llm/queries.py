@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, codes, decontaminate, dedup_exact, language, lines, neardup, quality, sharding, substrings, warc
+from . import align, bpe, codes, decontaminate, dedup_exact, language, lines, neardup, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_sharding": sharding.op10_sharding,
+    "op11_alignment": align.op11_alignment,
     "op12_codes": codes.op12_codes,
 }
 ORACLES = {"op2_exact_dedup": dedup_exact.ORACLE, "op7_warc": warc.ORACLE, "op12_codes": codes.ORACLE}
