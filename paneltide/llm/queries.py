@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, codes, decontaminate, dedup_exact, language, lines, neardup, quality, sharding, substrings, warc
+from . import align, bpe, codes, decontaminate, dedup_exact, language, lines, lm, neardup, quality, sharding, substrings, warc
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_alignment": align.op11_alignment,
     "op12_codes": codes.op12_codes,
+    "op13_lm": lm.op13_lm,
 }
 ORACLES = {"op2_exact_dedup": dedup_exact.ORACLE, "op7_warc": warc.ORACLE, "op12_codes": codes.ORACLE}
