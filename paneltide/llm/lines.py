@@ -5,9 +5,9 @@ words, as far as it has them); in a leaf a line joins the template most like it,
 found in many different texts is boilerplate: its lines stay in the first document and are dropped from the others.
 So do long lines that a few different texts have word for word.
 
-A leaf with many different lines is dealt to several tasks, each of which finds templates among its part; the lines that
-founded them go on to a next round, until few are left. Where a round leaves most lines, since they are unlike, the leaf is split by
-further leading words.
+A leaf with many different lines is dealt to parts, each of which finds templates among its own. The lines that founded them then meet in bins
+by the smallest hash of their (place, word) pairs, which lines that are alike mostly share, in rounds with different hashes. Those that are alike
+and have not met are found by a join: of two lines that agree in LIKE of their places each has a common pair among its rarest ones.
 """
 
 from __future__ import annotations
@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import components
 from .shared import documents, forget, save
-from .text import SPACE, Rolling, mix, pieces, utf8, words
+from .text import Rolling, mix, pieces, utf8, words
 
 #: Leading words of a leaf, words of a line that counts at least, likeness to join a template, texts that make one recur.
 DEPTH, LEAST_WORDS, LIKE, TEXTS = 3, 1, 0.75, 10
 #: A line of at least LONG words that is the same word for word recurs from AGAIN texts on: independent texts do not agree on so many by chance.
 LONG, AGAIN = 8, 3
-#: Different lines of a leaf, or of a part of a larger one, at most: each is compared with the templates of its part.
-SPLIT = 128
+#: Different lines of a part of a leaf or bin, about: each is compared with the templates of its part. Rounds of bins.
+SPLIT, ROUNDS = 128, 3
 #: Stands for a null id, before all others; bits of the map of needed lines for each and in all at most (32 MB).
 NULL_ID, MAP_BITS, MAP_MOST = -(1 << 63), 16, 1 << 28
 
@@ -107,11 +108,11 @@ def line_words(docs: DataFrame, wanted) -> DataFrame:
 
 
 class Leaf:
-    """Templates of one leaf, in the order in which they were found."""
+    """Templates of one part of a leaf, in the order in which they were found. If they wear, places where lines differ become variable."""
 
-    def __init__(self):
-        self.rows, self.names = np.zeros((0, 0), np.uint64), []
-        self.n = 0
+    def __init__(self, wear: bool = True):
+        self.rows, self.names, self.first = np.zeros((0, 0), np.uint64), [], []
+        self.n, self.wear = 0, wear
 
     def add(self, line: np.ndarray, name: int) -> int:
         """The name of the template that the line joins, or founds. A variable place is like no word."""
@@ -120,7 +121,8 @@ class Leaf:
             best = int(like.argmax())
             if like[best] >= LIKE * len(line):
                 row = self.rows[best]
-                row[row != line] = 0
+                if self.wear:
+                    row[row != line] = 0
                 return self.names[best]
         if self.n == len(self.rows):
             grown = np.zeros((max(8, 2 * self.n), len(line)), np.uint64)
@@ -128,43 +130,110 @@ class Leaf:
             self.rows = grown
         self.rows[self.n] = line
         self.names.append(name)
+        self.first.append(line)
         self.n += 1
         return name
 
 
-def found(lines: DataFrame) -> DataFrame:
-    """leaf, bin, hash and template (the hash of its first line) of lines (leaf, bin, part, hash, words, at), by bin and part in the order of the documents."""
+def constants(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the (place, word) pairs of each line behind its leading words, and the line of each."""
+    size = np.array([len(x) for x in rows], np.int64)
+    code = np.concatenate([*rows, np.zeros(0, np.uint64)])
+    row = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(len(code)) - (np.cumsum(size) - size)[row]
+    keep = place >= DEPTH
+    return mix(code[keep] + place[keep].astype(np.uint64) * _K), row[keep]
+
+
+def bins(rows: list[np.ndarray]) -> np.ndarray:
+    """For each line and round the smallest hash of its pairs."""
+    pair, row = constants(rows)
+    out = np.zeros((len(rows), ROUNDS), np.uint64)
+    if len(row):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for i in range(ROUNDS):
+            out[row[first], i] = np.minimum.reduceat(mix(pair ^ mix(np.uint64([i + 1]))), first)
+    return out.view(np.int64)
+
+
+def found(lines: DataFrame, wear: bool) -> DataFrame:
+    """hash and template (the hash of its founder) of lines (leaf, bin, part, hash, words, at), by bin and part in their order; then for each founder its words and bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part = None, Leaf()
+        now, part = None, Leaf(wear)
+
+        def ended() -> pa.RecordBatch:
+            name, rows = pa.array(part.names, pa.int64()), part.first
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * part.n, pa.int64()), name, name, pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(list(bins(rows)), pa.list_(pa.int64()))], ["leaf", "hash", "template", "words", "bins"])
+
         for batch in batches:
             out = []
-            for *key, name, raw in zip(*(batch.column(c).to_pylist() for c in ("bin", "part", "hash", "words"))):
+            for *key, name, raw in zip(*(batch.column(c).to_pylist() for c in ("leaf", "bin", "part", "hash", "words"))):
                 if key != now:
-                    now, part = key, Leaf()
+                    if now is not None:
+                        yield ended()
+                    now, part = key, Leaf(wear)
                 out.append(part.add(np.frombuffer(raw, np.uint64), name))
-            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("bin"), batch.column("hash"), pa.array(out, pa.int64())], ["leaf", "bin", "hash", "template"])
+            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("hash"), pa.array(out, pa.int64()), pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.list_(pa.int64()))], ["leaf", "hash", "template", "words", "bins"])
+        if now is not None:
+            yield ended()
+
+    dealt = lines.repartition("leaf", "bin", "part").sortWithinPartitions("leaf", "bin", "part", "at", "hash")
+    return dealt.select("leaf", "bin", "part", "hash", "words").mapInArrow(run, "leaf long, hash long, template long, words binary, bins array<long>")
 
-    dealt = lines.repartition("bin", "part").sortWithinPartitions("bin", "part", "at", "hash")
-    return dealt.select("leaf", "bin", "part", "hash", "words").mapInArrow(run, "leaf long, bin long, hash long, template long")
+
+def alike(founders: DataFrame) -> DataFrame:
+    """a, b (hashes) of all lines (leaf, hash, words) of a leaf that agree in LIKE of their places."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            pair, row = constants(rows)
+            needed = np.array([int(np.ceil(LIKE * len(x) - 1e-9)) - DEPTH for x in rows], np.int64)
+            first = np.bincount(row, minlength=len(rows)) - needed + 1  # so many rarest ones hold a common pair
+            yield pa.RecordBatch.from_arrays([batch.column("leaf").take(pa.array(row)), batch.column("hash").take(pa.array(row)), pa.array(first[row]), pa.array(pair.view(np.int64))], ["leaf", "hash", "first", "pair"])
+
+    every = save(founders.select("leaf", "hash", "words").mapInArrow(spread, "leaf long, hash long, first long, pair long").where("first > 0"), "pairs")
+    often = every.groupBy("leaf", "pair").agg(F.count(F.lit(1)).alias("often"))
+    by = F.struct("often", "pair")
+    ranked = every.join(often, ["leaf", "pair"]).groupBy("leaf", "hash", "first").agg(F.sort_array(F.collect_list(by)).alias("x"))  # a line's places
+    rarest = F.filter(F.slice("x", F.lit(1), F.col("first").cast("int")), lambda e: e["often"] > 1)
+    probes = save(ranked.select("leaf", "hash", F.explode(rarest["pair"]).alias("pair")), "probes")
+    met = probes.withColumnRenamed("hash", "a").join(probes.withColumnRenamed("hash", "b"), ["leaf", "pair"]).where("a < b").select("leaf", "a", "b").distinct()
+    own = founders.select("leaf", "hash", "words")
+    both = met.join(own.select("leaf", F.col("hash").alias("a"), F.col("words").alias("x")), ["leaf", "a"]).join(own.select("leaf", F.col("hash").alias("b"), F.col("words").alias("y")), ["leaf", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()))
+            yield batch.select(["a", "b"]).filter(pa.array([(x == y).sum() >= LIKE * len(x) for x, y in rows], pa.bool_()))
+
+    out = save(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "alike")
+    for t in (every, probes):
+        forget(t)
+    return out
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """leaf, hash and template of lines (leaf, hash, words, at) that are different: rounds over the leaves that are too large for one part."""
-    todo, out, deeper = save(lines.withColumn("bin", F.col("leaf")), "todo"), None, 1
-    while True:
-        large = save(todo.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "large")
+    """leaf, hash and template of lines (leaf, hash, words, at) that are different; the founders of a dealt leaf's parts are then compared by their own words."""
+    todo, out = save(lines.withColumn("bin", F.lit(0)), "todo"), None
+    for i in range(ROUNDS + 1):
+        large = save(todo.groupBy("leaf", "bin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT), "large")
         part = F.coalesce(F.pmod("hash", F.ceil(F.col("n") / SPLIT)), F.lit(0))
-        here = save(found(todo.join(large, "bin", "left").withColumn("part", part)), "found")
-        step = here.select("leaf", F.col("hash").alias("template"), F.col("template").alias("next"))
-        out = here.select("leaf", "hash", "template") if out is None else out.join(step, ["leaf", "template"], "left").select("leaf", "hash", F.coalesce("next", "template").alias("template"))
-        if large.isEmpty():
+        here = save(found(todo.join(large, ["leaf", "bin"], "left").withColumn("part", part), wear=not i), "found")
+        step = here.where("words IS NULL").select("leaf", "hash", "template")
+        out = step if out is None else out.join(step.select("leaf", F.col("hash").alias("template"), F.col("template").alias("next")), ["leaf", "template"], "left").select("leaf", "hash", F.coalesce("next", "template").alias("template"))
+        left = here.where("words IS NOT NULL")
+        if not i:  # leaves of one part are done
+            left = left.join(large.select("leaf"), "leaf", "left_semi")
+        forget(todo)
+        todo = save(left.select("leaf", "hash", "words", F.lit(0).alias("at"), "bins", F.get("bins", F.lit(i)).alias("bin")), "todo")
+        if todo.isEmpty():
             return out
-        founders = here.where("hash = template").join(large, "bin").select("leaf", "hash", "bin")
-        left = founders.groupBy("bin").agg(F.count(F.lit(1)).alias("m")).join(large, "bin").where("m > 1").select("bin", (2 * F.col("m") > F.col("n")).alias("unlike"))
-        split = F.xxhash64("leaf", F.substring("words", 1, 8 * (DEPTH + deeper)))  # eight bytes a word
-        todo = todo.join(founders, ["leaf", "hash", "bin"], "left_semi").join(save(left, "left"), "bin").withColumn("bin", F.when(F.col("unlike"), split).otherwise(F.col("bin"))).drop("unlike")
-        todo, deeper = save(todo, "todo"), 2 * deeper
+    links = alike(todo)
+    if not links.isEmpty():
+        out = out.join(components(links).select(F.col("node").alias("template"), F.col("component").alias("next")), "template", "left").select("leaf", "hash", F.coalesce("next", "template").alias("template"))
+    return out
 
 
 def recurring(lines: DataFrame, keys: tuple[str, ...], texts: int) -> DataFrame:

@@ -279,6 +279,37 @@ def test_templates_of_a_small_part_size(spark, monkeypatch):
     assert got == {i: int(i >= 6) for i in range(240)}
 
 
+@pytest.mark.parametrize("others", [0, 300, 1500, 5000, 20_000])
+def test_templates_whatever_else_is_in_the_leaf(spark, others):
+    """A line with a field just behind its first words goes from all texts but one, however many other lines begin like it."""
+    rng = random.Random(others)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    line = [word() for _ in range(16)]
+    rows = [(i, word() + "\n" + " ".join(["one", "two", "three", word(), *line])) for i in range(100)]
+    rows += [(1000 + i, word() + "\n" + " ".join(["one", "two", "three", *(word() for _ in range(17))])) for i in range(others)]
+    got = lines.dedup_lines(docs(spark, rows)).where("n_dropped > 0").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1, 100))
+
+
+def test_parts_do_not_show(spark, monkeypatch):
+    """Families with fields at some places, with as many words and the same leading words as others, beside lines that are like none."""
+    rng = random.Random(17)
+    word = lambda: rng.choice("the of and to in a is it".split()) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=4))
+    bases = [["one", "two", "three", *(word() for _ in range(n))] for n in (6, 9, 9, 9, 17, 17)]
+    rows = []
+    for i in range(600):
+        base = list(rng.choice(bases))
+        for k in range(len(base) // 8):  # the last places, a quarter of all at most
+            if rng.random() < 0.7:
+                base[-1 - k] = "x" + word() + word()
+        rows.append((i, "\n".join([" ".join(base), " ".join(["one", "two", "three", *("y" + word() + word() for _ in range(rng.choice([6, 9, 17])))])])))
+    out = []
+    for split in (7, 128, 10_000):
+        monkeypatch.setattr(lines, "SPLIT", split)
+        out.append(sorted((r["doc_id"], r["n_dropped"], r["kept"]) for r in lines.dedup_lines(docs(spark, rows)).collect()))
+    assert out[0] == out[1] == out[2] and sum(r[1] for r in out[0]) > 350
+
+
 def test_lines_awkward(spark):
     out = lines.dedup_lines(awkward(spark), 3, carry=("lang", "source"))
     assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept", "kept_sha256", "lang", "source"]
