@@ -30,7 +30,7 @@ STEP, NOISE, RATE = 2048, 64, 0.1
 #: Shares of the training texts (by a hash) that a round learns from: small ones first, so that the tasks' copies do not drift apart; all in all each text once.
 SHARES = (64, 64, 32, 16, 8, 4, 4, 4)
 #: Words whose counts are broadcast at most (16 bytes each); different words that a counting task holds.
-FREQUENT, HELD = 1 << 20, 1 << 20
+FREQUENT, HELD = 1 << 17, 1 << 20
 #: Stands for the end of a text among the words' hashes.
 END = np.int64(-(1 << 63))
 
