@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import change, rolling
+from . import moments
 
 
 #: Fits that run at once, as jobs of one session.
@@ -92,15 +93,14 @@ def bagged(rows: DataFrame, pipeline_of, key: list[str], n: int = 5, fraction: f
     return reduce(DataFrame.unionByName, side_by_side([partial(one, seed) for seed in range(n)])).groupBy(*key).agg(F.avg("score").alias("score"))
 
 
-def grid_search(rows: DataFrame, models: dict[str, Pipeline], folds: list[tuple[int, int, int, int]], order: str, metric) -> DataFrame:
-    """(model, fold, value): every model on every forward fold; rows have a number `order`, metric gives one value of scored rows."""
+def grid_search(rows: DataFrame, models: dict[str, tuple[float, float]], folds: list[tuple[int, int, int, int, int]], order: str, metric, columns: list[str] | None = None) -> DataFrame:
+    """(model, fold, value): every elastic net {name: (penalty, share of its absolute part)} on every forward fold, in one job.
 
-    def one(name: str, fold: int, a: int, z: int, start: int, end: int) -> DataFrame:
-        model = models[name].copy().fit(rows.where((F.col(order) >= a) & (F.col(order) < z)).where("label IS NOT NULL"))
-        scored = model.transform(rows.where((F.col(order) >= start) & (F.col(order) < end))).withColumnRenamed("prediction", "score")
-        return scored.agg(metric.alias("value")).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "value")
-
-    return reduce(DataFrame.unionByName, side_by_side([partial(one, name, *fold) for name in models for fold in folds]))
+    rows have a date number `order`, features and a label; metric gives one value of scored rows.
+    """
+    columns = columns or [c for c in rows.columns if c not in ("symbol", "ts", "label", "fwd", "test_mask", order)]
+    fitted = moments.fits(rows, models, moments.fold_frame(rows, folds), columns, "label", order)
+    return moments.scored(rows, fitted, columns, order).groupBy("model", "fold").agg(metric.alias("value"))
 
 
 def two_components(x: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

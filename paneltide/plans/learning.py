@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.windows import by_symbol, change, lag, rolling
-from ..operators import backtest, clean, cross, learn
+from ..operators import backtest, clean, cross, learn, moments
 from ..sources import panels
 from ..sources.store import stored
 from .features import D, dense
@@ -36,10 +36,36 @@ def scaled_features(spark, sf_dir):
     return df.where("test_mask = 1").join(F.broadcast(fit), how="cross").select("symbol", day(), fix((F.col("ret_1") - F.col("m")) / F.col("s"), 4).alias("z"))  # one row
 
 
-@query(f"""WITH {BARS}, a AS (SELECT *, ln(close / lag(close) OVER ({S})) AS ret_1, ln(close / lag(close, 5) OVER ({S})) AS ret_5, close / ({srolling('avg', 'close', 20)}) AS sma_ratio, lead(close) OVER ({S}) AS nx, close - lag(close) OVER ({S}) AS x FROM bars),
+#: Rows that models learn from, by the number dn of their date.
+ROWS = f"""{BARS}, a AS (SELECT *, ln(close / lag(close) OVER ({S})) AS ret_1, ln(close / lag(close, 5) OVER ({S})) AS ret_5, close / ({srolling('avg', 'close', 20)}) AS sma_ratio, lead(close) OVER ({S}) AS nx, close - lag(close) OVER ({S}) AS x FROM bars),
 b AS (SELECT *, {srolling('stddev_samp', 'ret_1', 10)} AS vol_10, CASE WHEN x IS NOT NULL THEN greatest(x, 0) END AS u, CASE WHEN x IS NOT NULL THEN greatest(-x, 0) END AS w FROM a), c AS (SELECT *, 100 - 100 / (1 + ({srolling('avg', 'u', 14)}) / (({srolling('avg', 'w', 14)}) + 1e-12)) AS rsi FROM b),
-e AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS dn FROM c WHERE {' AND '.join(f'{k} IS NOT NULL' for k in FEATURES)}), m AS (SELECT floor(max(dn) * CAST(0.7 AS DOUBLE)) AS cut FROM e)
-SELECT symbol, {D}, {sfixed({'ret_1': 4, 'ret_5': 4, 'vol_10': 4, 'sma_ratio': 4, 'rsi': 3})}, CAST(CASE WHEN nx IS NOT NULL THEN nx > close END AS INT) AS label, {sfix('ln(nx / close)', 4)} AS fwd, CAST(CASE WHEN dn > cut THEN 1 WHEN dn <= cut - 1 THEN 0 END AS INT) AS test_mask FROM e, m""")
+e AS (SELECT *, ln(nx / close) AS fwd, dense_rank() OVER (ORDER BY ts) AS dn FROM c WHERE {' AND '.join(f'{k} IS NOT NULL' for k in FEATURES)}), m AS (SELECT floor(max(dn) * CAST(0.7 AS DOUBLE)) AS cut FROM e)"""
+#: Forward folds of the dates (numbers from 0), as of forward_folds().
+FOLDS = """n0 AS (SELECT count(DISTINCT dn) AS c, count(DISTINCT dn) // 6 AS span FROM e), f0 AS (SELECT t, c, span FROM (SELECT c, span, unnest(range(span + 5, c, greatest(5, span))) AS t FROM n0) WHERE least(t + greatest(5, span), c) - t >= 5),
+folds AS (SELECT (t - span - 5) // greatest(5, span) AS fold, 0 AS a, t - 5 AS z, t, CASE WHEN t = max(t) OVER () THEN c ELSE least(t + greatest(5, span), c) END AS e FROM f0)"""
+
+
+def net_sql(spans: str, models: str, sweeps: int = 400) -> str:
+    """Tables up to `net` (fold, model, intercept, w0, w1, ...): elastic nets on rows e by spans (fold, a, z) and models (model, reg, mix), by sweeps of coordinate descent."""
+    k = range(len(FEATURES))
+    r = lambda i, j: f"r{min(i, j)}_{max(i, j)}"
+    cov = lambda x, y: f"(avg({x} * {y}) - avg({x}) * avg({y}))"
+    stats = [f"avg({FEATURES[i]}) AS m{i}, sqrt{cov(FEATURES[i], FEATURES[i])} AS s{i}, {cov(FEATURES[i], 'fwd')} / sqrt{cov(FEATURES[i], FEATURES[i])} AS c{i}" for i in k]
+    stats += [f"{cov(FEATURES[i], FEATURES[j])} / sqrt({cov(FEATURES[i], FEATURES[i])} * {cov(FEATURES[j], FEATURES[j])}) AS {r(i, j)}" for i in k for j in k if i < j]
+    step = []
+    for i in k:  # those before have moved already
+        part = f"(c{i} - " + " - ".join(f"{r(i, j)} * {'v' if j < i else 'w'}{j}" for j in k if j != i) + ")"
+        step.append(f"sign({part}) * greatest(abs({part}) - reg * mix, 0) / (1 + reg * (1 - mix) / sy) AS v{i}")
+    return f"""st AS MATERIALIZED (SELECT fold, avg(fwd) AS my, sqrt{cov('fwd', 'fwd')} AS sy, {', '.join(stats)} FROM {spans} JOIN e ON dn - 1 >= a AND dn - 1 < z WHERE fwd IS NOT NULL GROUP BY fold),
+cd AS (SELECT fold, model, 0 AS step, {', '.join(f'CAST(0 AS DOUBLE) AS v{i}' for i in k)} FROM st, {models} UNION ALL SELECT fold, model, step + 1, {', '.join(f'v{i}' for i in k)} FROM (SELECT fold, model, step, {', '.join(step)} FROM (SELECT fold, model, step, {', '.join(f'v{i} AS w{i}' for i in k)} FROM cd) JOIN st USING (fold) JOIN {models} USING (model) WHERE step < {sweeps})),
+net AS MATERIALIZED (SELECT fold, model, my - {' - '.join(f'm{i} * v{i} / s{i}' for i in k)} AS intercept, {', '.join(f'v{i} / s{i} AS w{i}' for i in k)} FROM cd JOIN st USING (fold) WHERE step = {sweeps})"""
+
+
+SCORE = "intercept + " + " + ".join(f"w{i} * {x}" for i, x in enumerate(FEATURES))
+
+
+@query(f"""WITH {ROWS}
+SELECT symbol, {D}, {sfixed({'ret_1': 4, 'ret_5': 4, 'vol_10': 4, 'sma_ratio': 4, 'rsi': 3})}, CAST(CASE WHEN nx IS NOT NULL THEN nx > close END AS INT) AS label, {sfix('fwd', 4)} AS fwd, CAST(CASE WHEN dn > cut THEN 1 WHEN dn <= cut - 1 THEN 0 END AS INT) AS test_mask FROM e, m""")
 def model_rows(spark, sf_dir):
     """What the models of bars learn from and are tested on: features, label, forward return, and the split with its gap."""
     return rows(spark, sf_dir).select("symbol", day(), *fixed({"ret_1": 4, "ret_5": 4, "vol_10": 4, "sma_ratio": 4, "rsi": 3}), F.col("label").cast("int").alias("label"), fix("fwd", 4).alias("fwd"), F.col("test_mask").cast("int").alias("test_mask"))
@@ -65,10 +91,21 @@ def forest_direction(spark, sf_dir):
     return _scores(learn.fit_predict(rows(spark, sf_dir), learn.direction_model("forest", FEATURES, numTrees=15, maxDepth=4)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ROWS}, one AS (SELECT 0 AS fold, 0 AS a, cut - 1 AS z FROM m), models(model, reg, mix) AS (VALUES ('net', 0.01, 0.5)), {net_sql('one', 'models')}
+SELECT symbol, {D}, {sfix('fwd', 4)} AS label, {sfix(SCORE, 4)} AS score FROM e, m, net WHERE dn > cut""")
 def elastic_net_return(spark, sf_dir):
-    df = rows(spark, sf_dir).withColumn("label", F.col("fwd"))
-    return _scores(learn.fit_predict(df, learn.return_model("net", FEATURES)))
+    """Next returns by an elastic net of the training rows' sums of products."""
+    df = stored(numbered(rows(spark, sf_dir).withColumn("label", F.col("fwd"))), "net")
+    cut = F.floor((F.max("n") + 1) * 0.7)
+    fold = df.agg(F.lit(0).cast("long").alias("fold"), F.lit(0).cast("long").alias("train_start"), (cut - 1).alias("train_end"), cut.alias("test_start"), (F.max("n") + 1).cast("long").alias("test_end"))
+    out = moments.scored(df, moments.fits(df, {"net": (0.01, 0.5)}, fold, FEATURES, "label", "n"), FEATURES, "n")
+    return out.select("symbol", day(), *fixed({"label": 4, "score": 4}))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows with the number n of their date, from 0."""
+    n = df.select("ts").distinct().withColumn("n", F.row_number().over(Window.orderBy("ts")).cast("long") - 1)  # one row a date
+    return df.join(n, "ts")
 
 
 @query()

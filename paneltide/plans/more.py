@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from ..functions import indicators as I
 from ..functions.windows import by_symbol, change, lag, ratio, rolling
-from ..operators import backtest, clean, cross, learn, metrics, orders, rules, strategies
+from ..operators import backtest, clean, cross, learn, metrics, moments, orders, rules, strategies
 from ..sources import panels, sinks
-from ..sources.store import folder
+from ..sources.store import folder, stored
 from .features import D, dense
-from .learning import FEATURES, rows
+from .learning import FEATURES, FOLDS, ROWS, SCORE, net_sql, rows
 from .market import _BOLL, _BOOK, _CAPPED, _CHOSEN, _MOM, _PERF, _PERF_SQL, _TARGET, _WALK, _scored, _z, account, pair_zscores, returns, walk
 from .oracle import BARS, BENCH, DENSE, RETURNS, S, WEEKLY, day, fix, fixed, query, sfix, sfixed, srolling
 
@@ -160,7 +160,7 @@ def model_round_trip(spark, sf_dir):
 
 
 def forward_folds(df: DataFrame, parts: int = 6) -> tuple[DataFrame, list[tuple[int, int, int, int, int]]]:
-    """Rows with the number n of their date, and folds (fold, train, train end, test, test end) that reach the last date."""
+    """Rows with the number n of their date, and folds (fold, train, train end, test, test end). The last fold reaches the last date, though its test span then is longer."""
     dates = df.select(F.lit("all").alias("run"), "ts").distinct()
     span = dates.count() // parts
     folds = [tuple(r)[1:] for r in backtest.fold_table(dates, span, max(5, span)).orderBy("fold").collect()]
@@ -171,16 +171,69 @@ def forward_folds(df: DataFrame, parts: int = 6) -> tuple[DataFrame, list[tuple[
     return df.join(F.broadcast(n), "ts"), folds
 
 
-@query()
+#: Elastic nets by name: penalty, and the share of its absolute part.
+NETS = {f"reg {r} mix {x}": (r, x) for r in (0.001, 0.01, 0.1) for x in (0.0, 0.5, 1.0)}
+_NETS = "models(model, reg, mix) AS (VALUES " + ", ".join(f"('{m}', {r}, {x})" for m, (r, x) in NETS.items()) + ")"
+
+
+@query(f"""WITH RECURSIVE {ROWS}, {FOLDS}, {_NETS}, {net_sql('folds', 'models')}, sc AS (SELECT model, net.fold, sign({SCORE}) * fwd AS r FROM net JOIN folds ON folds.fold = net.fold JOIN e ON dn - 1 >= t AND dn - 1 < folds.e)
+SELECT model, fold, {sfix('avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0)', 3)} AS value FROM sc GROUP BY 1, 2""")
 def grid_search(spark, sf_dir):
-    """Two elastic nets on forward folds, by the Sharpe ratio of their signs."""
-    df = rows(spark, sf_dir).withColumn("label", F.col("fwd"))
+    """Elastic nets on forward folds, by the Sharpe ratio of their signs: all of them from one pass over the rows."""
+    df = rows(spark, sf_dir).select("symbol", "ts", *FEATURES, F.col("fwd").alias("label"))
     path = folder(spark, "grid")
-    df.write.parquet(path)  # read by every fit
+    df.write.parquet(path)  # its dates decide the folds
     df, folds = forward_folds(spark.read.parquet(path))
-    models = {f"reg {x}": learn.return_model("net", FEATURES, regParam=x) for x in (0.01, 0.3)}
     metric = F.try_divide(F.avg(F.signum("score") * F.col("label")), F.stddev_samp(F.signum("score") * F.col("label"))) * 252**0.5
-    return learn.grid_search(df, models, folds, "n", metric)
+    out = learn.grid_search(df, NETS, folds, "n", metric)
+    return out if out is None else out.select("model", "fold", fix("value", 3).alias("value"))
+
+
+def _parts(folds: DataFrame) -> DataFrame:
+    """fold, part, start, end."""
+    ends = F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").alias("start"), F.col(f"{p}_end").alias("end")) for p in ("train", "test")))
+    return folds.select("fold", F.explode(ends).alias("x")).select("fold", "x.*")
+
+
+def _forward(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Rows with date numbers and their forward folds as a table."""
+    path = folder(spark, "forward")
+    rows(spark, sf_dir).withColumn("label", F.col("fwd")).write.parquet(path)
+    df, folds = forward_folds(spark.read.parquet(path))
+    return df, moments.fold_frame(df, folds)
+
+
+_Z = f"[1, {', '.join(FEATURES)}, fwd]"
+_PARTS = "parts AS (SELECT fold, 'train' AS part, a AS since, z AS till FROM folds UNION ALL SELECT fold, 'test', t, e FROM folds)"
+
+
+@query(f"""WITH {ROWS}, {FOLDS}, {_PARTS}, zz AS (SELECT fold, part, {_Z} AS z FROM parts JOIN e ON dn - 1 >= since AND dn - 1 < till WHERE fwd IS NOT NULL)
+SELECT fold, part, i, j, count(*) AS n, {sfix('avg(z[i + 1] * z[j + 1])', 4)} AS mean FROM zz, range({len(FEATURES) + 2}) AS ri(i), range({len(FEATURES) + 2}) AS rj(j) WHERE i <= j GROUP BY ALL""")
+def fold_moments(spark, sf_dir):
+    """Means of all products of 1, features and label over each fold's training and test rows, from running sums by date."""
+    df, folds = _forward(spark, sf_dir)
+    k = len(FEATURES)
+    sums = moments.span_sums(moments.date_sums(df, FEATURES, "label", "n"), _parts(folds), k)
+    cells = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col(f"s_{i}_{j}").alias("s")) for i in range(k + 2) for j in range(i, k + 2)))
+    return sums.select("fold", "part", F.round("s_0_0").cast("long").alias("n"), F.explode(cells).alias("x")).select("fold", "part", "x.i", "x.j", "n", fix(F.col("x.s") / F.col("n"), 4).alias("mean"))
+
+
+def _draw(what: str) -> str:
+    return f"('0x' || substr(md5('{what}|' || i), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"""WITH RECURSIVE {ROWS}, {FOLDS}, models AS (SELECT 'draw ' || i AS model, pow(10, -4 + 3 * ({_draw('penalty')})) AS reg, {_draw('mix')} AS mix FROM range(12) AS r(i)), {net_sql('folds', 'models')},
+er AS (SELECT model, net.fold, avg(pow({SCORE} - fwd, 2)) AS mse FROM net JOIN folds ON folds.fold = net.fold JOIN e ON dn - 1 >= t AND dn - 1 < folds.e WHERE fwd IS NOT NULL GROUP BY 1, 2)
+SELECT model, {sfix('any_value(reg)', 6)} AS reg, {sfix('any_value(mix)')} AS mix, {sfix('avg(mse)')} AS mse FROM er JOIN models USING (model) GROUP BY model""")
+def random_search(spark, sf_dir):
+    """Twelve elastic nets with random penalties by their mean error on the test spans, which the sums of products give without the rows."""
+    df, folds = _forward(spark, sf_dir)
+    k, u = len(FEATURES), lambda what: F.conv(F.substring(F.md5(F.concat(F.lit(f"{what}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    models = spark.range(12).select(F.concat(F.lit("draw "), F.col("id").cast("string")).alias("model"), F.pow(F.lit(10.0), u("penalty") * 3 - 4).alias("reg"), u("mix").alias("mix"))
+    sums = stored(moments.span_sums(moments.date_sums(df, FEATURES, "label", "n"), _parts(folds), k), "sums")
+    fitted = moments.solve(sums.where("part = 'train'"), models, k).select("fold", "model", "reg", "mix", "intercept", "coefficients")
+    tested = fitted.join(sums.where("part = 'test'"), "fold").withColumn("mse", moments.squared_error(sums, k))
+    return tested.groupBy("model").agg(F.first("reg").alias("reg"), F.first("mix").alias("mix"), F.avg("mse").alias("mse")).select("model", *fixed({"reg": 6, "mix": 5, "mse": 5}))
 
 
 @query()
@@ -188,7 +241,7 @@ def sequence_classifier(spark, sf_dir):
     """A small network on windows of the last 8 weekly returns that tells the sign of the next."""
     df = panels.bars_weekly(spark, sf_dir).withColumn("r", change(F.col("close")))
     df = df.withColumn("l", F.collect_list("r").over(by_symbol().rowsBetween(-8, -1))).where(F.size("l") == 8)
-    df = clean.split(df.select("symbol", "ts", *(F.col("l")[i].alias(f"x{i}") for i in range(8)), (F.col("r") > 0).cast("double").alias("label")), 0.7)
+    df = clean.split_dates(df.select("symbol", "ts", *(F.col("l")[i].alias(f"x{i}") for i in range(8)), (F.col("r") > 0).cast("double").alias("label")), 0.7)
     names = [f"x{i}" for i in range(8)]
     net = learn.assembled(names, MultilayerPerceptronClassifier(layers=[8, 6, 2], maxIter=30, seed=7, featuresCol="features", labelCol="label"))
     return learn.fit_predict(df, net).select("symbol", day(), "label", "score")
