@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,43 +65,43 @@ def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (),
     return out.select(*keys, "ts", (F.coalesce("gross", F.lit(0.0)) - F.coalesce("turnover", F.lit(0.0)) * (bps / 1e4)).alias("r"), F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
 
 
+def folded(decisions: DataFrame, decide: Callable[[Column, Column], Column]) -> DataFrame:
+    """(run, ts, symbol) of decisions (run, ts, names, ...): in order of ts, decide(held names, decision) gives the names held from it on. A run's decisions are one row."""
+    kind = f"struct<ts:{decisions.schema['ts'].dataType.simpleString()},names:array<string>>"
+    zero = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def onward(acc: Column, d: Column) -> Column:
+        names = decide(acc["held"], d)
+        return F.struct(names.alias("held"), F.concat(acc["out"], F.array(F.struct(d["ts"].alias("ts"), names.alias("names")))).alias("out"))
+
+    others = [c for c in decisions.columns if c not in ("run", "ts")]
+    runs = decisions.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("ts", *others))).alias("d"))
+    out = runs.select("run", F.explode(F.aggregate("d", zero, onward)["out"]).alias("x"))
+    return out.select("run", "x.ts", F.explode("x.names").alias("symbol"))
+
+
+def without(names: Column, others: Column) -> Column:
+    return F.filter(names, lambda s: ~F.array_contains(others, s))
+
+
 def buffered(scored: DataFrame, k: int, buffer: float, keys: str = "run") -> DataFrame:
     """(run, ts, symbol) held by a selector that keeps incumbents ranked within ceil(buffer * k), and fills up with the best.
 
-    scored is (run, ts, symbol, rank): a row for each name and decision. Each run is a sorted stream of its decisions.
+    scored is (run, ts, symbol, rank): a row for each name and decision. Names beyond these ranks and k cannot be chosen; a decision has the others in order.
     """
-    import math
-
     reach = math.ceil(buffer * k)
+    ranked = scored.select(F.col(keys).cast("string").alias("run"), "ts", "symbol", "rank")
+    n = F.row_number().over(Window.partitionBy("run", "ts").orderBy("rank", "symbol"))
+    ranked = ranked.withColumn("n", n).where(F.col("n") <= max(reach, k))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("n", "symbol"))), lambda x: x["symbol"])
+
+    def decide(held: Column, d: Column) -> Column:
+        size, top = F.least(F.lit(k), F.size(d["names"])), F.slice(d["names"], 1, reach)
+        stay = F.slice(F.filter(held, lambda s: F.array_contains(top, s)), F.lit(1), size)
+        fill = F.slice(without(d["names"], stay), F.lit(1), size - F.size(stay))
+        return F.filter(d["names"], lambda s: F.array_contains(F.concat(stay, fill), s))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, date, held, names = None, None, [], []
-
-        def decide() -> tuple[list, list]:
-            size = min(k, len(names))
-            stay = [s for s in held if s in names[:reach]][:size]
-            fill = [s for s in names if s not in stay][: size - len(stay)]
-            chosen = sorted([*stay, *fill], key=names.index)
-            return chosen, [(now, date, s) for s in chosen]
-
-        for batch in batches:
-            out = []
-            for r, t, s in zip(batch["run"], batch["ts"], batch["symbol"]):
-                if (r, t) != (now, date):
-                    if now is not None:
-                        held, rows = decide()
-                        out += rows
-                    if r != now:
-                        held = []
-                    now, date, names = r, t, []
-                names.append(s)
-            yield pd.DataFrame(out, columns=["run", "ts", "symbol"])
-        if now is not None:
-            yield pd.DataFrame(decide()[1], columns=["run", "ts", "symbol"])
-
-    kind = scored.schema["ts"].dataType.simpleString()
-    rows = scored.select(F.col(keys).cast("string").alias("run"), "ts", "symbol", "rank").repartition("run").sortWithinPartitions("run", "ts", "rank").select("run", "ts", "symbol")
-    return rows.mapInPandas(run, f"run string, ts {kind}, symbol string")
+    return folded(ranked.groupBy("run", "ts").agg(names.alias("names")), decide)
 
 
 def draw(*columns: str) -> Column:
@@ -158,34 +158,16 @@ def yearly_turnover(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def sticky_random(panel: DataFrame, seeds: DataFrame, k: int, swap: int) -> DataFrame:
-    """(run, ts, symbol): k names a date of which `swap` are replaced at the next, by a hash; each run is a sorted stream."""
+    """(run, ts, symbol): k names a date of which `swap` are replaced at the next, by a hash."""
     rows = panel.where("close IS NOT NULL").select("ts", "symbol").crossJoin(F.broadcast(seeds.select("run")))  # the runs asked for
-    rows = rows.withColumn("h", draw("run", "ts", "symbol")).repartition("run").sortWithinPartitions("run", "ts", "h").select("run", "ts", "symbol")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, date, held, names = None, None, [], []
-
-        def decide() -> list:
-            stay = [s for s in held if s in set(names)]
-            stay = stay[min(swap, len(stay)) :] if len(stay) == k else stay
-            return [*stay, *[s for s in names if s not in held][: k - len(stay)]][:k]
-
-        for batch in batches:
-            out = []
-            for r, t, s in zip(batch["run"], batch["ts"], batch["symbol"]):
-                if (r, t) != (now, date):
-                    if now is not None:
-                        held = decide()
-                        out += [(now, date, x) for x in held]
-                    if r != now:
-                        held = []
-                    now, date, names = r, t, []
-                names.append(s)
-            yield pd.DataFrame(out, columns=["run", "ts", "symbol"])
-        if now is not None:
-            yield pd.DataFrame([(now, date, x) for x in decide()], columns=["run", "ts", "symbol"])
-
-    return rows.mapInPandas(run, f"run long, ts {panel.schema['ts'].dataType.simpleString()}, symbol string")
+    names = F.transform(F.sort_array(F.collect_list(F.struct(draw("run", "ts", "symbol").alias("h"), "symbol"))), lambda x: x["symbol"])
+
+    def decide(held: Column, d: Column) -> Column:
+        stay = F.filter(held, lambda s: F.array_contains(d["names"], s))
+        stay = F.when(F.size(stay) == k, F.slice(stay, min(swap, k) + 1, k)).otherwise(stay)
+        return F.slice(F.concat(stay, F.slice(without(d["names"], held), F.lit(1), k - F.size(stay))), 1, k)
+
+    return folded(rows.groupBy("run", "ts").agg(names.alias("names")), decide)
 
 
 def schedule_weights(scored: DataFrame, schedules: DataFrame, k: int, cap: float = 0.3) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import atr, bollinger, ma_angle, macd, sma
+from ..functions.machine import machine
 from ..functions.windows import by_symbol, held, lag
 
 
@@ -77,47 +75,25 @@ def hold_step(signal: float | None, days_left: int, position: int, threshold: fl
 
 
 def holding_period(df: DataFrame, signal: str, threshold: float, horizon: int) -> DataFrame:
-    """symbol, ts, position of the minimum-holding-period machine. A symbol's rows pass as a sorted stream, not as one group."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, left, position = None, 0, 0
-        for batch in batches:
-            out = []
-            for symbol, value in zip(batch["symbol"], batch[signal]):
-                if symbol != now:
-                    now, left, position = symbol, 0, 0
-                left, position = hold_step(value, left, position, threshold, horizon)
-                out.append(position)
-            yield pd.DataFrame({"symbol": batch["symbol"], "ts": batch["ts"], "position": out})
+    """symbol, ts, position of the minimum-holding-period machine: state 0 is flat, 1 + n is held with n days left."""
 
-    rows = df.select("symbol", "ts", F.col(signal).cast("double").alias(signal)).repartition("symbol").sortWithinPartitions("symbol", "ts")
-    return rows.mapInPandas(run, f"symbol string, ts {df.schema['ts'].dataType.simpleString()}, position int")
+    def step(state: Column, value: Column) -> Column:
+        v = F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
+        return F.when(state > 1, state - 1 + (v >= threshold).cast("int")).when((state == 0) & (v > threshold), F.lit(max(1, horizon))).when((state == 1) & (v <= 0), F.lit(0)).otherwise(state)
 
-
-def pair_step(z: float | None, state: int, enter: float, leave: float) -> int:
-    if z is None or z != z:
-        return state
-    if state == 0:
-        return -1 if z > enter else 1 if z < -enter else 0
-    return 0 if (state == 1 and z > -leave) or (state == -1 and z < leave) else state
+    rows = machine(df, ["symbol"], F.col(signal).cast("double"), max(1, horizon) + 1, step)
+    return rows.select("symbol", "ts", (F.col("state") > 0).cast("int").alias("position"))
 
 
 def pair_positions(zscores: DataFrame, enter: float = 2.0, leave: float = 0.5) -> DataFrame:
     """(symbol_1, symbol_2, ts, z) to the pair's state: long, flat or short the first; one change in a bar."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, 0
-        for batch in batches:
-            out = []
-            for a, b, z in zip(batch["symbol_1"], batch["symbol_2"], batch["z"]):
-                if (a, b) != now:
-                    now, state = (a, b), 0
-                state = pair_step(z, state, enter, leave)
-                out.append(state)
-            yield batch.assign(state=out)
-
-    rows = zscores.select("symbol_1", "symbol_2", "ts", "z").repartition("symbol_1", "symbol_2").sortWithinPartitions("symbol_1", "symbol_2", "ts")
-    return rows.mapInPandas(run, f"symbol_1 string, symbol_2 string, ts {zscores.schema['ts'].dataType.simpleString()}, z double, state int")
+    def step(state: Column, value: Column) -> Column:
+        z = F.nanvl(value, F.lit(None).cast("double"))  # states 0, 1 and 2 are short, flat and long
+        return F.when(z.isNull(), state).when(state == 1, F.when(z > enter, 0).when(z < -enter, 2).otherwise(1)).when(((state == 2) & (z > -leave)) | ((state == 0) & (z < leave)), F.lit(1)).otherwise(state)
+
+    rows = machine(zscores, ["symbol_1", "symbol_2"], F.col("z").cast("double"), 3, step, start=1)
+    return rows.select("symbol_1", "symbol_2", "ts", F.col("value").alias("z"), (F.col("state") - 1).alias("state"))
 
 
 def pair_legs(states: DataFrame) -> DataFrame:
