@@ -38,6 +38,19 @@ def momentum_weights(panel: DataFrame, schedule: DataFrame, bench: DataFrame, k:
     return weights.join(gate, "ts", "left").select("ts", "symbol", (F.col("weight") * F.coalesce("gate", F.lit(1.0))).alias("weight"))
 
 
+def in_force(days: DataFrame, decisions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, decided, until, ts): for each decision (keys, ts) the days after it up to the next one of its keys (until, null for the last).
+
+    Dates of both are numbered, a decision's days are listed by number and met by an equality join: as many rows as there are days in force.
+    """
+    numbers = days.select("ts", F.lit(True).alias("day")).unionByName(decisions.select("ts", F.lit(False).alias("day"))).groupBy("ts").agg(F.max("day").alias("day"))
+    numbers = numbers.withColumn("i", F.row_number().over(Window.orderBy("ts"))).withColumn("last", F.max("i").over(Window.partitionBy()))  # one row a date
+    by = Window.partitionBy(*keys).orderBy("ts") if keys else Window.orderBy("ts")
+    spans = decisions.join(numbers.select("ts", "i", "last"), "ts").withColumns({"until": F.lead("ts").over(by), "end": F.coalesce(F.lead("i").over(by), "last")}).where("i < end")
+    listed = spans.select(*keys, F.col("ts").alias("decided"), "until", F.explode(F.sequence(F.col("i") + 1, F.col("end"))).alias("i"))
+    return listed.join(numbers.where("day").select("ts", "i"), "i").drop("i")
+
+
 def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (), bps: float = 10.0) -> DataFrame:
     """Daily returns (keys, ts, r, turnover, exposure) of weights (keys, ts, symbol, weight) over a dense panel (ts, symbol, close).
 
@@ -48,11 +61,7 @@ def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (),
     by = Window.partitionBy(*keys, "symbol").orderBy("ts") if keys else by_symbol()
     weights = stored(weights, "weights")  # a few names for each decision, read four times
     decisions = weights.select(*keys, "ts").distinct()
-    # in force: from the date after a decision to the next decision
-    spans = decisions.withColumn("until", F.lead("ts").over(Window.partitionBy(*keys).orderBy("ts") if keys else Window.orderBy("ts")))
-    days = panel.select("ts").distinct()
-    on = (F.col("ts") > F.col("decided")) & (F.col("until").isNull() | (F.col("ts") <= F.col("until")))
-    calendar = days.join(spans.withColumnRenamed("ts", "decided"), on)
+    calendar = in_force(panel.select("ts").distinct(), decisions, keys)
     r = panel.select("ts", "symbol", "close", change(F.col("close"), 1, by_symbol()).alias("ret"))
     held = calendar.join(weights.withColumnRenamed("ts", "decided"), [*keys, "decided"]).join(r, ["ts", "symbol"], "left")
     live = F.min(F.col("close").isNotNull().cast("int")).over(Window.partitionBy(*keys, "decided", "symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
