@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import change, rolling
-from . import moments
+from . import moments, trees
 
 
 #: Fits that run at once, as jobs of one session.
@@ -65,32 +65,32 @@ def class_weight(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(n), how="cross").withColumn("weight", F.when(F.col(label) == 1, F.try_divide("n0", "n1")).otherwise(1.0)).drop("n0", "n1")  # one row
 
 
-def walk_forward_ranker(panel: DataFrame, dates: list, columns: list[str], every: int = 4, least_dates: int = 104, seed: int = 7) -> DataFrame:
-    """(ts, symbol, score): at each refit date a regression of `target` on rows of earlier dates whose target was known, used until the next.
+#: Edges of the bins of features that are in units of their deviation.
+EDGES = [i / 8 for i in range(-16, 17)]
 
-    `dates` are the schedule's dates in order; the target of a date is known at the next one. Each fit reads all rows so far.
-    """
 
-    def refit(i: int) -> DataFrame | None:
-        train = panel.where((F.col("ts") < F.lit(dates[i - 1])) & F.col("target").isNotNull()).withColumn("label", F.col("target"))
-        if train.isEmpty():
-            return None
-        model = return_model("gbt", columns, seed=seed, maxIter=10, maxDepth=3).fit(train)
-        rows = panel.where(F.col("ts").between(F.lit(dates[i]), F.lit(dates[min(i + every, len(dates)) - 1])))
-        return model.transform(rows).select("ts", "symbol", F.col("prediction").alias("score"))
+def refit_members(panel: DataFrame, dates: list, columns: list[str], every: int, least_dates: int) -> DataFrame:
+    """Members (model, row, bins, target, weight, tested) of the refits of walk_forward_ranker()."""
+    at = panel.sparkSession.createDataFrame(list(enumerate(dates)), f"at int, ts {panel.schema['ts'].dataType.simpleString()}")  # the schedule
+    rows = panel.join(at, "ts").select("at", F.struct("ts", "symbol").alias("row"), trees.binned(columns, EDGES).alias("bins"), F.col("target").cast("double").alias("target"))
+    return trees.refits(rows, least_dates + 1, every, len(dates) - 1).drop("at")
 
-    out = [x for x in side_by_side([partial(refit, i) for i in range(least_dates + 1, len(dates), every)]) if x is not None]
-    return reduce(DataFrame.unionByName, out) if out else panel.select("ts", "symbol", F.lit(0.0).alias("score")).limit(0)
 
+def walk_forward_ranker(panel: DataFrame, dates: list, columns: list[str], every: int = 4, least_dates: int = 104) -> DataFrame:
+    """(ts, symbol, score): at each refit date boosted trees for `target` on rows of earlier dates whose target was known, used until the next.
 
-def bagged(rows: DataFrame, pipeline_of, key: list[str], n: int = 5, fraction: float = 0.8) -> DataFrame:
-    """Mean score of n models, each of a bootstrap sample of the training rows."""
-    train, test = rows.where("test_mask = 0 AND label IS NOT NULL"), rows.where("test_mask = 1")
+    `dates` are the schedule's dates in order; the target of a date is known at the next one. All refits grow side by side.
+    """
+    scored, _ = trees.boosted(refit_members(panel, dates, columns, every, least_dates))
+    return scored.where("tested").select("row.*", "score")
 
-    def one(seed: int) -> DataFrame:
-        return pipeline_of(seed).fit(train.sample(withReplacement=True, fraction=fraction, seed=seed)).transform(test).select(*key, F.col("prediction").alias("score"))
 
-    return reduce(DataFrame.unionByName, side_by_side([partial(one, seed) for seed in range(n)])).groupBy(*key).agg(F.avg("score").alias("score"))
+def bagged(rows: DataFrame, columns: list[str], edges: list[float], key: list[str], n: int = 5, fraction: float = 0.8) -> DataFrame:
+    """(key, score): mean score of n boosted models for test rows, each of a bootstrap sample of the training rows. All bags grow side by side."""
+    test = F.col("test_mask") == 1
+    used = rows.where("test_mask IS NOT NULL").select(F.struct(*key).alias("row"), trees.binned(columns, edges).alias("bins"), F.col("label").cast("double").alias("target"), (~test).cast("double").alias("weight"), test.alias("tested"))
+    scored, _ = trees.boosted(trees.bags(used, n, fraction, ["row"]))
+    return scored.where("tested").groupBy("row").agg(F.avg("score").alias("score")).select("row.*", "score")
 
 
 def grid_search(rows: DataFrame, models: dict[str, tuple[float, float]], folds: list[tuple[int, int, int, int, int]], order: str, metric, columns: list[str] | None = None) -> DataFrame:

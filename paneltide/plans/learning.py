@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as I
 from ..functions.windows import by_symbol, change, lag, rolling
-from ..operators import backtest, clean, cross, learn, moments
+from ..operators import backtest, clean, cross, learn, moments, trees
 from ..sources import panels
 from ..sources.store import stored
 from .features import D, dense
-from .oracle import BARS, DENSE, RETURNS, S, day, fix, fixed, query, sfix, sfixed, srolling
+from .oracle import BARS, DENSE, ORACLES, RETURNS, S, day, fix, fixed, query, sfix, sfixed, srolling
 
 FEATURES = ["ret_1", "ret_5", "vol_10", "sma_ratio", "rsi"]
 
@@ -114,10 +114,14 @@ def boosted_return(spark, sf_dir):
     return _scores(learn.fit_predict(df, learn.return_model("gbt", FEATURES, maxIter=8, maxDepth=3)))
 
 
+#: Edges of bins of the features as they are: returns and deviations, ratios, index points.
+GRID = [-0.5, -0.2, -0.1, -0.05, -0.02, 0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 0.9, 0.95, 1.0, 1.05, 1.1, 1.2, 1.5, 30.0, 40.0, 45.0, 50.0, 55.0, 60.0, 70.0]
+
+
 @query()
 def bagged_return(spark, sf_dir):
     df = rows(spark, sf_dir).withColumn("label", F.col("fwd"))
-    return learn.bagged(df, lambda seed: learn.return_model("net", FEATURES), ["symbol", "ts"], n=3).select("symbol", day(), "score")
+    return learn.bagged(df, FEATURES, GRID, ["symbol", "ts"], n=5).select("symbol", day(), "score")
 
 
 RANKED = cross.FEATURES
@@ -144,11 +148,31 @@ def feature_panel(spark, sf_dir):
     return ranked_panel(spark, sf_dir)[0].select("symbol", day(), *fixed({k: 4 for k in [*RANKED, "target"]}))
 
 
+#: Features and target of the ranker, by the number of the date in the schedule, and members of its refits (every 52 dates after 105).
+_fp = ORACLES["feature_panel"]
+RANK_SQL = _fp[len("WITH "):_fp.rindex("SELECT symbol,")].rstrip() + f""",
+sd AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS nth FROM (SELECT max(ts) AS ts FROM (SELECT DISTINCT ts FROM dense) GROUP BY isoyear(ts), weekofyear(ts))),
+rk AS (SELECT f.*, nth, (SELECT max(nth) FROM sd) AS mx FROM f JOIN sd USING (ts) WHERE {' AND '.join(f'{k} IS NOT NULL' for k in RANKED)}),
+mb AS (SELECT rk.*, model FROM rk, range(50) AS r(model) WHERE target IS NOT NULL AND 105 + model * 52 <= mx AND nth < 105 + model * 52 - 1)"""
+#: The best split of each model's rows as of trees.splits(), of a table mb (model, y and bins by feature).
+_BIN = lambda x: f"len([q FOR q IN {learn.EDGES} IF q < {x}])"
+
+
+@query(f"""WITH {RANK_SQL}, base AS (SELECT model, avg(target) AS mean FROM mb GROUP BY 1), ex AS (SELECT model, target - mean AS g, unnest([{', '.join(map(str, range(len(RANKED))))}]) AS feature, unnest([{', '.join(_BIN(k) for k in RANKED)}]) AS bin FROM mb JOIN base USING (model)),
+h AS (SELECT model, feature, bin, count(*) AS n, sum(g) AS g FROM ex GROUP BY ALL), cu AS (SELECT model, feature, bin, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(n) OVER a AS n, sum(g) OVER a AS g FROM h WINDOW w AS (PARTITION BY model, feature ORDER BY bin), a AS (PARTITION BY model, feature)),
+gn AS (SELECT *, gl / nl AS l, (g - gl) / (n - nl) AS r, round(gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n, 9) AS gain FROM cu WHERE nl >= 5 AND n - nl >= 5)
+SELECT model, feature, bin, {sfix('gain', 4)} AS gain, {sfix('l', 4)} AS "left", {sfix('r', 4)} AS "right" FROM gn WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY model ORDER BY gain DESC, feature, bin) = 1""")
+def first_splits(spark, sf_dir):
+    """The first split of the first tree of every refit of the ranker."""
+    panel, dates = ranked_panel(spark, sf_dir)
+    _, grown = trees.boosted(learn.refit_members(panel, dates, RANKED, 52, 104), rounds=1, depth=1)
+    return grown.select(F.col("model").cast("long").alias("model"), F.col("feature").cast("long").alias("feature"), F.col("bin").cast("long").alias("bin"), *fixed({"gain": 4, "left": 4, "right": 4}))
+
+
 @query()
 def gbt_ranker(spark, sf_dir):
-    """A ranker refitted every half year, of rows whose target was known by then."""
+    """A ranker refitted every year, of rows whose target was known by then."""
     panel, dates = ranked_panel(spark, sf_dir)
-    panel = stored(panel, "features")
     return learn.walk_forward_ranker(panel, dates, RANKED, every=52, least_dates=104).select("symbol", day(), "score")
 
 
