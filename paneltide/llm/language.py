@@ -101,7 +101,7 @@ def learn(docs: DataFrame, limit: int = LEARN_TEXTS) -> dict | None:
     """Scripts and 4-gram log frequencies of each language, from (lang, text, doc_id); None if there is nothing to learn from.
 
     Every language that occurs is learned. About `limit` texts of each are read, chosen by a hash of the id; the driver gets
-    sums alone: SLOTS and N_SCRIPTS numbers for each language.
+    sums alone: SLOTS and N_SCRIPTS numbers for each language. That is bounded by the number of languages alone: `lang` must not hold junk values.
     """
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # a row for each language

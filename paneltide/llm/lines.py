@@ -250,7 +250,9 @@ def dedup_lines(docs: DataFrame, texts: int = TEXTS, carry: tuple[str, ...] = ()
     it (copies of a text count once), a line of at least LONG words also if AGAIN different texts have it word for word.
     Its lines stay in the document of the smallest id alone (a null id is before all
     others; of one id, the smaller hash of the text). A null text stays null with no lines; repeated rows (id and text)
-    are one document.
+    are one document. A line that is as like to two templates joins the one found first, by document and number of the line. Columns beside
+    these and `carry` are left out whatever their names, and an empty table gives none. A null id counts as -2**63: a row that has
+    this id shares its place.
     """
     spark = docs.sparkSession
     docs = keyed(docs, carry)

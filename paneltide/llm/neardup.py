@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id of every row of (doc_id, text): the smallest id that links lead to.
 
     Rows link when 100 * common >= percent * union of their sets of n-word shingles. Null and empty texts have no
-    shingles and link with nothing. Rows with one id are one node; a null id gets the component of its class, or null.
+    shingles and link with nothing. Rows with one id are one node; a null id gets the component of its class, or null. Repeated rows give repeated
+    results, columns beside these two are left out whatever their names, and an empty table gives none.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -182,9 +182,10 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_TEXTS) -> dict
 
 
 def score(docs: DataFrame, model: dict | None, with_passages: bool = True) -> DataFrame:
-    """Per row of (doc_id, text): score, predicted, and each passage's attention. Rows are independent.
+    """Per row of (doc_id, text): score, predicted, and each passage's attention. Rows are independent: repeated rows have repeated results.
 
-    Null and empty texts are a bag of one empty passage and are scored as such. Without a model all scores are 0.5.
+    Null and empty texts are a bag of one empty passage and are scored as such. Without a model all scores are 0.5. A null id is a row like any other,
+    columns beside these two are left out whatever their names, and an empty table gives none.
     """
     model = docs.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.float32) for k, v in model.items()} if model else None)
     labels = ["doc_id", "score", "predicted", "attention"][: 4 if with_passages else 3]

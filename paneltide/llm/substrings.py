@@ -285,7 +285,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a text of smaller id or earlier in the same.
     Null texts are empty; texts shorter than LENGTH stay whole. A null id comes before all others; texts of one id are
-    ordered by a hash; repeated rows (same id and text) are one text and get the same result.
+    ordered by a hash; repeated rows (same id and text) are one text and get the same result. Columns beside these two are left out whatever
+    their names, and an empty table gives none. A null id counts as -2**63: a row that has this id shares its place.
     """
     spark = docs.sparkSession
     docs = keyed(docs)
