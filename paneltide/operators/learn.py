@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -20,16 +16,6 @@ from ..functions.windows import change, rolling
 from . import moments, trees
 
 
-#: Fits that run at once, as jobs of one session.
-FITS = 4
-
-
-def side_by_side(tasks: list[Callable]) -> list:
-    """Results of functions that each start Spark jobs, FITS of them at a time."""
-    with ThreadPoolExecutor(FITS) as pool:
-        return list(pool.map(lambda f: f(), tasks))
-
-
 def assembled(columns: list[str], model, out: str = "features") -> Pipeline:
     """Columns to a vector, standardised on the training rows, then the model."""
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="__raw", handleInvalid="skip"), StandardScaler(inputCol="__raw", outputCol=out, withMean=True), model])
