@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import panels
+from ..sources.store import folder
 from ..streaming import ticks
 from .market import _machine
 from .oracle import fix, query, sfix
@@ -49,14 +50,15 @@ def stream_enriched(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_TICKS}, xs AS (SELECT symbol, ts, id, (price - 50) / 500 AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts, id) AS rn FROM t), {_machine('xs', 'x', 0.1, 5)} SELECT hm.symbol, strftime(hm.ts, '%Y-%m-%d %H:%M:%S') AS d, id, CAST(pos AS INT) AS position FROM hm JOIN xs ON xs.symbol = hm.symbol AND xs.rn = hm.rn")
 def stream_positions(spark, sf_dir):
-    """The holding-period machine over ticks as a stream."""
-    signal = (F.col("price") - 50) / 500
-    rows = ticks.read_ticks(spark, sf_dir).withColumn("x", signal)
-    return ticks.drain(ticks.holding_period(rows, "x", 0.1, 5), [], mode="append").select("symbol", _stamp("ts").alias("d"), "id", "position")
+    """The holding-period machine over ticks as a stream, which may come in any order within ten minutes."""
+    closing = folder(spark, "closing")
+    rows = ticks.read_ticks(spark, sf_dir, closing=closing).withColumn("x", (F.col("price") - 50) / 500)
+    return ticks.drain(ticks.holding_period(rows, "x", 0.1, 5, "10 minutes"), [], "append", closing).select("symbol", _stamp("ts").alias("d"), "id", "position")
 
 
 @query(f"""WITH {_TICKS}, n AS (SELECT "user", ts, lead(ts) OVER (PARTITION BY "user" ORDER BY ts, id) AS nx, (SELECT max(ts) FROM t) - INTERVAL 10 MINUTE AS mark FROM t) SELECT CAST("user" AS VARCHAR) AS "user", strftime(ts, '%Y-%m-%d %H:%M:%S') AS last FROM n WHERE nx > ts + INTERVAL 1 HOUR OR (nx IS NULL AND ts + INTERVAL 1 HOUR < mark)""")
 def stream_stale(spark, sf_dir):
     """The ticks after which a user had none for an hour, also where none came before the stream's end."""
-    users = ticks.read_ticks(spark, sf_dir).withColumn("symbol", F.col("user").cast("string"))
-    return ticks.drain(ticks.stale_symbols(users), [], mode="append").select(F.col("symbol").alias("user"), _stamp("last").alias("last"))
+    closing = folder(spark, "closing")
+    users = ticks.read_ticks(spark, sf_dir, closing=closing).withColumn("symbol", F.col("user").cast("string"))
+    return ticks.drain(ticks.stale_symbols(users), [], "append", closing).select(F.col("symbol").alias("user"), _stamp("last").alias("last"))

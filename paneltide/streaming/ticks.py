@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rules import hold_step
 from ..sources.store import folder
+from .ordered import Ordered
 
+#: State with timers needs this store; see drain().
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def read_ticks(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
-    """The events table as a stream of (symbol, ts, id, price, user); with `files`, so many files of it in one micro-batch."""
+
+def read_ticks(spark: SparkSession, sf_dir: str, files: int | None = None, closing: str | None = None) -> DataFrame:
+    """The events table as a stream of (symbol, ts, id, price, user); with `files`, so many files of it in one micro-batch.
+
+    `closing` is a folder for the tick that closes the stream (see drain): it is read beside the table.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema)
-    raw = (source if files is None else source.option("maxFilesPerTrigger", files)).parquet(f"{sf_dir}/events.parque[t]")  # one file or a folder of them
-    return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("user_id").alias("user"))
+    one_or_folder = f"{sf_dir}/events.parque[t]"
+    raw = (source if files is None else source.option("maxFilesPerTrigger", files)).parquet(one_or_folder)
+    ticks = raw.select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("user_id").alias("user")
+    )
+    if closing is None:
+        return ticks
+    spark.createDataFrame([], ticks.schema).write.mode("append").parquet(closing)
+    return ticks.unionByName(spark.readStream.schema(ticks.schema).parquet(closing))
 
 
 def tumbling_bars(ticks: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -40,43 +52,73 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes"
     return s.agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")).select("user", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-def holding_period(rows: DataFrame, signal: str, threshold: float, horizon: int) -> DataFrame:
+class _Holding(Ordered):
+    """The minimum-holding-period machine over the rows of a symbol, in their order."""
+
+    waiting, memory, start = "at long, id long, x double", "left int, position int", (0, 0)
+
+    def __init__(self, late: bool, threshold: float, horizon: int):
+        super().__init__(late)
+        self.threshold, self.horizon = threshold, horizon
+
+    def fold(self, key: tuple, memory: tuple, rows: list[tuple], mark: int) -> tuple[tuple, pd.DataFrame]:
+        left, position = memory
+        out = []
+        for at, i, x in rows:
+            left, position = hold_step(x, left, position, self.threshold, self.horizon)
+            out.append((key[0], at, i, position))
+        return (left, position), pd.DataFrame(out, columns=["symbol", "at", "id", "position"])
+
+
+def holding_period(rows: DataFrame, signal: str, threshold: float, horizon: int, late: str | None = None) -> DataFrame:
     """The minimum-holding-period machine with its state (days left, position) kept by symbol across batches.
 
-    Rows of a symbol must come in order from batch to batch; within a batch they are sorted. A symbol's rows of one
-    micro-batch are held at once: bound these by maxFilesPerTrigger (see read_ticks) where a symbol has many.
+    With `late`, rows may come in any order within that time: they wait in the state until the watermark has passed them,
+    then go through the machine by (ts, id); the last ones come out when the stream is closed (see drain). Rows that come
+    later than that are dropped. Without it, rows of a symbol must come in order from batch to batch, are sorted within a
+    batch, and come out at once. Null signals count as 0; rows without an id or a time are left out.
     """
+    marked = rows.withWatermark("ts", late or "0 seconds")
+    keyed = marked.select("symbol", "ts", F.unix_micros("ts").alias("at"), "id", F.col(signal).cast("double").alias("x")).groupBy("symbol")
+    machine = _Holding(late is not None, threshold, horizon)
+    out = keyed.transformWithStateInPandas(machine, "symbol string, at long, id long, position int", "append", "eventTime" if late else "none")
+    return out.select("symbol", F.timestamp_micros("at").alias("ts"), "id", "position")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, position = state.get if state.exists else (0, 0)
-        df = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out = []
-        for value in df[signal]:
-            left, position = hold_step(value, left, position, threshold, horizon)
-            out.append(position)
-        state.update((left, position))
-        yield pd.DataFrame({"symbol": key[0], "ts": df["ts"].to_numpy(), "id": df["id"].to_numpy(), "position": out})
 
-    return rows.select("symbol", "ts", "id", signal).groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, id long, position int", "left int, position int", "append", GroupStateTimeout.NoTimeout)
+class _Stale(Ordered):
+    """Ticks of a symbol after which none came for `gap`; the state is the last tick that is settled and not reported yet."""
 
+    waiting, memory, start = "at long, id long", "last long", (None,)
 
-def stale_symbols(ticks: DataFrame, after: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """The ticks after which a symbol had none for `after`: found when the next one comes, or when the watermark says that none will."""
-    gap = int(pd.Timedelta(after).total_seconds() * 1e6)
+    def __init__(self, gap: int, grace: int):
+        super().__init__(True)
+        self.gap, self.grace = gap, grace
+
+    def fold(self, key: tuple, memory: tuple, rows: list[tuple], mark: int) -> tuple[tuple, pd.DataFrame]:
+        last, out = memory[0], []
+        for at, _ in rows:
+            if last is not None and at - last > self.gap:
+                out.append(last)
+            last = at
+        if last is not None and last + self.gap + self.grace < mark:
+            out.append(last)
+            last = None
+        return (last,), pd.DataFrame({"symbol": [key[0]] * len(out), "last": pd.Series(out, dtype="int64")})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"symbol": [key[0]], "last": [pd.Timestamp(last, unit="us")]})
-            return
-        at = np.sort(np.concatenate([[state.get[0]] if state.exists else np.zeros(0, np.int64), *(b["ts"].astype("datetime64[us]").astype("int64") for b in batches)]).astype(np.int64))
-        state.update((int(at[-1]),))
-        state.setTimeoutTimestamp(max((int(at[-1]) + gap) // 1000, state.getCurrentWatermarkMs() + 1))
-        lone = at[:-1][np.diff(at) > gap]
-        yield pd.DataFrame({"symbol": [key[0]] * len(lone), "last": pd.to_datetime(lone, unit="us")})
+    def wake(self, memory: tuple) -> int | None:
+        return None if memory[0] is None else memory[0] + self.gap + self.grace
 
-    return ticks.withWatermark("ts", late).select("symbol", "ts").groupBy("symbol").applyInPandasWithState(step, "symbol string, last timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def stale_symbols(ticks: DataFrame, after: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The ticks after which a symbol had none for `after`: found when the next one is settled, or by a timer.
+
+    Ticks may come in any order within `late`. A symbol that stays silent is reported once the watermark is more than
+    `after` and `late` behind its last tick; a tick that comes then begins anew. Ticks without an id are left out.
+    """
+    gap, grace = (int(pd.Timedelta(x).total_seconds() * 1e6) for x in (after, late))
+    keyed = ticks.withWatermark("ts", late).select("symbol", "ts", F.unix_micros("ts").alias("at"), "id").groupBy("symbol")
+    out = keyed.transformWithStateInPandas(_Stale(gap, grace), "symbol string, last long", "append", "eventTime")
+    return out.select("symbol", F.timestamp_micros("last").alias("last"))
 
 
 def ledger(ticks: DataFrame) -> DataFrame:
@@ -98,12 +140,34 @@ def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def drain(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream until its source has no more and return the last row of each key, written batch by batch."""
+def drain(stream: DataFrame, keys: list[str], mode: str = "update", closing: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Run a stream until its source has no more and return the last row of each key, written batch by batch.
+
+    With `closing`, the folder that read_ticks was given, a tick without symbol and id is then written there, so late that
+    the watermark (`late` behind the newest tick) passes all ticks, and the stream goes on from its checkpoint: rows that
+    waited for the watermark come out.
+    """
     spark = stream.sparkSession
     path = folder(spark, "stream")
-    query = stream.writeStream.outputMode(mode).foreachBatch(idempotent_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+
+    def run() -> dict:
+        before = spark.conf.get(STORE[0])
+        spark.conf.set(*STORE)
+        try:
+            query = stream.writeStream.outputMode(mode).foreachBatch(idempotent_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(STORE[0], before)
+        query.awaitTermination()
+        return query.lastProgress
+
+    progress = run()
+    if closing is not None:
+        mark = F.to_timestamp(F.lit(progress["eventTime"]["watermark"]))
+        end = mark + F.expr(f"INTERVAL {late}") * 2 + F.expr("INTERVAL '0.002' SECOND")
+        schema = spark.read.parquet(closing).schema
+        row = spark.range(1).select(*((end if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+        row.write.mode("append").parquet(closing)
+        run()
     rows = spark.read.schema(stream.schema.add("batch_id", "long")).option("basePath", f"{path}/out").parquet(f"{path}/out")
     if not keys:
         return rows.drop("batch_id")

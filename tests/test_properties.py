@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -341,6 +342,58 @@ def test_stale_symbols_do_not_depend_on_batches(spark, tmp_path):
     assert out[0] == out[1] and set(want) <= set(out[0])
 
 
+def shuffled_ticks(spark, path, files, seed):
+    """600 ticks of three symbols in files whose ticks are up to four minutes out of order; the ticks."""
+    rng = random.Random(seed)
+    minutes = sorted(rng.sample(range(9000), 600))
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m, microseconds=rng.randrange(1000)), rng.randrange(3), rng.choice("ABC"), float(rng.randrange(100))) for i, m in enumerate(minutes)]
+    arrival = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=4 * rng.random()))
+    for k in range(files):
+        part = arrival[k * len(rows) // files : (k + 1) * len(rows) // files]
+        spark.createDataFrame(rng.sample(part, len(part)), "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+        time.sleep(0.02)  # files are read by time of writing
+    return rows
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_ordered_streams_do_not_depend_on_arrival(spark, tmp_path, files):
+    rows = shuffled_ticks(spark, tmp_path, files, files)
+    stream = ticks.read_ticks(spark, str(tmp_path), 1, closing=f"{tmp_path}/closing-a")
+    out = ticks.drain(ticks.holding_period(stream, "price", 90, 5, "10 minutes"), [], "append", f"{tmp_path}/closing-a").collect()
+    want = {}
+    for s in "ABC":
+        left = position = 0
+        for i, ts, _, symbol, price in rows:
+            if symbol == s:
+                left, position = rules.hold_step(price, left, position, 90, 5)
+                want[i] = (s, ts, position)
+    assert len(out) == len(want) and {r["id"]: (r["symbol"], r["ts"], r["position"]) for r in out} == want
+    stream = ticks.read_ticks(spark, str(tmp_path), 1, closing=f"{tmp_path}/closing-b")
+    out = ticks.drain(ticks.stale_symbols(stream), [], "append", f"{tmp_path}/closing-b").collect()
+    newest = max(r[1] for r in rows)
+    late = []
+    for s in "ABC":
+        at = [r[1] for r in rows if r[3] == s]
+        late += [(s, a) for a, b in zip(at, at[1:]) if b - a > dt.timedelta(hours=1)]
+        late += [(s, at[-1])] * (at[-1] + dt.timedelta(minutes=70) < newest)
+    assert sorted((r["symbol"], r["last"]) for r in out) == sorted(late)
+
+
+def test_state_holds_what_the_watermark_has_not_passed(spark, tmp_path):
+    rows = shuffled_ticks(spark, tmp_path, 3, 9)
+    stream = ticks.holding_period(ticks.read_ticks(spark, str(tmp_path), 1), "price", 90, 5, "10 minutes")
+    before = spark.conf.get(ticks.STORE[0])
+    spark.conf.set(*ticks.STORE)
+    try:
+        q = stream.writeStream.outputMode("append").format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/state").collect()
+    finally:
+        spark.conf.set(ticks.STORE[0], before)
+    mark = max(r[1] for r in rows) - dt.timedelta(minutes=10)
+    assert {r["list_element"]["id"] for r in waiting} == {r[0] for r in rows if r[1] > mark}
+
+
 def test_grid_search_covers_every_bar(spark, monkeypatch):
     from paneltide.operators import learn
     from paneltide.plans import more
