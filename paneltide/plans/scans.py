@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as I
 from ..functions.windows import lag
 from ..operators import cross, orders
-from ..sources import panels
+from ..sources import formats, panels
 from ..sources.store import folder, stored
 from .features import D, _OHLCV
 from .market import _BOOK, _SLEEVES, _TARGET, account, returns, sleeve_table
@@ -33,6 +33,18 @@ def bars_of_symbols_and_dates(spark, sf_dir):
     return panels.read_bars(spark, path, ["Brand#11", "Brand#22", "Brand#3", "Brand#5"], "1996-03-01", "1998-10-31").select("symbol", day(), *fixed(_OHLCV))
 
 
+@query(
+    f"WITH {BARS} SELECT symbol, {D}, {sfixed(_OHLCV)} FROM bars WHERE ts >= DATE '1996-03-15' AND ts < DATE '1997-10-31'"
+    " AND symbol IN ('Brand#11', 'Brand#22', 'Brand#35', 'Brand#54', 'Brand 0') AND volume > 10"
+)
+def quotes_of_symbols(spark, sf_dir):
+    """Bars in folders by symbol and year through a source of its own, which opens the files of these symbols and years only."""
+    path = folder(spark, "quotes")
+    formats.write_quotes(panels.bars_daily(spark, sf_dir), path)
+    rows = formats.read_quotes(spark, path, ["Brand#11", "Brand#22", "Brand#35", "Brand#54", "Brand 0"], "1996-03-15", "1997-10-30")
+    return rows.where("volume > 10").select("symbol", day(), *fixed(_OHLCV))
+
+
 @query(f"WITH {RETURNS} SELECT {D}, {sfix('100 * max(r)', 2)} AS high, {sfix('100 * min(r)', 2)} AS low FROM returns WHERE r IS NOT NULL GROUP BY ts")
 def factor_file(spark, sf_dir):
     """Weekly factor returns in percent from a text file with lines before and after the table."""

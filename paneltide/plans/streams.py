@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import panels
+from ..sources import formats, panels
 from ..sources.store import folder
 from ..streaming import ticks
 from .market import _machine
@@ -62,3 +62,13 @@ def stream_stale(spark, sf_dir):
     closing = folder(spark, "closing")
     users = ticks.read_ticks(spark, sf_dir, closing=closing).withColumn("symbol", F.col("user").cast("string"))
     return ticks.drain(ticks.stale_symbols(users), [], "append", closing).select(F.col("symbol").alias("user"), _stamp("last").alias("last"))
+
+
+@query(f"WITH {_TICKS} SELECT id, symbol, CAST(\"user\" AS BIGINT) AS \"user\", CASE WHEN price > 100 THEN 'sell' ELSE 'buy' END AS side, {sfix('price', 3)} AS price FROM t WHERE price > 100 OR price < 20")
+def stream_orders(spark, sf_dir):
+    """Orders of ticks at a high or low price, in a sink that commits each batch once, read back from it."""
+    path = folder(spark, "orders")
+    rows = ticks.read_ticks(spark, sf_dir).where("price > 100 OR price < 20")
+    rows = rows.select("id", "symbol", F.col("user").cast("long").alias("user"), F.when(F.col("price") > 100, "sell").otherwise("buy").alias("side"), fix("price", 3).alias("price"))
+    formats.write_committed(rows, f"{path}/out", f"{path}/state")
+    return formats.read_committed(spark, f"{path}/out", rows.schema)
