@@ -26,6 +26,8 @@ BEFORE = LENGTH - GRAM
 BATCH, MAP_BITS, MAP_MOST = 40_000, 32, 1 << 28
 #: A gram of more suffixes than this, and than a quarter of an average partition, is dealt out window by window.
 HOT = 200_000
+#: Repeated suffixes that a task of the scan holds on average, some 250 bytes each.
+PER_TASK = 1 << 19
 
 _INSIDE = 31  # low bits that hold a position
 
@@ -191,9 +193,9 @@ def spans(s: Suffixes, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, s.at[row] - high, s.at[row] - low + LENGTH
 
 
-_FIELDS = ["gram", "doc_id", "code", "at", "least", "most", "bytes", "first", "end"]
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64()]
-_SCHEMA = "gram long, doc_id long, code long, at long, least short, most short, bytes binary, first long, end long"
+_FIELDS = ["gram", "sure", "doc_id", "code", "at", "least", "most", "bytes", "first", "end"]
+_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.int64(), pa.int64()]
+_SCHEMA = "gram long, sure boolean, doc_id long, code long, at long, least short, most short, bytes binary, first long, end long"
 #: Stands for a null id, before all others.
 NULL_ID = -(1 << 63)
 
@@ -206,7 +208,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 def _span_rows(s: Suffixes, marks: np.ndarray) -> pa.RecordBatch:
     row, first, end = spans(s, marks)
     empty = [pa.nulls(len(row), k) for k in _KINDS]
-    return pa.RecordBatch.from_arrays([empty[0], pa.array(s.doc[row]), pa.array(s.code[row]), *empty[3:7], pa.array(first), pa.array(end)], _FIELDS)
+    return pa.RecordBatch.from_arrays([*empty[:2], pa.array(s.doc[row]), pa.array(s.code[row]), *empty[4:8], pa.array(first), pa.array(end)], _FIELDS)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -216,23 +218,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame, wanted, hot) -> DataFrame:
-    """Suffixes of anchors whose gram is in the map `wanted`, and spans already found to repeat within a task's batch."""
+    """Suffixes of anchors whose gram is in the map `wanted`, and spans already found to repeat within a task's batch.
+
+    `sure` marks the windows of grams in `hot`, which repeat: their `gram` is a hash of the whole window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, often = wanted.value, hot.value
         wait, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            s = Suffixes.join([x for x, _ in wait])
-            gram = np.concatenate([g for _, g in wait])
+            s = Suffixes.join([x for x, _, _ in wait])
+            gram, sure = (np.concatenate([w[k] for w in wait]) for k in (1, 2))
             marks = repeated(s, s.places())
             yield _span_rows(s, marks)
             d = np.arange(BEFORE + 1)
             rest = np.flatnonzero(((d >= s.least[:, None]) & (d <= s.most[:, None]) & ~marks).any(1))
             for a in range(0, len(rest), 5000):
-                x, g = s.take(rest[a : a + 5000]), gram[rest[a : a + 5000]]
+                row = rest[a : a + 5000]
+                x, g = s.take(row), gram[row]
                 blank = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(x.doc), pa.array(x.code), pa.array(x.at), pa.array(x.least), pa.array(x.most), _fixed(np.concatenate([x.after, x.before], 1)), blank, blank], _FIELDS)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(sure[row]), pa.array(x.doc), pa.array(x.code), pa.array(x.at), pa.array(x.least), pa.array(x.most), _fixed(np.concatenate([x.after, x.before], 1)), blank, blank], _FIELDS)
 
         for batch in pieces(batches, "text"):
             data, off = utf8(batch.column("text"))
@@ -241,16 +247,17 @@ def suffixes(docs: DataFrame, wanted, hot) -> DataFrame:
             bit = gram % np.uint64(len(bitmap) * 64)
             keep = np.flatnonzero(bitmap[bit >> np.uint64(6)].view(np.uint64) >> (bit & np.uint64(63)) & np.uint64(1))
             text, start, count, anchor, gram = text[keep], start[keep], count[keep], anchor[keep], gram[keep]
-            if len(often) and (many := np.isin(gram, often)).any():
+            many = np.isin(gram, often)
+            if many.any():
                 # one row for each window, dealt out by all of its bytes
                 n = np.where(many, count, 1)
                 each = np.repeat(np.arange(len(n)), n)
                 step = np.where(many[each], np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n), 0)
                 start, count, gram = start[each] + step, np.where(many[each], 1, count[each]), np.where(many[each], Rolling(data).span(start[each] + step, start[each] + step + LENGTH), gram[each])
-                text, anchor = text[each], anchor[each]
+                text, anchor, many = text[each], anchor[each], many[each]
             for a in range(0, len(anchor), BATCH):
                 z = slice(a, a + BATCH)
-                wait.append((Suffixes(*cut(data, anchor[z], start[z], count[z]), doc[text[z]], code[text[z]], anchor[z] - off[text[z]]), gram[z]))
+                wait.append((Suffixes(*cut(data, anchor[z], start[z], count[z]), doc[text[z]], code[text[z]], anchor[z] - off[text[z]]), gram[z], many[z]))
                 size += len(wait[-1][1])
                 if size >= BATCH:
                     yield from flush()
@@ -280,6 +287,14 @@ def scan_levels(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
+def deal(found: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """Suffixes dealt out by gram and sorted by place, without those whose gram does not repeat though the map let them through."""
+    key = F.coalesce("gram", F.xxhash64("doc_id", "first"))
+    known = counts.select(F.col("gram").alias("__key"), F.lit(True).alias("__known"))
+    rows = found.withColumn("__key", key).repartition(parts, "__key").join(known, "__key", "left")
+    return rows.where("__known OR sure OR gram IS NULL").select(*_FIELDS).sortWithinPartitions("doc_id", "code", "at")
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, and what is left with the removed spans.
 
@@ -305,12 +320,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     words = counts.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("bits"))
     for batch in words.toArrow().to_batches():  # MAP_MOST / 64 numbers at most
         bitmap[np.asarray(batch.column("word"))] = np.asarray(batch.column("bits"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["n"] // PER_TASK))
     # 4 * parts of them at most
     hot = np.array([r["gram"] for r in counts.where(F.col("n") > max(HOT, total["n"] / (4 * parts))).select("gram").toLocalIterator()], np.int64).view(np.uint64)
     found = suffixes(docs, spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot))
-    dealt = found.repartition(F.coalesce("gram", F.xxhash64("doc_id", "first"))).sortWithinPartitions("doc_id", "code", "at")
-    spans = scan_levels(dealt).groupBy("doc_id", "code").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
+    spans = scan_levels(deal(found, counts, parts)).groupBy("doc_id", "code").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
     joined = docs.withColumnRenamed("code", "c").join(spans.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("c") == F.col("code")), "left").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.transform("spans", lambda x: x["first"]).alias("first"), F.transform("spans", lambda x: x["end"]).alias("end"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"][: 7 if with_text else 5]
 

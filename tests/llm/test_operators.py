@@ -159,6 +159,28 @@ def test_windows_of_hot_grams(spark, monkeypatch):
     assert got == {i: v[1] for i, v in repeats(rows).items()}
 
 
+def test_a_full_map_and_small_tasks(spark, monkeypatch):
+    """Where the map lets nearly all through, the same rows come out and only suffixes of repeated grams are scanned."""
+    rows = unique(corpus(8, 60))
+    seen, deal = [], substrings.deal
+
+    def watch(found, counts, parts):
+        out = deal(found, counts, parts)
+        grams = {r["gram"] for r in counts.collect()}
+        let = [r["gram"] for r in found.where("gram IS NOT NULL").collect()]
+        seen.append((let, [r["gram"] for r in out.where("gram IS NOT NULL").collect()], grams, parts))
+        assert out.where("gram IS NULL").count() == found.where("gram IS NULL").count()
+        return out
+
+    monkeypatch.setattr(substrings, "deal", watch)
+    monkeypatch.setattr(substrings, "MAP_MOST", 64)
+    monkeypatch.setattr(substrings, "PER_TASK", 20)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(docs(spark, rows), False).collect()}
+    assert got == repeats(rows)
+    let, kept, grams, parts = seen[0]
+    assert set(kept) <= grams and sorted(kept) == sorted(g for g in let if g in grams) and len(kept) < len(let) and parts > 4
+
+
 def test_repeats_awkward(spark):
     rows = substrings.remove_repeats(awkward(spark), False).collect()
     assert len(rows) == awkward(spark).count()
