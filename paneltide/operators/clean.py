@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
 from ..functions.windows import by_symbol, running
 
 
@@ -46,7 +47,7 @@ def enough_history(panel: DataFrame, n: int) -> DataFrame:
 def iqr_filter(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """Rows within k interquartile ranges of the quartiles, column after column: later quartiles see what is left."""
     for c in columns:
-        q = df.agg(F.percentile(c, F.lit(0.25)).alias("__a"), F.percentile(c, F.lit(0.75)).alias("__z"))
+        q = quantiles(df, [], c, {"__a": 0.25, "__z": 0.75}).drop("n")
         room = k * (F.col("__z") - F.col("__a"))
         df = df.join(F.broadcast(q), F.col(c).between(F.col("__a") - room, F.col("__z") + room)).drop("__a", "__z")
     return df

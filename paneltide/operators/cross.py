@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import log_return, rsi, sma
+from ..functions.order import quantiles, running_quantile
 from ..functions.windows import by_date, by_symbol, change, lag, ratio, rolling
 
 EPS = 1e-12
@@ -115,7 +116,7 @@ def features(panel: DataFrame, schedule: DataFrame) -> DataFrame:
 def turbulence_gate(turbulence: DataFrame, q: float = 0.9) -> DataFrame:
     """(symbol, ts, x): per date the largest x, and whether it is over the q-quantile of all dates."""
     day = turbulence.groupBy("ts").agg(F.max("x").alias("x"))
-    return day.join(F.broadcast(day.agg(F.percentile("x", F.lit(q)).alias("limit"))), how="cross").select("ts", "x", (F.col("x") > F.col("limit")).alias("halt"))  # one row
+    return day.join(F.broadcast(quantiles(day, [], "x", {"limit": q})), how="cross").select("ts", "x", (F.col("x") > F.col("limit")).alias("halt"))  # one row
 
 
 def mahalanobis(panel: DataFrame, dates: DataFrame, window: int = 126, block: int = 64) -> DataFrame:
@@ -163,9 +164,8 @@ def regime_score(series: DataFrame, n: int = 40, least: int = 52) -> DataFrame:
     """(ts, bench, bear, turbulence) with score: 1, 0.65 or 0.3 for none, one or more of: below the average of n rows, a bear
     state, turbulence over the 90th percentile of its past (once there are `least` values)."""
     by = Window.orderBy("ts")  # one series of dates
-    past = by.rowsBetween(Window.unboundedPreceding, -1)
-    limit = F.when(F.count("turbulence").over(past) >= least, F.percentile("turbulence", F.lit(0.9)).over(past))
-    rows = series.withColumns({"ma": rolling(F.avg, F.col("bench"), n, by), "limit": limit})
+    rows = series.withColumn("ma", rolling(F.avg, F.col("bench"), n, by))
+    rows = running_quantile(rows, [], "ts", "turbulence", 0.9, "limit", least)
     flags = [F.col("bench") < F.col("ma"), F.col("bear"), F.col("turbulence") > F.col("limit")]
     bad = reduce(lambda a, b: a + b, (F.coalesce(f.cast("int"), F.lit(0)) for f in flags))
     return rows.withColumn("score", F.when(bad == 0, 1.0).when(bad == 1, 0.65).otherwise(0.3))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
 from ..functions.windows import ratio, rolling
 
 PER_YEAR = 252
@@ -122,14 +123,14 @@ def sweep_summary(results: DataFrame, value: str, base: float) -> DataFrame:
 
 def tail_risk(returns: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Empirical value at risk and mean of the tail, per run."""
-    q = returns.groupBy("run").agg(F.percentile("r", F.lit(alpha)).alias("var"))
+    q = quantiles(returns, ["run"], "r", {"var": alpha}).drop("n")
     return returns.join(q, "run").groupBy("run").agg(F.first("var").alias("var"), F.avg(F.when(F.col("r") <= F.col("var"), F.col("r"))).alias("cvar"))
 
 
 def extreme_tail(returns: DataFrame, u: float = 0.9, alpha: float = 0.99) -> DataFrame:
     """Losses over the u-quantile as a generalised Pareto tail fitted by moments: VaR and CVaR at alpha; null below 5 excesses."""
     loss = returns.select("run", (-F.col("r")).alias("x"))
-    q = loss.groupBy("run").agg(F.percentile("x", F.lit(u)).alias("u"), F.count("x").alias("n"))
+    q = quantiles(loss, ["run"], "x", {"u": u})
     over = loss.join(q, "run").withColumn("e", F.when(F.col("x") > F.col("u"), F.col("x") - F.col("u")))
     a = over.groupBy("run").agg(F.first("u").alias("u"), F.first("n").alias("n"), F.count("e").alias("k"), F.avg("e").alias("m"), F.var_samp("e").alias("s2"))
     g = ratio(F.col("m") * F.col("m"), F.col("s2"))
