@@ -119,3 +119,10 @@ def pairs(panel: DataFrame, columns: list[str]) -> DataFrame:
     a = panel.select("ts", F.col("symbol").alias("symbol_1"), *(F.col(c).alias(f"{c}_1") for c in columns))
     b = panel.select("ts", F.col("symbol").alias("symbol_2"), *(F.col(c).alias(f"{c}_2") for c in columns))
     return a.join(b, "ts").where("symbol_1 < symbol_2")
+
+
+def pair_rows(panel: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of the chosen pairs (symbol_1, symbol_2) alone on their common dates: columns with suffixes _1 and _2."""
+    a = panel.select("ts", F.col("symbol").alias("symbol_1"), *(F.col(c).alias(f"{c}_1") for c in columns))
+    b = panel.select("ts", F.col("symbol").alias("symbol_2"), *(F.col(c).alias(f"{c}_2") for c in columns))
+    return chosen.select("symbol_1", "symbol_2").join(a, "symbol_1").join(b, ["symbol_2", "ts"])

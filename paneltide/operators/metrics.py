@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import quantiles
 from ..functions.windows import ratio, rolling
+from ..sources.store import stored
 
 PER_YEAR = 252
 
@@ -104,6 +105,51 @@ def correlations(panel: DataFrame, value: str) -> DataFrame:
     return p.groupBy("symbol_1", "symbol_2").agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("corr"), F.covar_samp(x, y).alias("cov"))
 
 
+def correlated(panel: DataFrame, value: str, least: float, tile: int = 128) -> DataFrame:
+    """symbol_1, symbol_2, n, corr of the pairs of symbols whose correlation on their common dates is `least` or more in size.
+
+    Symbols are dealt to tiles of about `tile`; a task multiplies the matrices of two tiles (values, squares, presence) and puts out
+    only the pairs that reach `least`, so that pairs of rows are never formed: a row is copied once for each tile, whereas
+    correlations() forms one for each pair of symbols and date. A task holds two tiles' series. Nulls are missing dates; a pair has no
+    correlation below two common dates or where one side is constant; a row that is repeated counts once, the larger value of two
+    on one date.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cells = panel.where(F.col(value).isNotNull() & F.col("symbol").isNotNull()).groupBy("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).agg(F.max(F.col(value).cast("double")).alias("v"))
+    series = stored(cells.groupBy("symbol").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v")), "series")
+    tiles = max(1, -(-series.count() // tile))
+    mine, other = F.pmod(F.xxhash64("symbol"), F.lit(tiles)), F.col("other")
+    rows = series.withColumn("tile", mine).select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
+    rows = rows.withColumns({"low": F.least("tile", other), "high": F.greatest("tile", other)})
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        names = df["symbol"].to_numpy()
+        dates, where = np.unique(np.concatenate(df["at"].tolist()), return_inverse=True)
+        row = np.repeat(np.arange(len(df)), [len(a) for a in df["at"]])
+        x, there = np.zeros((len(df), len(dates))), np.zeros((len(df), len(dates)))
+        x[row, where], there[row, where] = np.concatenate(df["v"].tolist()), 1.0
+        count = there.sum(1, keepdims=True)
+        x = (x - x.sum(1, keepdims=True) / count) * there  # about its own mean, which leaves the correlation as it is
+        scale = np.sqrt((x * x).sum(1, keepdims=True))
+        x /= np.where(scale > 0, scale, 1.0)
+        a = df["tile"].to_numpy() == key[0]
+        b = df["tile"].to_numpy() == key[1]
+        n, sx, sy = there[a] @ there[b].T, x[a] @ there[b].T, there[a] @ x[b].T
+        xx, yy, xy = (x * x)[a] @ there[b].T, there[a] @ (x * x)[b].T, x[a] @ x[b].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy = xx - sx * sx / n, yy - sy * sy / n
+            corr = (xy - sx * sy / n) / np.sqrt(np.where((vx > 1e-12 * xx) & (vy > 1e-12 * yy), vx * vy, np.nan))
+        i, j = np.nonzero((n >= 2) & (np.abs(corr) >= least))
+        one, two = names[a][i], names[b][j]
+        keep = (one < two) if key[0] == key[1] else np.ones(len(i), bool)
+        turned = one > two
+        return pd.DataFrame({"symbol_1": np.where(turned, two, one)[keep], "symbol_2": np.where(turned, one, two)[keep], "n": n[i, j].astype("int64")[keep], "corr": corr[i, j][keep]})
+
+    return rows.groupBy("low", "high").applyInPandas(run, "symbol_1 string, symbol_2 string, n long, corr double")
+
+
 def unit_root_t(df: DataFrame, key: list[str], x: str, order: str = "ts") -> DataFrame:
     """Dickey-Fuller t of dx = a + b x' (no lags) per key, from sums."""
     by = Window.partitionBy(*key).orderBy(order)

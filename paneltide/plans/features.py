@@ -294,15 +294,37 @@ def pairs_corr(spark, sf_dir):
     return metrics.correlations(panel, "r").select("symbol_1", "symbol_2", "n", *fixed({"corr": 5, "cov": 5}))
 
 
+@query(f"WITH {WEEKLY}, a AS (SELECT symbol, ts, close / lag(close) OVER ({S}) - 1 AS r FROM weekly) SELECT a.symbol AS symbol_1, b.symbol AS symbol_2, count(*) AS n, {sfix('corr(a.r, b.r)')} AS corr FROM a JOIN a b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2 HAVING abs(corr(a.r, b.r)) >= 0.08")
+def correlated_pairs(spark, sf_dir):
+    """Pairs of symbols whose weekly returns go together or against each other, by products of matrices of tiles."""
+    panel = panels.bars_weekly(spark, sf_dir).withColumn("r", change(F.col("close")))
+    return metrics.correlated(panel, "r", 0.08).select("symbol_1", "symbol_2", "n", fix("corr", 5).alias("corr"))
+
+
+def _residual_t(p: DataFrame) -> DataFrame:
+    """symbol_1, symbol_2, n, t: Dickey-Fuller t of what is left of y_1 when it is regressed on y_2, pair by pair."""
+    fit = p.groupBy("symbol_1", "symbol_2").agg(F.regr_slope("y_1", "y_2").alias("s"), F.regr_intercept("y_1", "y_2").alias("i"))
+    rows = p.join(fit, ["symbol_1", "symbol_2"]).withColumn("e", F.col("y_1") - (F.col("i") + F.col("s") * F.col("y_2")))
+    return metrics.unit_root_t(rows, ["symbol_1", "symbol_2"], "e").select("symbol_1", "symbol_2", "n", *fixed({"t": 3}))
+
+
 @query(f"""WITH {WEEKLY}, p AS (SELECT a.symbol AS symbol_1, b.symbol AS symbol_2, a.ts, ln(a.close) AS y, ln(b.close) AS x FROM weekly a JOIN weekly b ON a.ts = b.ts AND a.symbol < b.symbol),
 f AS (SELECT symbol_1, symbol_2, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p GROUP BY 1, 2), e AS (SELECT p.*, y - (i + s * x) AS e FROM p JOIN f USING (symbol_1, symbol_2)),
 l AS (SELECT *, lag(e) OVER (PARTITION BY symbol_1, symbol_2 ORDER BY ts) AS l FROM e), g AS (SELECT symbol_1, symbol_2, count(*) AS n, var_pop(l) AS vx, covar_pop(l, e - l) AS c, var_pop(e - l) AS vy FROM l WHERE l IS NOT NULL GROUP BY 1, 2)
 SELECT symbol_1, symbol_2, n, {sfix('(c / vx) / sqrt(n * (vy - c * c / vx) / (n - 2) / (n * vx))', 3)} AS t FROM g""")
 def pairs_df_screen(spark, sf_dir):
-    p = clean.pairs(panels.bars_weekly(spark, sf_dir).select("symbol", "ts", F.ln("close").alias("y")), ["y"])
-    fit = p.groupBy("symbol_1", "symbol_2").agg(F.regr_slope("y_1", "y_2").alias("s"), F.regr_intercept("y_1", "y_2").alias("i"))
-    rows = p.join(fit, ["symbol_1", "symbol_2"]).withColumn("e", F.col("y_1") - (F.col("i") + F.col("s") * F.col("y_2")))
-    return metrics.unit_root_t(rows, ["symbol_1", "symbol_2"], "e").select("symbol_1", "symbol_2", "n", *fixed({"t": 3}))
+    return _residual_t(clean.pairs(panels.bars_weekly(spark, sf_dir).select("symbol", "ts", F.ln("close").alias("y")), ["y"]))
+
+
+@query(f"""WITH {WEEKLY}, p0 AS (SELECT a.symbol AS symbol_1, b.symbol AS symbol_2, a.ts, a.close AS y, b.close AS x FROM weekly a JOIN weekly b ON a.ts = b.ts AND a.symbol < b.symbol),
+ch AS (SELECT symbol_1, symbol_2 FROM p0 GROUP BY 1, 2 HAVING abs(corr(y, x)) >= 0.05 AND count(*) >= 26), p AS (SELECT p0.* FROM p0 JOIN ch USING (symbol_1, symbol_2)),
+f AS (SELECT symbol_1, symbol_2, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM p GROUP BY 1, 2), e AS (SELECT p.*, y - (i + s * x) AS e FROM p JOIN f USING (symbol_1, symbol_2)),
+l AS (SELECT *, lag(e) OVER (PARTITION BY symbol_1, symbol_2 ORDER BY ts) AS l FROM e), g AS (SELECT symbol_1, symbol_2, count(*) AS n, var_pop(l) AS vx, covar_pop(l, e - l) AS c, var_pop(e - l) AS vy FROM l WHERE l IS NOT NULL GROUP BY 1, 2)
+SELECT symbol_1, symbol_2, n, {sfix('(c / vx) / sqrt(n * (vy - c * c / vx) / (n - 2) / (n * vx))', 3)} AS t FROM g""")
+def pairs_prefiltered_screen(spark, sf_dir):
+    """The same on closes, for pairs with 26 common weeks whose closes correlate alone; tiles find them, rows of other pairs are not formed."""
+    rows = panels.bars_weekly(spark, sf_dir).select("symbol", "ts", F.col("close").alias("y"))
+    return _residual_t(clean.pair_rows(rows, metrics.correlated(rows, "y", 0.05).where("n >= 26"), ["y"]))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
