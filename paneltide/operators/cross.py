@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.indicators import log_return, rsi, sma
 from ..functions.order import quantiles, running_quantile
 from ..functions.windows import by_date, by_symbol, change, lag, ratio, rolling
+from .sliding import distances
 
 EPS = 1e-12
 
@@ -123,7 +124,7 @@ def mahalanobis(panel: DataFrame, dates: DataFrame, window: int = 126, block: in
     """ts, turbulence: distance of a date's returns from those of the `window` dates before it, over symbols with all of them.
 
     Blocks of dates, each with the `window` dates before it, are worked on side by side: a task holds block + window rows of
-    all symbols.
+    all symbols, and carries the inverse of their scatter from date to date (sliding.py).
     """
     import numpy as np
     import pandas as pd
@@ -137,19 +138,9 @@ def mahalanobis(panel: DataFrame, dates: DataFrame, window: int = 126, block: in
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         wide = df.pivot(index="i", columns="symbol", values="r").sort_index()
         meta = df.drop_duplicates("i").set_index("i").sort_index()
-        index, x, out = wide.index.to_numpy(), wide.to_numpy(float), []
-        for at in np.flatnonzero((index >= key[0] * block) & (index < (key[0] + 1) * block) & (meta["wanted"].to_numpy() == True)):  # noqa: E712
-            if index[at] < window:
-                continue
-            past = x[at - window : at]
-            good = ~np.isnan(past).any(0) & ~np.isnan(x[at])
-            value = None
-            if good.sum() >= 2:
-                past = past[:, good]
-                d = x[at, good] - past.mean(0)
-                value = float(d @ np.linalg.pinv(np.cov(past, rowvar=False)) @ d)
-            out.append((meta["ts"].iloc[at], value))
-        return pd.DataFrame(out, columns=["ts", "turbulence"])
+        index, asked = wide.index.to_numpy(), meta["wanted"].to_numpy() == True  # noqa: E712
+        at = np.flatnonzero((index >= max(key[0] * block, window)) & (index < (key[0] + 1) * block) & asked)
+        return pd.DataFrame({"ts": meta["ts"].to_numpy()[at], "turbulence": pd.array(distances(wide.to_numpy(float), at, window), dtype="Float64")})
 
     return rows.groupBy("block").applyInPandas(run, f"ts {panel.schema['ts'].dataType.simpleString()}, turbulence double")
 
