@@ -450,3 +450,16 @@ def pair_positions(spark, sf_dir):
 def turbulence_nd(spark, sf_dir):
     panel = panels.bars_weekly(spark, sf_dir)
     return cross.mahalanobis(panel, panel.select("ts").distinct(), 52).select(day(), "turbulence")
+
+
+@query(f"""WITH w AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS ts, sum(l_extendedprice) / sum(l_quantity) AS a, sum(l_quantity) AS b FROM lineitem GROUP BY 1),
+r AS (SELECT ts, a / lag(a) OVER (ORDER BY ts) - 1 AS x, b / lag(b) OVER (ORDER BY ts) - 1 AS y, row_number() OVER (ORDER BY ts) AS n FROM w),
+s AS (SELECT ts, n, x - avg(x) OVER p AS dx, y - avg(y) OVER p AS dy, count(x) OVER p AS k, var_samp(x) OVER p AS vx, var_samp(y) OVER p AS vy, covar_samp(x, y) OVER p AS c
+FROM r WINDOW p AS (ORDER BY ts ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING))
+SELECT {D}, {sfix('CASE WHEN k = 52 THEN (dx * dx * vy - 2 * c * dx * dy + dy * dy * vx) / (vx * vy - c * c) END', 3)} AS turbulence FROM s WHERE n > 52""")
+def turbulence_price_volume(spark, sf_dir):
+    """How unusual a week's price and volume of the whole market are together, beside the year before."""
+    week = panels.table(spark, sf_dir, "lineitem").groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts"))
+    week = week.agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.sum("l_quantity").alias("volume"))
+    panel = week.unpivot("ts", ["price", "volume"], "symbol", "close")
+    return cross.mahalanobis(panel, panel.select("ts").distinct(), 52).select(day(), fix("turbulence", 3).alias("turbulence"))
