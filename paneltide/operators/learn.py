@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -106,27 +108,61 @@ def _belongs(x: np.ndarray, share: np.ndarray, mean: np.ndarray, cov: np.ndarray
     return e / e.sum(1, keepdims=True)
 
 
+def _sums(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Expected sums of products of 1 and the columns, for both components."""
+    z = np.column_stack([np.ones(len(x)), x])
+    return np.einsum("ik,ij,il->kjl", own, z, z)
+
+
+def _mixture(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares, means and covariances from expected sums."""
+    n = sums[:, 0, 0] + 1e-9
+    mean = sums[:, 0, 1:] / n[:, None]
+    cov = sums[:, 1:, 1:] / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    return n / n.sum(), mean, cov + 1e-6 * np.eye(mean.shape[1])
+
+
+#: Rounds of expectation and maximisation over a block when its rows come in.
+ROUNDS = 3
+
+
 def bear_state(bench: DataFrame, every: int = 63, least: int = 504) -> DataFrame:
     """ts, ret, vol, bear of a series (ts, bench): whether a date belongs to the component with the lower mean return of a mixture of
-    two Gaussians over return and 21-day volatility, fitted on the dates before its block of `every` dates and standardised by them.
+    two Gaussians over return and 21-day volatility, fitted on the dates before its block of `every` dates.
 
-    There is no state for the first `least` dates. Blocks are fitted side by side; each holds the past of one series.
+    The first `least` dates have no state; they are fitted together and set the units. From then on only expected sums are carried: a
+    block gets its states from the mixture so far, then goes through a few rounds of expectation and maximisation beside the sums of all
+    before it, and its own sums are added. So each row is read once, whatever the length of the series, a task holds a batch and a
+    block, and later dates change no state. Rows without return or volatility are left out.
     """
     by = Window.orderBy("ts")  # one series of dates
     rows = bench.withColumn("ret", change(F.col("bench"), 1, by)).withColumn("vol", rolling(F.stddev_samp, F.col("ret"), 21, by)).na.drop(subset=["ret", "vol"])
-    rows = rows.select("ts", "ret", "vol", (F.row_number().over(by) - 1).alias("n"))
-    blocks = rows.where(F.col("n") >= least).select(F.floor((F.col("n") - least) / every).alias("block")).distinct()
-    seen = rows.join(blocks, F.col("n") < least + (F.col("block") + 1) * every)
-
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("n")
-        x, start = df[["ret", "vol"]].to_numpy(float), least + int(key[0]) * every
-        mean, scale = x[:start].mean(0), x[:start].std(0, ddof=1) + 1e-12
-        share, centre, cov = two_components((x[:start] - mean) / scale)
-        own = _belongs((x[start:] - mean) / scale, share, centre, cov)
-        return df.iloc[start:][["ts", "ret", "vol"]].assign(bear=own.argmax(1) == int(centre[1, 0] < centre[0, 0]))
-
-    return seen.groupBy("block").applyInPandas(run, f"ts {bench.schema['ts'].dataType.simpleString()}, ret double, vol double, bear boolean")
+    rows = rows.select("ts", "ret", "vol").repartition(1).sortWithinPartitions("ts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, sums = pd.DataFrame(columns=["ts", "ret", "vol"]), None
+        for batch in batches:
+            held = pd.concat([held, batch]) if len(held) else batch
+            if sums is None and len(held) >= least:
+                x = held[["ret", "vol"]].to_numpy(float)[:least]
+                mean, scale = x.mean(0), x.std(0, ddof=1) + 1e-12
+                x = (x - mean) / scale
+                sums, held = _sums(x, _belongs(x, *two_components(x))), held.iloc[least:]
+            while sums is not None and len(held) >= every:
+                block, held = held.iloc[:every], held.iloc[every:]
+                x = (block[["ret", "vol"]].to_numpy(float) - mean) / scale
+                model = _mixture(sums)
+                own = _belongs(x, *model)
+                yield block.assign(bear=own.argmax(1) == int(model[1][1, 0] < model[1][0, 0]))
+                for _ in range(ROUNDS):
+                    own = _belongs(x, *_mixture(sums + _sums(x, own)))
+                sums = sums + _sums(x, own)
+        if sums is not None and len(held):
+            model = _mixture(sums)
+            own = _belongs((held[["ret", "vol"]].to_numpy(float) - mean) / scale, *model)
+            yield held.assign(bear=own.argmax(1) == int(model[1][1, 0] < model[1][0, 0]))
+
+    return rows.mapInPandas(run, f"ts {bench.schema['ts'].dataType.simpleString()}, ret double, vol double, bear boolean")
 
 
 def fit_folds(rows: DataFrame, folds: DataFrame, columns: list[str], label: str = "label", ridge: float = 0.0) -> DataFrame:
