@@ -58,14 +58,14 @@ def portfolio(panel: DataFrame, weights: DataFrame, keys: tuple[str, ...] = (),
     is cash from that date to the next decision. Costs of a decision fall on its date. Dates before the first decision
     are left out.
     """
-    by = Window.partitionBy(*keys, "symbol").orderBy("ts") if keys else by_symbol()
     weights = stored(weights, "weights")  # a few names for each decision, read four times
     decisions = weights.select(*keys, "ts").distinct()
     calendar = in_force(panel.select("ts").distinct(), decisions, keys)
-    r = panel.select("ts", "symbol", "close", change(F.col("close"), 1, by_symbol()).alias("ret"))
+    gone = F.max(F.when(F.col("close").isNull(), F.col("ts"))).over(running())  # the last date without a price
+    r = panel.select("ts", "symbol", "close", change(F.col("close"), 1, by_symbol()).alias("ret"), gone.alias("gone"))
     held = calendar.join(weights.withColumnRenamed("ts", "decided"), [*keys, "decided"]).join(r, ["ts", "symbol"], "left")
-    live = F.min(F.col("close").isNotNull().cast("int")).over(Window.partitionBy(*keys, "decided", "symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    held = held.withColumn("live", live)
+    live = F.col("close").isNotNull() & (F.col("gone").isNull() | (F.col("gone") <= F.col("decided")))
+    held = held.withColumn("live", live.cast("int"))
     daily = held.groupBy(*keys, "ts").agg(F.sum(F.col("weight") * F.col("live") * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.sum(F.col("weight") * F.col("live")).alias("exposure"))
     # what is left of each holding on the date of the next decision
     left = held.where("ts = until").select(*keys, "ts", "symbol", (F.col("weight") * F.col("live")).alias("was"))
@@ -113,9 +113,9 @@ def buffered(scored: DataFrame, k: int, buffer: float, keys: str = "run") -> Dat
     return folded(ranked.groupBy("run", "ts").agg(names.alias("names")), decide)
 
 
-def draw(*columns: str) -> Column:
+def draw(*columns: str | Column) -> Column:
     """A random text for each row, the MD5 of some of its columns as text: any engine can draw the same."""
-    return F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
+    return F.md5(F.concat_ws("|", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns)))
 
 
 def random_k(panel: DataFrame, seeds: DataFrame, k: int) -> DataFrame:

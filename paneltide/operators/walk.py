@@ -87,9 +87,11 @@ def random_names(seeds: int) -> Selector:
     """For each of `seeds` runs k names of each decision at random; the run's own names stay beside them."""
 
     def select(rows: DataFrame) -> DataFrame:
-        drawn = rows.withColumn("run", F.explode(F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda x: F.concat(F.lit("seed "), x.cast("string")))))
-        rank = F.row_number().over(Window.partitionBy("run", "ts").orderBy(backtest.draw("run", "ts", "symbol")))
-        return best(rows).unionByName(drawn.withColumn("rank", rank).where(F.col("rank") <= F.col("k")))
+        names = rows.groupBy("ts").agg(F.max("k").alias("__most"), F.collect_list(F.struct(*(c for c in rows.columns if c not in ("run", "ts")))).alias("__names"))  # all names of a date
+        runs = names.withColumn("run", F.explode(F.transform(F.sequence(F.lit(1), F.lit(seeds)), lambda x: F.concat(F.lit("seed "), x.cast("string")))))
+        order = F.array_sort(F.transform("__names", lambda x: F.struct(backtest.draw("run", "ts", x["symbol"]).alias("draw"), x.alias("row"))))
+        drawn = runs.select("run", "ts", F.posexplode(F.slice(order, 1, F.col("__most"))).alias("__at", "x")).select("run", "ts", "x.row.*", (F.col("__at") + 1).alias("rank"))
+        return best(rows).unionByName(drawn.where(F.col("rank") <= F.col("k")))
 
     return select
 
