@@ -611,6 +611,23 @@ def test_decontamination_recall_by_length_of_item(spark):
     assert missed == {}
 
 
+def test_decontamination_space_holds_whole_products(spark):
+    """Products of passages and items in the latent space are those of their whole vectors; weights come from all texts."""
+    rng = random.Random(21)
+    bench = spark.createDataFrame([(k, prose(rng, 60, 3000)) for k in range(150)], "item_id long, text string")
+    texts = spark.createDataFrame([(str(k), prose(rng, 200, 3000)) for k in range(40)], "key string, text string")
+    (m,) = decontaminate.models(texts, bench)
+    code, off = decontaminate.tokens(pa.array([r["text"] for r in texts.collect()]))
+    half, word, n, _, _ = decontaminate._sparse(code, off, m["vocabulary"])
+    seen = np.bincount(np.unique(half * len(m["vocabulary"].words) + word) % len(m["vocabulary"].words), minlength=len(m["vocabulary"].words))
+    weight = np.log((n + 1) / (seen + 1)) + decontaminate.FLOOR
+    vectors = lambda row, word, n: np.bincount(row * len(weight) + word, weight[word], n * len(weight)).reshape(n, -1)
+    items = vectors(*(np.concatenate(x) for x in zip(*((np.full(len(w), i), m["vocabulary"].find(w)[1]) for i, w in enumerate(m["words"])))), len(m["words"]))
+    items /= np.linalg.norm(items, axis=1, keepdims=True)
+    want = vectors(half, word, n) @ items.T
+    assert np.allclose(decontaminate._sums(half, m["basis"][word], n) @ m["items"].T, want, atol=1e-3)
+
+
 def test_decontamination_awkward(spark, monkeypatch):
     items = spark.createDataFrame([(1, corpus()[3][1]), (2, "no id at all but some words here"), (None, "x y z")], "item_id long, text string")
     out = decontaminate.decontaminate(awkward(spark), items, carry=("lang",)).collect()
