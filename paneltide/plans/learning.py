@@ -17,13 +17,16 @@ FEATURES = ["ret_1", "ret_5", "vol_10", "sma_ratio", "rsi"]
 
 
 def rows(spark, sf_dir) -> DataFrame:
-    """Features, label (whether the next close is higher) and test_mask of each bar with all features."""
+    """Features, label (whether the next close is higher) and test_mask of each bar with all features.
+
+    Bars and rows are stored, as a fit reads its rows again and again: the line items are read once, whatever the model.
+    """
     c = F.col("close")
-    bars = panels.bars_daily(spark, sf_dir).withColumn("r", I.log_return())
+    bars = stored(panels.bars_daily(spark, sf_dir), "bars").withColumn("r", I.log_return())
     bars = bars.withColumns({"ret_1": lag(F.col("r"), 0), "ret_5": I.log_return(5), "vol_10": rolling(F.stddev_samp, F.col("r"), 10), "sma_ratio": c / I.sma(c, 20), "rsi": I.rsi(14, c, eps=1e-12)})
     nxt = F.lead(c).over(by_symbol())
     bars = bars.withColumns({"label": F.when(nxt.isNotNull(), (nxt > c).cast("double")), "fwd": F.ln(nxt / c)})
-    return clean.split_dates(bars.na.drop(subset=FEATURES), 0.7)
+    return stored(clean.split_dates(bars.na.drop(subset=FEATURES), 0.7), "rows")
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, ln(close / lag(close) OVER ({S})) AS r, ln(close / lag(close, 5) OVER ({S})) AS ret_5, close / ({srolling('avg', 'close', 20)}) AS sma_ratio FROM bars),

@@ -394,6 +394,13 @@ def test_state_holds_what_the_watermark_has_not_passed(spark, tmp_path):
     assert {r["list_element"]["id"] for r in waiting} == {r[0] for r in rows if r[1] > mark}
 
 
+def test_fits_do_not_read_the_line_items_again(spark):
+    from paneltide.plans import learning
+
+    files = learning.rows(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
+
 def test_grid_search_covers_every_bar(spark, monkeypatch):
     from paneltide.operators import learn
     from paneltide.plans import more
