@@ -19,7 +19,7 @@ _OHLCV = {"open": 3, "high": 3, "low": 3, "close": 3, "volume": 2}
 
 def dense(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
     """The daily closes on all dates, filled; the bars are stored, as their dates and symbols make the grid, and portfolios read it several times."""
-    bars = stored(panels.bars_daily(spark, sf_dir).select("symbol", "ts", "close"), "bars")
+    bars = stored(panels.closes_daily(spark, sf_dir), "bars")
     return clean.densify(bars).withColumn("close", clean.ffill(F.col("close"), limit))
 
 

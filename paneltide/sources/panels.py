@@ -56,6 +56,24 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_bars(rows, F.col("p_brand"), F.to_date("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
+def closes_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, ts, close) of bars_daily().
+
+    A bar's last order is found first, in a hash aggregation of three columns of the line items; only the items of such orders are then
+    put in order. Ordering all items by the whole key would sort all of them, and join all columns of the key with the parts.
+    """
+    items = table(spark, sf_dir, "lineitem").withColumn("ts", F.to_date("l_shipdate"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    sold = F.col("l_partkey") == F.col("p_partkey")
+    last = items.select("ts", "l_partkey", "l_orderkey").join(part, sold).groupBy("symbol", "ts").agg(F.max("l_orderkey").alias("__order"))
+    last = last.select(F.col("symbol").alias("__symbol"), F.col("ts").alias("__ts"), "__order")
+    # a row for each brand and date; the last order is null where all are
+    ends = items.join(F.broadcast(last), F.col("ts").eqNullSafe(F.col("__ts")) & F.col("l_orderkey").eqNullSafe(F.col("__order")))
+    ends = ends.join(part, sold & F.col("symbol").eqNullSafe(F.col("__symbol")))
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return ends.groupBy("symbol", "ts").agg(F.max_by(price, F.struct("l_linenumber", "l_partkey", "l_suppkey", price)).alias("close"))
+
+
 def bars_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly mean order price by market segment: (symbol, ts, close)."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

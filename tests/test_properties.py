@@ -401,6 +401,31 @@ def test_fits_do_not_read_the_line_items_again(spark):
     assert files and not any("lineitem" in f for f in files)
 
 
+def test_closes_equal_those_of_bars_without_putting_all_items_in_order(spark, tmp_path):
+    from paneltide.sources import panels
+
+    day = dt.datetime(2000, 1, 3, 7)
+    # order, line, part, supplier, price, date: ties of order, line, part and supplier, orders that are null, other hours and dates
+    rows = [(1, 1, 1, 1, 5.0, day), (9, 1, 1, 1, 6.0, day), (9, 2, 1, 1, 7.0, day), (9, 2, 1, 2, 8.0, day), (9, 2, 1, 2, 8.5, day), (9, 2, 1, 2, None, day), (None, 7, 1, 1, 1.0, day), (9, 3, 2, 1, 2.0, day), (8, 9, 2, 9, 3.0, day.replace(hour=9))]
+    rows += [(None, 1, 3, 1, 4.0, day), (None, 2, 3, 1, 4.5, day), (None, None, 3, 1, 9.0, day), (7, 1, 4, 1, 3.5, day), (6, 1, 4, 1, 3.0, None), (5, 1, 99, 1, 2.5, day), (5, 1, None, 1, 2.5, day), (4, 1, 5, 1, None, day), (9, 9, 2, 1, 1.5, day.replace(day=4))]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp").withColumn("l_quantity", F.lit(2.0))
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "d"), (5, "e"), (5, "e")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got, want = (sorted(map(str, df.select("symbol", "ts", "close").collect())) for df in (panels.closes_daily(spark, str(tmp_path)), panels.bars_daily(spark, str(tmp_path))))
+    assert got == want and len(got) == 8
+    for f in (SMALL, "/root/testdata/sf0.01"):
+        assert panels.closes_daily(spark, f).exceptAll(panels.bars_daily(spark, f).select("symbol", "ts", "close")).count() == 0
+    plan = panels.closes_daily(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    first = [line for line in plan.splitlines() if "partial_" in line]
+    assert any("HashAggregate" in line and "partial_max(l_orderkey" in line for line in first)
+    seen = []
+    wrapped = panels.closes_daily
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(panels, "closes_daily", lambda *a: seen.append(a) or wrapped(*a))
+        features.dense(spark, SMALL)
+    assert seen  # panels of portfolios are made of these
+
+
 def test_grid_search_covers_every_bar(spark, monkeypatch):
     from paneltide.operators import learn
     from paneltide.plans import more
